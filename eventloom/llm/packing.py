@@ -18,6 +18,7 @@ from eventloom.runtime import Stages
 
 CAPACITY = 2048
 SHARD = 50_000  # items of a shard
+LARGE = 4  # items of at least capacity / LARGE go first, largest first; the small ones then fill the gaps
 SLACK = 64  # unused units up to which a container counts as full between rounds
 
 
@@ -98,7 +99,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
     Such an item is cut into full pieces, each a container of its own, and a rest, which is packed like an
     item. No other item is split. Items of null or no size take no room: they lie in the first container of
     their shard. Rows count each, repeats included; extra columns are ignored; an empty table gives an empty
-    result; equal sizes are packed in order of id. Shards are drawn by hash of the id, so no key is hot.
+    result; large items are packed in order of size, the others in order of a hash. Shards are drawn by hash of the id, so no key is hot.
     """
     spark = items.sparkSession
     stages = Stages(spark, "packing")
@@ -115,7 +116,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
         last = shards == 1 or before is not None and count > 0.8 * before  # a round that closed little: sizes that do not combine
         before = count
         placed = left.select((F.pmod(F.xxhash64("id", "piece"), F.lit(shards)) + first).alias("shard"), "id", "piece", "size")
-        placed = placed.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("size"), "id", "piece")
+        large = F.when(F.col("size") * LARGE >= capacity, F.col("size"))
+        placed = placed.repartition(shards, "shard").sortWithinPartitions("shard", large.desc_nulls_last(), F.xxhash64("id", "piece"), "id", "piece")
         packed = stages.write(placed.mapInArrow(_pack(capacity), f"id {kind}, piece bigint, size bigint, container string, filled bigint"))
         first += shards
         if last:
