@@ -9,9 +9,11 @@ as UTF-8, so characters split over tokens come out whole.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,8 +71,12 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         for batch in batches:
             at = 0
             for part in slices(batch.column(1).to_pylist()):
-                ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+                flat, ends = array("i"), [0]
+                for e in tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                    flat.fromlist(e.ids)
+                    ends.append(len(flat))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), ids], names=[id_col, "ids"])
                 at += len(part)
 
     kind = docs.schema[id_col].dataType.simpleString()
