@@ -57,8 +57,10 @@ class Model:
 def fit(documents: list[list[int]], labels: np.ndarray, subjects: list[str]) -> Model:
     """Logistic regressions of all subjects at once, full batch with Adam, on presence of n-grams that at
     least two documents have. ``documents`` holds distinct buckets."""
+    if not documents or not subjects:
+        return Model(subjects, np.zeros(0, np.int64), np.zeros((1, len(subjects))))
     size = np.array([len(d) for d in documents])
-    flat = np.concatenate([np.asarray(d, np.int64) for d in documents]) if len(documents) else np.zeros(0, np.int64)
+    flat = np.concatenate([np.asarray(d, np.int64) for d in documents])
     names, at, often = np.unique(flat, return_inverse=True, return_counts=True)
     use = often >= 2
     kept = names[use]
