@@ -125,14 +125,15 @@ def whiten(series: DataFrame) -> DataFrame:
 
 def mask_out_artifacts(series: DataFrame, threshold: float, interval_size: int, compat: bool = False) -> DataFrame:
     """Intervals whose norm exceeds mean + threshold * deviation of their channel's norms become zero, as do
-    their neighbours and the incomplete last interval. ``compat``: an interval is zero only where all
+    their neighbours and the incomplete last interval. Equal norms, whose mean may differ from them by
+    rounding, do not exceed it. ``compat``: an interval is zero only where all
     channels are bad."""
     cut = series.withColumn("interval", F.expr(f"t div {interval_size}"))
     end = series.groupBy(*BY).agg((F.max("t") + 1).alias("n")).select(*BY, F.expr(f"n div {interval_size}").alias("whole"))
     norm = cut.groupBy(*CHANNEL, "interval").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).join(end, BY).where("interval < whole")
     stats = norm.groupBy(*CHANNEL).agg(F.avg("norm").alias("mean"), F.coalesce(F.stddev_samp("norm"), F.lit(0.0)).alias("sd"))
     w = Window.partitionBy(*CHANNEL).orderBy("interval")
-    high = norm.join(stats, CHANNEL).select(*CHANNEL, "interval", (F.col("norm") > F.col("mean") + threshold * F.col("sd")).alias("high"))
+    high = norm.join(stats, CHANNEL).select(*CHANNEL, "interval", (F.col("norm") > F.col("mean") * (1 + 1e-9) + threshold * F.col("sd")).alias("high"))
     near = lambda c: F.coalesce(F.when(F.abs(c("interval", 1).over(w) - F.col("interval")) == 1, c("high", 1).over(w)), F.lit(False))
     bad = high.select(*CHANNEL, "interval", (F.col("high") | near(F.lag) | near(F.lead)).alias("bad"))
     if compat:

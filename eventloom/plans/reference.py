@@ -137,7 +137,7 @@ def mask_out_artifacts(spark, folder):
 SQL["mask_out_artifacts"] = SQL["mask_out_artifacts"].replace(
     " SELECT s.recording_id, s.channel",
     """, norm AS (SELECT s.recording_id, s.channel, s.t // 50 AS interval, sqrt(sum(s.value * s.value)) AS norm FROM series s JOIN size z USING (recording_id) WHERE s.t // 50 < z.n // 50 GROUP BY ALL),
-    high AS (SELECT n.*, n.norm > a.m + 2.5 * a.sd AS high FROM norm n JOIN (SELECT recording_id, channel, avg(norm) AS m, coalesce(stddev_samp(norm), 0) AS sd FROM norm GROUP BY ALL) a USING (recording_id, channel)),
+    high AS (SELECT n.*, n.norm > a.m * (1 + 1e-9) + 2.5 * a.sd AS high FROM norm n JOIN (SELECT recording_id, channel, avg(norm) AS m, coalesce(stddev_samp(norm), 0) AS sd FROM norm GROUP BY ALL) a USING (recording_id, channel)),
     bad AS (SELECT h.recording_id, h.channel, h.interval, h.high OR EXISTS (SELECT 1 FROM high o WHERE o.recording_id = h.recording_id AND o.channel = h.channel AND abs(o.interval - h.interval) = 1 AND o.high) AS bad FROM high h)
     SELECT s.recording_id, s.channel""", 1,
 )

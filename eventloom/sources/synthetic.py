@@ -13,7 +13,7 @@ from eventloom.operators.series import add_noise
 
 def _uniform(*parts) -> Column:
     """A number in (0, 1) that depends on its parts only, so retries repeat it."""
-    return (F.pmod(F.xxhash64(*(F.lit(p) if isinstance(p, (int, str)) else p for p in parts)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return (F.pmod(F.xxhash64(*(F.col(p) if isinstance(p, str) else p for p in parts)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
 def event_times(spark: SparkSession, units: int, samples: int, samplerate: float, rate: tuple[float, float] = (0.5, 3.0), period: float = 20.0, channels: int = 4, seed: int = 0, recording: str = "synthetic") -> DataFrame:
