@@ -1,6 +1,8 @@
 """Queries of the series and event operators over the domain tables, with SQL for those it can state.
 
-Floating-point results are rounded on both sides, since engines add in different orders.
+Floating-point results are rounded on both sides, since engines add in different orders. Values of coarse
+resolution often lie exactly between two rounded ones, where the last bit decides; a small shift, the same
+on both sides, moves them off.
 """
 
 from __future__ import annotations
@@ -51,8 +53,30 @@ def query(*needs: str, sql: str | None = None):
     return add
 
 
+def shift(digits: int) -> float:
+    return 0.33172843 * 10**-digits
+
+
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
+    return df.withColumns({n: F.round(F.col(n) + F.lit(shift(digits)), digits) for n in names})
+
+
+def shifted(sql: str) -> str:
+    """SQL with the shift inside every outermost ``round(..., d) + 0.0``."""
+    at = 0
+    while (at := sql.find("round(", at)) >= 0:
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner, _, digits = sql[at + 6 : end - 1].rpartition(", ")
+        if sql[end:].startswith(" + 0.0"):
+            new = f"round(({inner}) + {shift(int(digits)):.17g}, {digits})"
+            sql = sql[:at] + new + sql[end + 6 :]
+            at += len(new)
+        else:
+            at += 6
+    return sql
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
@@ -632,3 +656,6 @@ def windowed_event_counts(spark, folder):
 @query("series", sql="SELECT recording_id, channel, count(*) AS n, round(sqrt(avg(value * value)), 5) + 0.0 AS rms FROM series GROUP BY ALL")
 def running_scale(spark, folder):
     return rounded(streaming.running_scale(load(spark, folder)), 5, "rms")
+
+
+SQL.update({name: shifted(sql) for name, sql in SQL.items()})
