@@ -64,6 +64,9 @@ class Stages:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/eventloom/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        if not _ROOTS:
+            atexit.register(_clean)
+        _ROOTS.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count:03d}"
@@ -76,6 +79,20 @@ class Stages:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_eventloom_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_ROOTS: list[Stages] = []
+
+
+def _clean() -> None:
+    """Removes what this driver's operators wrote; results are lazy, so not before it ends."""
+    for stages in _ROOTS:
+        try:
+            stages._delete(stages.root)
+        except Exception:  # the session is gone: its folder is the cluster's to clear
+            return
