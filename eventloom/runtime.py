@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import py_compile
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +29,33 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context: functions on Arrow batches import it there.
+
+    The archive holds sources and compiled code, so that new Python workers need not compile."""
+    context = spark.sparkContext
+    if getattr(context, "_eventloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="eventloom-code-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "eventloom.zip", "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            name = Path("eventloom", source.relative_to(package))
+            archive.write(source, name)
+            compiled = py_compile.compile(str(source), str(folder / "code.pyc"), dfile=str(name), invalidation_mode=py_compile.PycInvalidationMode.UNCHECKED_HASH)
+            archive.write(compiled, name.with_suffix(".pyc"))
+    context.addPyFile(str(folder / "eventloom.zip"))
+    context._eventloom_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A test table; Parquet's own statistics and column pruning apply."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -62,6 +88,7 @@ class Stages:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        ship(spark)
         self.root = f"{shared_folder(spark)}/eventloom/{name}-{uuid.uuid4().hex}"
         self.count = 0
         if not _ROOTS:
