@@ -143,14 +143,6 @@ def scalar_aggregates(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame
     )
 
 
-def clip_covariance(clips: DataFrame) -> DataFrame:
-    """i, j, value: uncentred second moments of clips flattened channel-first, per recording."""
-    x = clips.groupBy(*BY, "event_id").agg(F.sort_array(F.collect_list(F.struct("dt", "channel", "value"))).alias("x"))
-    a = x.select(*BY, "x", F.posexplode("x").alias("i", "a"))
-    pairs = a.select(*BY, "i", "a", F.posexplode("x").alias("j", "b"))
-    return pairs.groupBy(*BY, "i", "j").agg(F.sum(F.col("a.value") * F.col("b.value")).alias("value"))
-
-
 def full_templates(series: DataFrame, firings: DataFrame, clip_size: int) -> DataFrame:
     """Mean and population deviation of clips that are zero as a whole at the ends."""
     clips = extract_clips(series, firings.where("label > 0"), clip_size)

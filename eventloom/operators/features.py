@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 from eventloom.kernels.branch import branch_cluster as branch_kernel
 from eventloom.kernels.features import ITERATIONS, components_of
 from eventloom.kernels.isosplit import isosplit
-from eventloom.operators.aggregates import LABEL, compute_templates
 from eventloom.operators.joins import extract_clips
 from eventloom.operators.series import BY
 
@@ -120,9 +119,3 @@ def consolidated(templates: DataFrame, clip_size: int, factor: float, interval:
     per = energy.groupBy(*key).agg(F.max(F.when(mine, F.col("e"))).alias("own"), F.max(F.when(~mine, F.col("e"))).alias("other"), F.max(F.when(mine, F.col("p"))).alias("p"))
     strong = F.col("own") >= factor * F.coalesce("other", F.lit(0.0))
     return per.where(strong & (F.abs(F.col("p.dt") - mid) <= interval)).select(*key, F.abs("p.m").alias("peak"))
-
-
-def cluster_templates(series: DataFrame, firings: DataFrame, clip_size: int) -> DataFrame:
-    """recording_id, label, x: flattened templates."""
-    t = compute_templates(series, firings, clip_size)
-    return t.groupBy(*LABEL).agg(F.transform(F.sort_array(F.collect_list(F.struct("dt", "channel", "mean"))), lambda s: s["mean"]).alias("x"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,8 +144,3 @@ def remove_duplicate_clusters(series: DataFrame, firings: DataFrame, clip_size:
     weaker = F.struct(F.col("power1"), -F.col("label1")) < F.struct(F.col("power2"), -F.col("label2"))
     drop = same.where(weaker).select(*BY, F.col("label1").alias("label")).distinct()
     return relabel_dense(firings.join(drop, LABEL, "left_anti"))
-
-
-def used_labels(firings: DataFrame) -> np.ndarray:
-    """Distinct positive labels, sorted; as many as there are clusters."""
-    return np.array(sorted(r[0] for r in firings.where("label > 0").select("label").distinct().collect()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.kernels.features import neighbour_overlap, principal_components
+from eventloom.kernels.svm import linear_svm
 from eventloom.operators.aggregates import LABEL, compute_templates, correlation, peak_place
 from eventloom.operators.events import spread_sample
 from eventloom.operators.joins import extract_clips
@@ -63,6 +64,28 @@ def discriminant_values(clips: DataFrame, firings: DataFrame, pairs: DataFrame)
     return projected.select(*BY, "k1", "k2", "k", "event_id", F.coalesce(F.col("s") / F.nullif("dd", F.lit(0.0)), F.lit(0.0)).alias("value"))
 
 
+def svm_values(clips: DataFrame, firings: DataFrame, pairs: DataFrame, most: int = 1000) -> DataFrame:
+    """Like ``discriminant_values`` along the direction of a linear support vector machine, 0 at its cut.
+
+    Each pair's machine is fitted on at most ``most`` events of each label, evenly spread; all are projected."""
+    x = _vectors(clips).join(firings.select("event_id", "label"), "event_id")
+    chosen = spread_sample(firings.join(pairs.select(*BY, F.explode(F.array("k1", "k2")).alias("label")).distinct(), LABEL, "left_semi"), most).select("event_id")
+    rows = pairs.withColumn("label", F.explode(F.array("k1", "k2"))).join(x.join(chosen, "event_id", "left_semi"), LABEL)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["label", "event_id"])
+        first = pdf.iloc[:1][["recording_id", "k1", "k2"]]
+        side = np.where(pdf["label"].to_numpy() == first["k2"].iloc[0], 1.0, -1.0)
+        direction, cut = linear_svm(np.array(pdf["x"].tolist()), side)
+        return first.assign(d=[direction.tolist()], cut=cut, norm=float(direction @ direction))
+
+    axis = rows.groupBy(*BY, "k1", "k2").applyInPandas(fit, "recording_id string, k1 int, k2 int, d array<double>, cut double, norm double")
+    dot = F.aggregate(F.zip_with("x", "d", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    each = axis.withColumn("label", F.explode(F.array("k1", "k2"))).join(x, LABEL)
+    value = F.coalesce((dot - F.col("cut")) / F.nullif("norm", F.lit(0.0)), F.lit(0.0))
+    return each.select(*BY, "k1", "k2", F.col("label").alias("k"), "event_id", value.alias("value"))
+
+
 def separation(values: DataFrame) -> DataFrame:
     """recording_id, k1, k2, score: the distance of the two labels' means over the deviation of the residuals."""
     per = values.groupBy(*BY, "k1", "k2", "k").agg(F.avg("value").alias("m"))

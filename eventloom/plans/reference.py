@@ -503,6 +503,11 @@ SQL["discrimhist_centroid"] = SQL["discrimhist_centroid"].replace(
 )
 
 
+@query()
+def mv_discrimhist_svm(spark, folder):
+    return metrics.svm_values(clips(spark, folder), fire(spark, folder), _some_pairs(spark, folder), most=200)
+
+
 @query()
 def separation_score(spark, folder):
     return metrics.separation(metrics.discriminant_values(clips(spark, folder), fire(spark, folder), _some_pairs(spark, folder)))

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from eventloom.kernels import assign, features, isosplit, match, pursuit
+from eventloom.kernels import assign, features, isosplit, match, pursuit, svm
 
 
 @given(st.integers(1, 5), st.integers(1, 5), st.integers(0, 10_000))
@@ -101,3 +101,12 @@ def test_pursuit_keeps_what_explains_energy():
     times, labels = np.array([100, 101, 200, 204, 300, 2]), np.ones(6, int)
     kept = pursuit.pursue(x, times, labels, {1: shape}, 11, 30.0)
     assert kept.tolist() == [True, False, True, True, False, False]
+
+
+def test_svm_separates():
+    rng = np.random.default_rng(5)
+    x = np.vstack((rng.standard_normal((80, 3)), rng.standard_normal((60, 3)) + [6, 0, 0])) * 100 + 50
+    side = np.repeat([-1.0, 1.0], (80, 60))
+    d, cut = svm.linear_svm(x, side)
+    assert (np.sign(x @ d - cut) == side).mean() > 0.98 and abs(d[0]) > 5 * max(abs(d[1]), abs(d[2]))
+    assert (svm.linear_svm(np.zeros((4, 2)), np.array([1.0, 1, -1, -1]))[0] == 0).all()
