@@ -3,7 +3,9 @@
 Time is cut into buckets. A left row compares with its own bucket and the two beside it, which reach at
 least one bucket's width to either side: a match within that width is provably the nearest. Rows without
 one go on to buckets of twice the width, up to the tolerance. Of a neighbouring bucket only its last or
-first record can be nearest, so that is all a bucket sends to its neighbours.
+first record can be nearest, so that is all a bucket sends to its neighbours. A row that goes on has no
+record in its own bucket, so from the second ring on the first and last record of each bucket of the ring
+before are all that can be nearest: however many records a burst holds, no row meets more than a few.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 
 from eventloom.runtime import Stages
 
-RINGS = 4
+RINGS = 4  # rings of ordinary data; the first is made finer where a bucket would hold more than DENSE records
+DENSE = 64
+FINEST = 2.0**-40  # of the tolerance
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, left_id: str, right_id: str, tolerance: float, rings: int = RINGS) -> DataFrame:
@@ -37,21 +41,34 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, left_
 
     rest = rows(left, left_id).distinct()
     times = stages.write(rows(right, right_id).groupBy(*names, "t").agg(F.min("id").alias("id")))
-    found = []
-    for ring in range(rings):
-        width = tolerance / 2 ** (rings - 1 - ring)
+    width = tolerance / 2 ** (rings - 1)
+    while width > tolerance * FINEST:
+        most = times.groupBy(*names, F.floor(F.col("t") / width)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= DENSE:
+            break
+        width /= 2 ** max(1, (most // DENSE).bit_length() - 1)
+    found, first_ring = [], True
+    while True:
+        if not first_ring:
+            fine = times.groupBy(*names, F.floor(F.col("t") / (width / 2)).alias("fine")).agg(F.min(F.struct("t", "id")).alias("a"), F.max(F.struct("t", "id")).alias("b"))
+            times = stages.write(fine.select(*names, F.inline(F.array_distinct(F.array("a", "b")))))
+        first_ring = False
         bucket = F.floor(F.col("t") / width)
-        own = times.withColumn("bucket", bucket)
+        own = times.select(*names, bucket.alias("bucket"), "t", "id")
         edge = own.groupBy(*names, "bucket").agg(F.max(F.struct("t", "id")).alias("last"), F.min(F.struct("t", "id")).alias("first"))
-        beside = edge.select(*names, F.inline(F.array(F.struct((F.col("bucket") + 1).alias("bucket"), F.col("last.t").alias("t"), F.col("last.id").alias("id")), F.struct((F.col("bucket") - 1).alias("bucket"), F.col("first.t").alias("t"), F.col("first.id").alias("id")))))
-        candidates = own.select(*names, "bucket", F.col("t").alias("rt"), F.col("id").alias("rid")).unionByName(beside.select(*names, "bucket", F.col("t").alias("rt"), F.col("id").alias("rid")))
+        moved = lambda by, c: F.struct((F.col("bucket") + by).alias("bucket"), F.col(f"{c}.t").alias("t"), F.col(f"{c}.id").alias("id"))
+        beside = edge.select(*names, F.inline(F.array(moved(1, "last"), moved(-1, "first"))))
+        candidates = own.unionByName(beside).withColumnsRenamed({"t": "rt", "id": "rid"})
         joined = rest.withColumn("bucket", bucket).join(candidates, [*names, "bucket"], "left")
         # the grouping keys contain the join's, so the join's shuffle serves both
-        best = joined.groupBy(*names, "bucket", "t", "id").agg(F.min(F.when(F.col("rid").isNotNull(), F.struct(F.abs(F.col("t") - F.col("rt")).alias("distance"), "rt", "rid"))).alias("best"))
-        done = stages.write(best.select(*names, "t", "id", "best.distance", "best.rid"))
+        nearest_of = F.min(F.when(F.col("rid").isNotNull(), F.struct(F.abs(F.col("t") - F.col("rt")).alias("distance"), "rt", "rid")))
+        done = stages.write(joined.groupBy(*names, "bucket", "t", "id").agg(nearest_of.alias("best")).select(*names, "t", "id", "best.distance", "best.rid"))
         sure = F.coalesce(F.col("distance") <= width, F.lit(False))
         found.append(done.where(sure & (F.col("distance") <= tolerance)).select(F.col("id").alias(left_id), F.col("rid").alias(right_id), "distance"))
+        if width >= tolerance:
+            break
         rest = done.where(~sure).select(*names, "t", "id")
+        width *= 2
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -35,3 +35,10 @@ def test_bursts_ties_and_edges(spark, rows):
     left, right = frames(spark, a, b)
     assert rows(nn.nearest_firings(left, right)) == [(1, 14), (2, 14), (3, 11), (5, 16)]
     assert nn.nearest_firings(left.limit(0), right).count() == 0 == nn.nearest_firings(left, right.limit(0)).count()
+
+
+def test_bursts_on_both_sides(spark, rows):
+    a = [(i, "p", 1, 50 + i * 1e-4) for i in range(1, 400)] + [(i, "p", 1, 61 + i * 1e-4) for i in range(500, 700)]
+    b = [(1000 + i, "p", 1, 50.00005 + i * 1e-4) for i in range(300)] + [(2000, "p", 1, 70.5)]
+    left, right = frames(spark, a, b)
+    assert rows(nn.nearest_firings(left, right)) == brute(a, b, 20.0)
