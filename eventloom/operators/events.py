@@ -20,6 +20,12 @@ def firings_view(firings: DataFrame) -> DataFrame:
     return firings.select("event_id", *BY, "channel", "time", F.coalesce("label", F.lit(0)).alias("label"), *scores).where("time is not null").distinct()
 
 
+def detected_firings(detections: DataFrame) -> DataFrame:
+    """Firings of labelled detections (recording_id, channel, time from 1, label): times index samples, ids
+    are hashes of the place, so a retried task repeats them, and scores are zero."""
+    return firings_view(detections.withColumn("event_id", F.xxhash64(*BY, "channel", "time")).withColumn("time", F.col("time") - 1))
+
+
 def filter_events(firings: DataFrame, detectability_threshold: float = 0.0, outlier_threshold: float = 0.0) -> DataFrame:
     """Detectability at least, outlier score at most the threshold; 0 switches a test off."""
     keep = F.lit(True)

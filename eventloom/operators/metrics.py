@@ -135,6 +135,11 @@ def noise_overlap(series: DataFrame, firings: DataFrame, clip_size: int, seed: i
     return both.groupBy(*LABEL).applyInPandas(score, "recording_id string, label int, noise_overlap double")
 
 
+def cluster_metrics(series: DataFrame, firings: DataFrame, clip_size: int) -> DataFrame:
+    """recording_id, label, noise_overlap, peak_amp, peak_noise of each positive label."""
+    return peak_metrics(compute_templates(series, firings, clip_size)).join(noise_overlap(series, firings, clip_size), LABEL, "left").select(*LABEL, "noise_overlap", "peak_amp", "peak_noise")
+
+
 def pair_overlap(series: DataFrame, firings: DataFrame, clip_size: int, nearest: int = 5, least: int = 100) -> DataFrame:
     """recording_id, label1, label2, overlap of each label with its nearest ones; zero under ``least`` events,
     and values under 0.01 are zero. Zero rows are left out."""

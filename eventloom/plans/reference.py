@@ -7,14 +7,16 @@ on both sides, moves them off.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom import workflow
 from eventloom.operators import aggregates as ag
 from eventloom.operators import detection, events, features, joins, merge, metrics, series
-from eventloom.runtime import table
+from eventloom.runtime import Stages, table
 from eventloom.sources import synthetic
 from eventloom.sources import text as text_source
 from eventloom.streaming import events as streaming
@@ -628,6 +630,40 @@ def remove_duplicate_clusters(spark, folder):
     return merge.remove_duplicate_clusters(load(spark, folder), fire(spark, folder), CLIP).select("event_id", "label")
 
 
+# --- the whole chain ----------------------------------------------------------------------------------------
+
+
+def _sorted(spark, folder, name, **options):
+    """A result of the standard chain, of all recordings; those of one rate are filtered together."""
+    s, rates = load(spark, folder), table(spark, folder, "recordings").groupBy("recording_id").agg(F.max("samplerate").alias("samplerate"))
+    stages, parts = Stages(spark, "sort"), []
+    for (rate,) in sorted(rates.select("samplerate").where("samplerate > 0").distinct().collect()):
+        of_rate = s.join(rates.where(F.col("samplerate") == rate), "recording_id", "left_semi")
+        chain = workflow.sort_pipeline(spark, of_rate, joins.linear_adjacency(of_rate, 1), rate, cache=f"{stages.root}/{rate:g}", **options)
+        parts.append(chain.run()[name])
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def sort_pipeline(spark, folder):
+    return _sorted(spark, folder, "firings").select("event_id", "recording_id", "channel", "time", "label")
+
+
+@query()
+def sort_pipeline_noise(spark, folder):
+    return _sorted(spark, folder, "firings", noise_level=0.3).select("event_id", "recording_id", "channel", "time", "label")
+
+
+@query()
+def sort_pipeline_metrics(spark, folder):
+    return _sorted(spark, folder, "cluster_metrics")
+
+
+@query()
+def sort_pipeline_pair_metrics(spark, folder):
+    return _sorted(spark, folder, "cluster_pair_metrics")
+
+
 # --- sources, streams --------------------------------------------------------------------------------------
 
 

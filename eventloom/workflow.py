@@ -107,13 +107,28 @@ def batch(pipelines: DataFrame, datasets: DataFrame) -> DataFrame:
     return pipelines.crossJoin(datasets)
 
 
-def sort_pipeline(spark: SparkSession, series: DataFrame, adjacency: DataFrame, samplerate: float, freq_min: float = 300.0, freq_max: float = 6000.0, clip_size: int = 40, interval: int = 10, threshold: float = 4.0, merge_threshold: float = 0.9) -> Pipeline:
-    """The standard chain: filter, whiten, detect, cluster per channel, score, filter, merge."""
-    p = Pipeline(spark)
+def sort_pipeline(spark: SparkSession, series: DataFrame, adjacency: DataFrame, samplerate: float, freq_min: float = 300.0, freq_max: float = 6000.0, clip_size: int = 40, interval: int = 10, threshold: float = 4.0, whiten: bool = True, noise_level: float = 0.0, cache: str | None = None) -> Pipeline:
+    """The standard chain: filter, whiten (or normalize), detect, cluster per channel, merge across channels,
+    fit; then metrics of the clusters and of pairs of them. Results: firings, cluster_metrics,
+    cluster_pair_metrics.
+
+    ``noise_level`` above 0 is the noise variant (0.3 in the reference): events are detected in the series
+    with noise added, normalized again, and all later steps see the series without it. What several steps
+    read is kept in ``cache``, where one is given."""
+    p = Pipeline(spark, cache)
     p.source("raw", series)
     p.source("adjacency", adjacency)
     filtered = p.add("bandpass_filter", {"series": "raw"}, {"samplerate": samplerate, "freq_min": freq_min, "freq_max": freq_max}, "filtered")
-    white = p.add("whiten", {"series": filtered}, {}, "white")
-    found = p.add("detect", {"series": white}, {"clip_size": clip_size, "interval": interval, "threshold": threshold}, "detections")
-    p.add("branch_cluster", {"series": white, "detections": found, "adjacency": "adjacency"}, {"clip_size": clip_size, "detect_interval": interval}, "clustered")
+    pre = p.add("whiten" if whiten else "normalize_channels", {"series": filtered}, {}, "pre", keep=True)
+    heard = pre
+    if noise_level:
+        noisy = p.add("add_noise", {"series": pre}, {"noise_level": noise_level}, "noisy")
+        heard = p.add("normalize_channels", {"series": noisy}, {}, "heard")
+    found = p.add("detect", {"series": heard}, {"clip_size": clip_size, "interval": interval, "threshold": threshold}, "detections", keep=True)
+    clustered = p.add("branch_cluster", {"series": pre, "detections": found, "adjacency": "adjacency"}, {"clip_size": clip_size, "detect_interval": interval}, "clustered", keep=True)
+    events = p.add("detected_firings", {"detections": clustered}, {}, "events")
+    merged = p.add("merge_across_channels_v2", {"series": pre, "firings": events}, {"clip_size": clip_size}, "merged", keep=True)
+    fitted = p.add("fit_stage", {"series": pre, "firings": merged}, {"clip_size": clip_size}, "firings", keep=True)
+    p.add("cluster_metrics", {"series": pre, "firings": fitted}, {"clip_size": clip_size}, "cluster_metrics")
+    p.add("pair_overlap", {"series": pre, "firings": fitted}, {"clip_size": clip_size}, "cluster_pair_metrics")
     return p

@@ -78,6 +78,25 @@ def test_pipeline(spark, tmp_path):
         q.order()
 
 
+@pytest.mark.parametrize("options", [{}, {"whiten": False, "noise_level": 0.3}])
+def test_sort_pipeline_is_whole(spark, tmp_path, options):
+    from eventloom.operators import joins
+    from eventloom.sources.synthetic import synthesize
+
+    s, _ = synthesize(spark, units=3, channels=3, samples=30_000, noise_level=0.5)
+    p = workflow.sort_pipeline(spark, s, joins.linear_adjacency(s, 2), 30_000.0, cache=f"file://{tmp_path}", **options)
+    names = [step.operator for step in p.order()]
+    assert names.index("branch_cluster") < names.index("merge_across_channels_v2") < names.index("fit_stage") < names.index("cluster_metrics")
+    assert ("whiten" in names) == (not options) and ("add_noise" in names) == bool(options)
+    r = p.run()
+    fitted = {(f.channel, f.time): f.label for f in r["firings"].collect()}
+    labels = set(fitted.values())
+    assert labels == set(range(1, len(labels) + 1)) and 0 < len(fitted) <= r["merged"].count() <= r["clustered"].count()
+    metrics = {m.label: m for m in r["cluster_metrics"].collect()}
+    assert set(metrics) == labels and all(m.peak_amp > 0 and 0 <= m.noise_overlap <= 1 for m in metrics.values())
+    assert all({m.label1, m.label2} <= labels and m.label1 != m.label2 for m in r["cluster_pair_metrics"].collect())
+
+
 def test_streams(spark, tmp_path):
     rng = np.random.default_rng(1)
     x = rng.standard_normal(600)
