@@ -46,3 +46,28 @@ def neighbour_overlap(features: np.ndarray, kind: np.ndarray, k: int) -> float:
         near = np.argsort(d, axis=1, kind="stable")[:, :k]
         other += int((kind[near] != kind[start : start + 256, None]).sum())
     return other / (n * k)
+
+
+def nearest(queries: np.ndarray, candidates: np.ndarray, k: int, itself: bool = False, rows: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(columns, squared distances) of the k nearest candidates of each query, equal distances in order of the
+    candidates; ``itself``: query i is candidate i, which does not count.
+
+    Matrix products propose all that may be among them, exact differences decide."""
+    out, n = [], len(candidates)
+    size = (candidates**2).sum(axis=1)
+    groups = np.linspace(0, n, min(n, max(8 * k, 128)) + 1).astype(int)[:-1]
+    for start in range(0, len(queries), rows):
+        q = queries[start : start + rows]
+        d = size - 2 * q @ candidates.T  # without the query's own norm, the same for all
+        if itself:
+            d[np.arange(len(q)), start + np.arange(len(q))] = np.inf
+        low = np.minimum.reduceat(d, groups, axis=1)  # the k-th least of the groups' minima bounds the k-th least of all
+        bound = np.partition(low, k - 1, axis=1)[:, k - 1] if len(groups) >= k else np.full(len(q), np.inf)
+        slack = 1e-9 * (size.max() + (q**2).sum(axis=1))
+        i, j = np.nonzero((d <= (bound + slack)[:, None]) & (d < np.inf))
+        exact = ((q[i] - candidates[j]) ** 2).sum(axis=1)
+        order = np.lexsort((j, exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.searchsorted(i, np.arange(len(q) + 1))
+        out += [(j[a : min(a + k, b)], exact[a : min(a + k, b)]) for a, b in zip(first[:-1], first[1:])]
+    return out

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.kernels.features import neighbour_overlap, principal_components
+from eventloom.kernels.features import nearest, neighbour_overlap, principal_components
 from eventloom.kernels.svm import linear_svm
 from eventloom.operators.aggregates import LABEL, compute_templates, correlation, peak_place
 from eventloom.operators.events import spread_sample
+from eventloom.operators.features import components
 from eventloom.operators.joins import extract_clips
 from eventloom.operators.series import BY
+from eventloom.runtime import Stages
 
 NEIGHBOURS, FEATURES, SAMPLE = 6, 10, 500  # fixed values of the overlap metrics
 
@@ -256,29 +258,44 @@ def detectability_scores(series: DataFrame, firings: DataFrame, clip_size: int,
     return split.select("event_id", *LABEL).join(value, LABEL).select("event_id", "detectability_score")
 
 
-def noise_nearest(series: DataFrame, firings: DataFrame, clip_size: int, noise_level: float = 1.0, k: int = 5, n_features: int = 20, per_label: int = 200, seed: int = 0) -> DataFrame:
+def noise_nearest(series: DataFrame, firings: DataFrame, clip_size: int, noise_level: float = 1.0, k: int = 5, n_features: int = 20, seed: int = 0, block: int = 16384) -> DataFrame:
     """recording_id, label1, label2, n: how events, with noise added, would be labelled by the majority of
-    their k nearest events; label 0 stands for random windows. Of each label at most ``per_label`` evenly
-    spread events take part (a sampling parameter of the metric), so a group has a bound."""
-    sample = spread_sample(firings.where("label > 0"), per_label).select("event_id", *LABEL, "time")
-    own = _vectors(extract_clips(series, sample, clip_size)).join(sample.select("event_id", "label"), "event_id")
-    none = _vectors(_random_clips(series, sample, clip_size, seed)).withColumn("label", F.lit(0)).withColumn("event_id", -F.col("event_id"))
-    extra = _vectors(_random_clips(series, sample, clip_size, seed + 1)).select(*BY, F.col("event_id"), F.col("x").alias("noise"))
-    rows = own.unionByName(none).withColumn("base", F.abs("event_id")).join(extra.withColumnRenamed("event_id", "base"), [*BY, "base"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id")
-        x, noise, label = np.array(pdf["x"].tolist()), np.array(pdf["noise"].tolist()), pdf["label"].to_numpy()
-        f = principal_components(np.vstack((x, x + noise_level * noise)), n_features)[1]
-        clean, noised = f[: len(x)], f[len(x) :]
-        got = []
-        for i in range(0, len(noised), 256):
-            d = ((noised[i : i + 256, None, :] - clean[None]) ** 2).sum(axis=2)
-            d[np.arange(len(d)), i + np.arange(len(d))] = np.inf  # not the event itself
-            for row in np.argsort(d, axis=1, kind="stable")[:, :k]:
-                names, n = np.unique(label[row], return_counts=True)
-                got.append(names[n.argmax()])
-        out = pd.DataFrame({"label1": label, "label2": got}).groupby(["label1", "label2"]).size().rename("n").reset_index()
-        return out.assign(recording_id=pdf["recording_id"].iloc[0])[["recording_id", "label1", "label2", "n"]]
-
-    return rows.groupBy(*BY).applyInPandas(run, "recording_id string, label1 int, label2 int, n bigint")
+    their k nearest events; label 0 stands for random windows, as many as there are events.
+
+    All events take part. A recording is cut into blocks by hash, each pair of blocks is one task's work,
+    and the nearest of an event's blocks are merged: the work grows with the square of a recording's events."""
+    sample = firings.where("label > 0").select("event_id", *LABEL, "time")
+    own = _vectors(extract_clips(series, sample, clip_size)).join(sample.select("event_id", "label"), "event_id").withColumn("random", F.lit(False))
+    none = _vectors(_random_clips(series, sample, clip_size, seed)).withColumn("label", F.lit(0)).withColumn("random", F.lit(True))
+    extra = _vectors(_random_clips(series, sample, clip_size, seed + 1)).select(*BY, "event_id", F.col("x").alias("noise"))
+    blocks = sample.groupBy(*BY).agg(F.ceil(2 * F.count("*") / block).cast("int").alias("blocks"))
+    place = F.pmod(F.xxhash64("event_id", "random"), F.col("blocks")).cast("int")
+    stages = Stages(series.sparkSession, "nearest")
+    rows = own.unionByName(none).join(extra, [*BY, "event_id"]).join(blocks, BY)
+    rows = stages.write(rows.select(*BY, "blocks", place.alias("block"), "event_id", "random", "label", "x", F.zip_with("x", "noise", lambda a, b: a + noise_level * b).alias("y")))
+    axes = components(rows.select(*BY, "x").unionByName(rows.select(*BY, F.col("y").alias("x"))), n_features)
+    axes = axes.join(blocks, BY).select(*BY, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "component", "direction")
+
+    def project(pdf: pd.DataFrame, to: pd.DataFrame) -> pd.DataFrame:
+        c = np.array(to.sort_values("component")["direction"].tolist()).T
+        return pdf.assign(**{v: list(np.array(pdf[v].tolist()) @ c) for v in "xy"} if len(pdf) else {})
+
+    kinds = "recording_id string, blocks int, block int, event_id bigint, random boolean, label int, x array<double>, y array<double>"
+    f = stages.write(rows.groupBy(*BY, "block").cogroup(axes.groupBy(*BY, "block")).applyInPandas(project, kinds))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    noised = f.select(*BY, "block", every.alias("other"), "event_id", "random", "label", "y")
+    clean = f.select(*BY, every.alias("block"), F.col("block").alias("other"), "event_id", "random", "label", "x")
+
+    def near(pdf: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(others):
+            return pdf.iloc[:0][[*BY, "event_id", "random", "label"]].assign(distance=None, who=None, kind=None)
+        same = bool(pdf["block"].iloc[0] == pdf["other"].iloc[0])
+        pdf, others = (p.sort_values(["random", "event_id"], ascending=[False, True]) for p in (pdf, others))
+        found = nearest(np.array(pdf["y"].tolist()), np.array(others["x"].tolist()), k, same)
+        who, kind = np.where(others["random"], -1 - others["event_id"], others["event_id"]), others["label"].to_numpy()
+        return pdf[[*BY, "event_id", "random", "label"]].assign(distance=[d for _, d in found], who=[who[j] for j, _ in found], kind=[kind[j] for j, _ in found])
+
+    part = noised.groupBy(*BY, "block", "other").cogroup(clean.groupBy(*BY, "block", "other")).applyInPandas(near, "recording_id string, event_id bigint, random boolean, label int, distance array<double>, who array<bigint>, kind array<int>")
+    merged = part.groupBy(*BY, "event_id", "random", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("distance", "who", "kind")))), 1, k)["kind"].alias("kinds"))
+    votes = F.transform(F.array_distinct("kinds"), lambda c: F.struct(F.size(F.filter("kinds", lambda x: x == c)).alias("n"), (-c).alias("name")))
+    return merged.where(F.size("kinds") > 0).groupBy(*BY, F.col("label").alias("label1"), (-F.array_max(votes)["name"]).alias("label2")).agg(F.count("*").alias("n"))

@@ -537,7 +537,7 @@ def cluster_scores(spark, folder):
 
 @query()
 def noise_nearest(spark, folder):
-    return metrics.noise_nearest(load(spark, folder), fire(spark, folder), CLIP, per_label=50)
+    return metrics.noise_nearest(load(spark, folder), fire(spark, folder), CLIP)
 
 
 @query()

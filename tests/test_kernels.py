@@ -103,6 +103,19 @@ def test_pursuit_keeps_what_explains_energy():
     assert kept.tolist() == [True, False, True, True, False, False]
 
 
+@pytest.mark.parametrize("n", [1, 4, 60, 700])
+def test_nearest_against_plain_distances(n):
+    x = np.random.default_rng(n).integers(0, 3, (n, 4)).astype(float)
+    y = x + 0.25
+    for itself in (False, True):
+        d = ((y[:, None] - x[None]) ** 2).sum(axis=2)
+        if itself:
+            np.fill_diagonal(d, np.inf)
+        for i, (j, v) in enumerate(features.nearest(y, x, 5, itself, rows=100)):
+            expected = np.argsort(d[i], kind="stable")[: min(5, n - itself)]
+            assert j.tolist() == expected.tolist() and np.allclose(v, d[i, expected])
+
+
 def test_svm_separates():
     rng = np.random.default_rng(5)
     x = np.vstack((rng.standard_normal((80, 3)), rng.standard_normal((60, 3)) + [6, 0, 0])) * 100 + 50

@@ -140,6 +140,21 @@ def test_merge_map_chains(spark, rows):
     assert {(r.recording_id, r.representative) for r in m.collect()} == {("r", 1), ("r", 30), ("q", 2)} and m.count() == 24
 
 
+def test_noise_nearest_takes_every_event(spark, rows):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((2, 6000)) * 0.3
+    at = 20 + 12 * np.arange(450)
+    for i, t in enumerate(at):
+        x[int(i % 3 == 0), t - 2 : t + 3] += 10
+    s, f = make_series(spark, x), make_firings(spark, [(1, t, 1 + (i % 3 == 0)) for i, t in enumerate(at)])
+    got = metrics.noise_nearest(s, f, 10, noise_level=0.1)
+    total = {r.label1: r.n for r in got.groupBy("label1").agg(F.sum("n").alias("n")).collect()}
+    assert total == {0: 450, 1: 300, 2: 150}
+    assert rows(got) == rows(metrics.noise_nearest(s, f, 10, noise_level=0.1, block=200))
+    right = {(r.label1, r.label2): r.n for r in got.collect()}
+    assert right[1, 1] > 250 and right[2, 2] > 120
+
+
 def test_synthetic_recording_end_to_end(spark):
     from eventloom.sources.synthetic import synthesize
 
