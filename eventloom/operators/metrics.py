@@ -112,12 +112,15 @@ def _vectors(clips: DataFrame) -> DataFrame:
     return clips.groupBy(*BY, "event_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dt", "channel", "value"))), lambda s: s["value"]).alias("x"))
 
 
-def _random_clips(series: DataFrame, sample: DataFrame, clip_size: int, seed: int) -> DataFrame:
-    """As many windows of each label as it has events, at places drawn by hash."""
+def _random_places(series: DataFrame, sample: DataFrame, clip_size: int, seed: int) -> DataFrame:
     size = series.groupBy(*BY).agg((F.max("t") + 1).alias("n"))
     room = F.greatest(F.col("n") - 2 * clip_size, F.lit(1))
-    at = sample.join(size, BY).withColumn("time", (clip_size + F.pmod(F.xxhash64("event_id", F.lit(seed)), room)).cast("double"))
-    return extract_clips(series, at.select("event_id", *BY, "time"), clip_size)
+    return sample.join(size, BY).select("event_id", *BY, (clip_size + F.pmod(F.xxhash64("event_id", F.lit(seed)), room)).cast("double").alias("time"))
+
+
+def _random_clips(series: DataFrame, sample: DataFrame, clip_size: int, seed: int) -> DataFrame:
+    """As many windows of each label as it has events, at places drawn by hash."""
+    return extract_clips(series, _random_places(series, sample, clip_size, seed), clip_size)
 
 
 def noise_overlap(series: DataFrame, firings: DataFrame, clip_size: int, seed: int = 0) -> DataFrame:
@@ -230,19 +233,30 @@ def outlier_scores(series: DataFrame, firings: DataFrame, clip_size: int, shell_
     step = F.greatest(F.lit(1).cast("bigint"), F.expr(f"n div {noise_clips}"))
     places = size.select(*BY, F.explode(F.sequence(F.lit(clip_size).cast("bigint"), F.greatest(F.col("n") - clip_size, F.lit(clip_size).cast("bigint")), step)).alias("at"))
     noise = extract_clips(series, places.select((-F.col("at")).alias("event_id"), *BY, F.col("at").cast("double").alias("time")), clip_size)
-    zero = F.sum(F.col("w") * F.col("w") * F.col("value") ** 2)
-    back = noise.join(shape, [*BY, "channel", "dt"]).groupBy(*LABEL, "event_id").agg(zero.alias("d")).groupBy(*LABEL).agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
+    weights = shape.groupBy(*LABEL).agg(F.transform(F.sort_array(F.collect_list(F.struct("dt", "channel", "w"))), lambda p: p["w"]).alias("w"))
+
+    def spread(windows: pd.DataFrame, shells: pd.DataFrame) -> pd.DataFrame:
+        if not len(windows) or not len(shells):
+            return pd.DataFrame({"recording_id": [], "label": [], "mean": [], "sd": []})
+        d = np.array(windows["x"].tolist()) ** 2 @ (np.array(shells["w"].tolist()) ** 2).T
+        sd = d.std(axis=0, ddof=1) if len(d) > 1 else np.zeros(d.shape[1])
+        return shells[[*BY, "label"]].assign(mean=d.mean(axis=0), sd=sd)
+
+    back = _vectors(noise).groupBy(*BY).cogroup(weights.groupBy(*BY)).applyInPandas(spread, "recording_id string, label int, mean double, sd double")
     return own.join(back, LABEL).select("event_id", F.coalesce((F.col("d") - F.col("mean")) / F.nullif("sd", F.lit(0.0)), F.lit(0.0)).alias("outlier_score"))
 
 
-def detectability_scores(series: DataFrame, firings: DataFrame, clip_size: int, shell_increment: float, min_shell_size: int, noise_clips: int = 1000, seed: int = 0) -> DataFrame:
+def detectability_scores(series: DataFrame, firings: DataFrame, clip_size: int, shell_increment: float, min_shell_size: int, noise_clips: int = 10000, seed: int = 0) -> DataFrame:
     """event_id, detectability_score: the norm of the shell's mean clip without its component along the
     shape of the noise (the first principal direction of random windows), over the slope of that norm on
     the mean's peak magnitude in the recording."""
     split = split_into_shells(firings, shell_increment, min_shell_size)
     mean = compute_templates(series, split, clip_size)
     at = split.select(*BY).distinct().select(*BY, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(noise_clips).cast("bigint"))).alias("event_id"))
-    noise = _vectors(_random_clips(series, at, clip_size, seed))
+    # a place drawn several times is one window, longer by the root of its count: the second moments are the same
+    drawn = _random_places(series, at, clip_size, seed).groupBy(*BY, "time").agg(F.min("event_id").alias("event_id"), F.sqrt(F.count("*")).alias("times"))
+    noise = _vectors(extract_clips(series, drawn, clip_size)).join(drawn.select(*BY, "event_id", "times"), [*BY, "event_id"])
+    noise = noise.select(*BY, F.transform("x", lambda v: v * F.col("times")).alias("x"))
 
     def direction(pdf: pd.DataFrame) -> pd.DataFrame:
         v = principal_components(np.array(pdf["x"].tolist()), 1)[0][:, 0]

@@ -553,12 +553,12 @@ def mv_firings_filter(spark, folder):
 
 @query()
 def compute_outlier_scores(spark, folder):
-    return metrics.outlier_scores(load(spark, folder), fire(spark, folder), CLIP, 2.0, 20, noise_clips=200)
+    return metrics.outlier_scores(load(spark, folder), fire(spark, folder), CLIP, 2.0, 20)
 
 
 @query()
 def compute_detectability_scores(spark, folder):
-    return metrics.detectability_scores(load(spark, folder), fire(spark, folder), CLIP, 2.0, 20, noise_clips=200)
+    return metrics.detectability_scores(load(spark, folder), fire(spark, folder), CLIP, 2.0, 20)
 
 
 # --- detection, features, clustering -----------------------------------------------------------------------

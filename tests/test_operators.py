@@ -1,5 +1,7 @@
 """Series, event and join operators on fixtures small enough to check by hand or by numpy."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +157,35 @@ def test_noise_nearest_takes_every_event(spark, rows):
     assert right[1, 1] > 250 and right[2, 2] > 120
 
 
+def test_scores_take_the_whole_background(spark, data, monkeypatch):
+    from eventloom.plans import reference
+
+    x = np.random.default_rng(9).standard_normal((1, 1200))
+    f = make_firings(spark, [(1, t, 1) for t in range(50, 1150, 40)])
+    got = {r.event_id: r.outlier_score for r in metrics.outlier_scores(make_series(spark, x), f, 10, 0.0, 1).collect()}
+    clip = lambda t: x[0, t - 4 : t + 6]
+    own = np.array([clip(t) for t in range(50, 1150, 40)])
+    kernel = np.exp(-((np.arange(10)[:, None] - np.arange(10)) ** 2) / 72)
+    w = (kernel * np.abs(own.mean(axis=0))).sum(axis=1) / kernel.sum(axis=1)
+    back = np.array([((w * clip(t)) ** 2).sum() for t in range(10, 1191)])
+    expected = (((w * (own - own.mean(axis=0))) ** 2).sum(axis=1) - back.mean()) / back.std(ddof=1)
+    assert np.allclose([got[i + 1] for i in range(len(own))], expected)
+    used = {}
+    for name in ("outlier_scores", "detectability_scores"):
+        whole = getattr(metrics, name)
+
+        def spy(*args, whole=whole, name=name, **options):
+            bound = inspect.signature(whole).bind(*args, **options)
+            bound.apply_defaults()
+            used[name] = bound.arguments["noise_clips"]
+            return whole(*args, **options)
+
+        monkeypatch.setattr(metrics, name, spy)
+    for query in (reference.compute_outlier_scores, reference.compute_detectability_scores):
+        assert query(spark, data).columns[0] == "event_id"
+    assert used == {"outlier_scores": 5000, "detectability_scores": 10000}
+
+
 def test_synthetic_recording_end_to_end(spark):
     from eventloom.sources.synthetic import synthesize
 
