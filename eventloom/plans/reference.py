@@ -586,7 +586,7 @@ def extract_clips_features(spark, folder):
 
 @query()
 def isosplit2(spark, folder):
-    x = table(spark, folder, "embeddings").select(F.col("vec_id").alias("event_id"), F.lit(1).alias("part"), F.slice("embedding", 1, 8).alias("features"))
+    x = table(spark, folder, "embeddings").select(F.col("vec_id").alias("event_id"), F.lit(1).alias("part"), F.col("embedding").cast("array<double>").alias("features"))
     return features.isosplit_clusters(x, ["part"]).select("event_id", "cluster")
 
 

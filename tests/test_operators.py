@@ -186,6 +186,16 @@ def test_scores_take_the_whole_background(spark, data, monkeypatch):
     assert used == {"outlier_scores": 5000, "detectability_scores": 10000}
 
 
+def test_isosplit_sees_every_dimension(spark, tmp_path):
+    from eventloom.plans import reference
+
+    x = np.random.default_rng(10).standard_normal((800, 64)) * 0.01
+    x[400:, 40] += 1
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cluster = {r.event_id: r.cluster for r in reference.isosplit2(spark, str(tmp_path)).collect()}
+    assert not {cluster[i] for i in range(400)} & {cluster[i] for i in range(400, 800)}
+
+
 def test_synthetic_recording_end_to_end(spark):
     from eventloom.sources.synthetic import synthesize
 
