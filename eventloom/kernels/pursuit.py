@@ -29,8 +29,9 @@ def strongest(template: np.ndarray, k: int = 8) -> np.ndarray:
 
 
 def pursue(x: np.ndarray, times: np.ndarray, labels: np.ndarray, templates: dict[int, np.ndarray], clip_size: int, least: float, rounds: int = 50) -> np.ndarray:
-    """Which events are kept: in each round events whose template, scaled to fit best, removes at least
-    ``least`` of energy, more than any other within a clip, are accepted and subtracted from x."""
+    """Which events are kept: in each round events whose template, as it is, removes at least ``least`` of
+    energy, more than any other within a clip, are accepted, and the template, scaled to fit best on its
+    strongest channels, is subtracted from x."""
     x = x.copy()
     mid = (clip_size + 1) // 2 - 1
     n = x.shape[1]
@@ -62,7 +63,10 @@ def pursue(x: np.ndarray, times: np.ndarray, labels: np.ndarray, templates: dict
                 accept.append(order[p])
         for i in accept:
             rows = use[int(labels[i])]
-            x[rows, times[i] - mid : times[i] - mid + clip_size] -= templates[int(labels[i])][rows]
+            shape = templates[int(labels[i])][rows]
+            at = slice(times[i] - mid, times[i] - mid + clip_size)
+            power = (shape**2).sum()
+            x[rows, at] -= ((x[rows, at] * shape).sum() / power if power else 1.0) * shape
             kept[i], open_[i] = True, False
             dirty |= np.abs(times - times[i]) < clip_size
     return kept

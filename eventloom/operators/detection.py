@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from eventloom.kernels.pursuit import detect as greedy
 from eventloom.kernels.pursuit import pursue
 from eventloom.operators.aggregates import compute_templates
+from eventloom.operators.metrics import split_into_shells
 from eventloom.operators.series import BY, CHANNEL, halo
 
 CHUNK = 1 << 16
@@ -62,11 +63,14 @@ def detect_local_max(series: DataFrame, clip_size: int, interval: int, threshold
     return _edges(top, series, clip_size).select(*CHANNEL, (F.col("t") + 1).cast("double").alias("time"))
 
 
-def fit_stage(series: DataFrame, firings: DataFrame, clip_size: int, least: float = 30.0, chunk: int = CHUNK, margin: int = 2048) -> DataFrame:
+def fit_stage(series: DataFrame, firings: DataFrame, clip_size: int, least: float = 30.0, chunk: int = CHUNK, margin: int = 2048, shell_increment: float = 0.0, min_shell_size: int = 150) -> DataFrame:
     """The firings that matching pursuit keeps: those whose template explains energy of at least ``least``
-    that no other event has explained yet. Chunks have a margin, in which neighbours decide on their own."""
-    templates = compute_templates(series, firings, clip_size)
-    events = firings.where("label > 0").select("event_id", *BY, "label", F.col("time").cast("bigint").alias("t"))
+    that no other event has explained yet. Chunks have a margin, in which neighbours decide on their own.
+
+    With ``shell_increment``, each label's shells of amplitude have templates of their own; labels stay."""
+    split = split_into_shells(firings, shell_increment, min_shell_size) if shell_increment else firings
+    templates = compute_templates(series, split, clip_size)
+    events = split.where("label > 0").select("event_id", *BY, "label", F.col("time").cast("bigint").alias("t"))
     e = halo(events, chunk, margin)
     s = halo(series, chunk, margin)
     shapes = templates.select(*BY, "label", "channel", "dt", "mean")

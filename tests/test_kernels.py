@@ -116,6 +116,13 @@ def test_nearest_against_plain_distances(n):
             assert j.tolist() == expected.tolist() and np.allclose(v, d[i, expected])
 
 
+def test_pursuit_subtracts_the_scaled_template():
+    shape = np.outer([1.0, 0.5], np.hanning(11)) * 20
+    x = np.zeros((2, 200))
+    x[:, 95:106] += 1.6 * shape
+    assert pursuit.pursue(x, np.array([100, 101]), np.ones(2, int), {1: shape}, 11, 30.0).tolist() == [True, False]
+
+
 def test_svm_separates():
     rng = np.random.default_rng(5)
     x = np.vstack((rng.standard_normal((80, 3)), rng.standard_normal((60, 3)) + [6, 0, 0])) * 100 + 50

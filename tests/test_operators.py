@@ -196,6 +196,19 @@ def test_isosplit_sees_every_dimension(spark, tmp_path):
     assert not {cluster[i] for i in range(400)} & {cluster[i] for i in range(400, 800)}
 
 
+def test_fit_stage_by_shells(spark):
+    size = np.array([4.0, 15, 15, 15] * 5)
+    x = np.zeros((1, 1100))
+    for i, a in enumerate(size):
+        x[0, 45 + 50 * i : 56 + 50 * i] += a * np.hanning(11)
+    f = make_firings(spark, [(1, 50 * (i + 1), 1) for i in range(20)])
+    f = f.withColumn("amplitude", F.when(F.col("event_id") % 4 == 1, 4.0).otherwise(15.0))
+    s = make_series(spark, x)
+    assert detection.fit_stage(s, f, 12).count() == 15
+    split = detection.fit_stage(s, f, 12, shell_increment=5.0, min_shell_size=5)
+    assert split.count() == 20 and {r.label for r in split.collect()} == {1} and split.columns == f.columns
+
+
 def test_synthetic_recording_end_to_end(spark):
     from eventloom.sources.synthetic import synthesize
 
