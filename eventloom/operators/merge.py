@@ -17,22 +17,28 @@ from eventloom.runtime import Stages
 
 def merge_map(pairs: DataFrame) -> DataFrame:
     """recording_id, label, representative: the smallest label that pairs (label1, label2) link each label
-    with, directly or through others.
+    with, directly or through others. Where pairs have an offset (of label1 from label2), so has the result
+    (of the label from its representative): offsets add up along the links and are negated against them.
 
     Labels of a recording are few next to its events. Each round joins a label's representative with its
     representative's, so paths halve; rounds are written, and end when nothing changes."""
     stages = Stages(pairs.sparkSession, "merge")
-    both = pairs.select(*BY, "label1", "label2").unionByName(pairs.select(*BY, F.col("label2").alias("label1"), F.col("label1").alias("label2"))).where("label1 <> label2").distinct()
-    edges = stages.write(both)
-    rep = stages.write(edges.groupBy(*BY, F.col("label1").alias("label")).agg(F.least(F.min("label2"), F.col("label1")).alias("representative")))
+    offset = F.col("offset").cast("double") if "offset" in pairs.columns else F.lit(0.0)
+    ahead = pairs.where("label1 <> label2").groupBy(*BY, "label1", "label2").agg(F.min(offset).alias("offset"))
+    back = ahead.select(*BY, F.col("label2").alias("label1"), F.col("label1").alias("label2"), (-F.col("offset")).alias("offset"))
+    edges = stages.write(ahead.unionByName(back.join(ahead, [*BY, "label1", "label2"], "left_anti")))
+    at = lambda r, o: F.struct(F.col(r).alias("r"), o.alias("o"))
+    rep = stages.write(edges.groupBy(*BY, F.col("label1").alias("label")).agg(F.least(F.min(at("label2", F.col("offset"))), F.struct(F.col("label1").alias("r"), F.lit(0.0).alias("o"))).alias("p")).select(*LABEL, F.col("p.r").alias("representative"), F.col("p.o").alias("offset")))
     while True:
-        near = edges.join(rep.select(*BY, F.col("label").alias("label2"), F.col("representative").alias("r")), [*BY, "label2"]).groupBy(*BY, F.col("label1").alias("label")).agg(F.min("r").alias("near"))
-        jump = rep.select(*BY, F.col("label").alias("representative"), F.col("representative").alias("far"))
-        step = rep.join(near, LABEL, "left").join(jump, [*BY, "representative"], "left").select(*LABEL, "representative", F.least("representative", "near", "far").alias("next"))
-        step = stages.write(step)
-        if step.where("next <> representative").isEmpty():
-            return step.select(*LABEL, "representative")
-        rep = step.select(*LABEL, F.col("next").alias("representative"))
+        near = edges.join(rep.select(*BY, F.col("label").alias("label2"), F.col("representative").alias("r"), F.col("offset").alias("more")), [*BY, "label2"]).groupBy(*BY, F.col("label1").alias("label")).agg(F.min(at("r", F.col("offset") + F.col("more"))).alias("near"))
+        jump = rep.select(*BY, F.col("label").alias("representative"), F.col("representative").alias("far"), F.col("offset").alias("more"))
+        step = rep.join(near, LABEL, "left").join(jump, [*BY, "representative"], "left")
+        next_ = F.least("near", F.when(F.col("far").isNotNull(), at("far", F.col("offset") + F.col("more"))))
+        # a label that keeps its representative keeps its offset, so that rounds end
+        step = stages.write(step.select(*LABEL, "representative", F.when(next_["r"] < F.col("representative"), next_).otherwise(at("representative", F.col("offset"))).alias("next")))
+        if step.where("next.r <> representative").isEmpty():
+            return step.select(*LABEL, "representative", *([F.col("next.o").alias("offset")] if "offset" in pairs.columns else []))
+        rep = step.select(*LABEL, F.col("next.r").alias("representative"), F.col("next.o").alias("offset"))
 
 
 def apply_merges(firings: DataFrame, merges: DataFrame, dense: bool = True) -> DataFrame:
@@ -69,7 +75,8 @@ def shifted_similarity(templates: DataFrame, clip_size: int, max_shift: int) ->
 def merge_across_channels(series: DataFrame, firings: DataFrame, clip_size: int, min_peak_ratio: float = 0.7, max_dt: int = 10, min_coinc_frac: float = 0.1, min_coinc_num: int = 10, max_corr_stddev: float = 5.0, min_template_corr_coef: float = 0.5) -> DataFrame:
     """Labels of one source seen on several channels become one. A pair merges if the peaks of the weaker
     reach the ratio, the templates correlate at some shift, and enough of its events coincide at offsets
-    that vary little; a merged label's times shift by the usual offset, and events that then lie within 5
+    that vary little; a merged label's times shift by the usual offset,
+    summed along the labels that link it, and events that then lie within 5
     samples of the label's previous one are dropped."""
     t = compute_templates(series, firings, clip_size)
     peak = t.groupBy(*LABEL).agg(F.max(F.abs("mean")).alias("peak"))
@@ -80,10 +87,8 @@ def merge_across_channels(series: DataFrame, firings: DataFrame, clip_size: int,
     lags = cross_correlogram(firings, max_dt).where("label1 <> label2").groupBy(*BY, "label1", "label2").agg(F.sum("n").alias("c"), F.sum(F.col("n") * F.col("dt")).alias("s"), F.sum(F.col("n") * F.col("dt") * F.col("dt")).alias("ss"))
     mean = F.col("s") / F.col("c")
     fine = (F.col("c") >= min_coinc_num) & (F.col("c") >= min_coinc_frac * F.col("n1")) & (F.sqrt(F.greatest(F.col("ss") / F.col("c") - mean * mean, F.lit(0.0))) <= max_corr_stddev)
-    linked = lags.join(n, [*BY, "label1"]).where(fine).withColumn("offset", F.round(mean)).join(alike.select(*BY, "label1", "label2"), [*BY, "label1", "label2"], "left_semi")
-    merges = merge_map(linked)
-    offset = linked.select(*BY, F.col("label1").alias("label"), F.col("label2").alias("representative"), "offset")
-    moved = merges.join(offset, [*LABEL, "representative"], "left").select(*LABEL, "representative", F.coalesce("offset", F.lit(0.0)).alias("offset"))
+    linked = lags.join(n, [*BY, "label1"]).where(fine).withColumn("offset", mean).join(alike.select(*BY, "label1", "label2"), [*BY, "label1", "label2"], "left_semi")
+    moved = merge_map(linked).withColumn("offset", F.round("offset"))
     out = firings.join(moved, LABEL, "left").withColumn("time", F.col("time") - F.coalesce("offset", F.lit(0.0))).withColumn("label", F.coalesce("representative", "label")).drop("representative", "offset")
     return relabel_dense(remove_redundant(out))
 

@@ -209,6 +209,19 @@ def test_fit_stage_by_shells(spark):
     assert split.count() == 20 and {r.label for r in split.collect()} == {1} and split.columns == f.columns
 
 
+def test_merge_shifts_add_up_along_links(spark, rows):
+    pairs = spark.createDataFrame([("r", 2, 1, 7.0), ("r", 2, 3, -7.0), ("r", 3, 4, -6.0)], "recording_id string, label1 int, label2 int, offset double")
+    assert rows(merge.merge_map(pairs)) == [("r", 1, 1, 0.0), ("r", 2, 1, 7.0), ("r", 3, 1, 14.0), ("r", 4, 1, 20.0)]
+    x = np.zeros((3, 4100))
+    at = 60 + 100 * np.arange(40)
+    for c in range(3):
+        for t in at + 7 * c:
+            x[c, t - 3 : t + 4] += 10 * np.hanning(7)
+    f = make_firings(spark, [(c + 1, t + 7 * c, c + 1) for t in at for c in range(3)])
+    out = merge.merge_across_channels(make_series(spark, x), f, 50)
+    assert rows(out, "label", "time") == sorted(((1, float(t)) for t in at), key=repr)
+
+
 def test_synthetic_recording_end_to_end(spark):
     from eventloom.sources.synthetic import synthesize
 
