@@ -21,9 +21,10 @@ def _p1(kind: str):
 
 
 def p1_schema_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """The tables by schema path: how many nodes, records and distinct names each holds."""
+    """The tables by schema path: how many nodes, records and distinct names each holds, and the depth.
+    Spark combines repeats of a path's records and names before the shuffle."""
     nodes = nested.shred(table(spark, folder, "prv_records"))
-    return nodes.groupBy("kind", "schema_path").agg(F.count("*").alias("n_nodes"), F.approx_count_distinct("prv_id").alias("n_records"), F.max(F.size("dewey")).alias("deepest"))
+    return nodes.groupBy("kind", "schema_path").agg(F.count("*").alias("n_nodes"), F.count_distinct("prv_id").alias("n_records"), F.count_distinct("name").alias("n_names"), F.max(F.size("dewey")).alias("deepest"))
 
 
 def p1_unreadable(spark: SparkSession, folder: str) -> DataFrame:

@@ -69,3 +69,12 @@ def test_deep_and_empty(spark):
     df = frame(spark, [(1, json.dumps(deep), None, None), (2, long, None, None)])
     assert nested.found_nodes(df).count() == 600 + 3
     assert nested.found_nodes(df.limit(0)).count() == 0
+
+
+def test_schema_paths_count_exactly(spark, tmp_path):
+    from eventloom.plans import records
+
+    n = 3000
+    spark.createDataFrame([(i, json.dumps({"processes": [{"processor_name": f"p{i % 700}"}]})) for i in range(n)], "prv_id bigint, content string").write.parquet(f"{tmp_path}/prv_records.parquet")
+    got = {r.kind: r for r in records.p1_schema_paths(spark, str(tmp_path)).collect()}
+    assert got["process"].n_nodes == got["process"].n_records == n and got["process"].n_names == 700
