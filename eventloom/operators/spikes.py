@@ -1,13 +1,16 @@
 """Implausible readings per source, by Kalman filters.
 
 A source's level is a random walk seen through noise. One filter runs forward and one backward over the
-readings; a reading whose standardised innovation is too large is withheld from the update, so it cannot
-pull the level towards itself. A reading far from both predictions is a spike. Where the innovations of
-successive readings vanish, the source is stuck.
+readings. A reading whose standardised innovation is too large in both is flagged, and a flagged reading is
+withheld from the update, so it cannot pull the level towards itself. Where the innovations, less what the
+filter's own update explains, lose their variance over a stretch of readings, the source is stuck.
 
-Long sources are cut into chunks of the sample index with a margin on both sides that lets the filters
-settle, so no task depends on the length of a source. The spread of a source comes from a log-scale
-histogram of its deviations, merged over chunks.
+The noise of the filters is the source's usual spread, so every source is judged by its own behaviour. It is
+taken first: provisional filters with the noise of each chunk give a log-scale histogram of the deviations
+of good readings from their level, and the histograms of a source's chunks are merged.
+
+Long sources are cut into chunks of the sample index with a margin on both sides, so no task depends on the
+length of a source. The margin holds the longest run that can be bad and lets the filters settle before it.
 """
 
 from __future__ import annotations
@@ -23,44 +26,74 @@ from pyspark.sql import functions as F
 from eventloom.runtime import Stages
 
 CHUNK = 1 << 15  # samples of one task's group
-MARGIN = 256  # samples of context on both sides of a chunk
+LONGEST = 512  # samples: a flagged run up to this long is bad as a whole, a longer one is a new level as a whole
+SETTLE = 256  # samples in which a filter settles
 STRETCH = 16  # readings of a stuck stretch
 STUCK = 0.01  # of the spread: readings of a stuck stretch differ by less
 SPIKE = 10.0  # times the spread: a spike is further from the level
+FLAG = 7.0  # standardised innovations above are flagged; with the level at its least certain this is under SPIKE
 WALK = 0.01  # variance of a level's step, in units of the noise variance
-REACQUIRE = 24  # withheld readings in a row after which a filter restarts at the new level
+FIRST = 201  # good readings whose median a filter starts from
 BINS = 32  # histogram bins per factor of two
 TO_SIGMA = 1.4826  # of a median absolute deviation
 
-_COLUMNS = "recording_id string, channel int, kind string, t bigint, x double"
+_CHUNKS = "recording_id string, channel int, chunk bigint, at array<int>, value array<double>, outside array<boolean>, bin array<bigint>, n array<bigint>"
+_FLAGS = "recording_id string, channel int, t bigint, reason string, score double"
+
 
+def forecast(t: list, y: list, skip: list, noise: float, longest: int = LONGEST) -> tuple[list[float], list[bool]]:
+    """Predictions of a local-level Kalman filter in the order given, and which readings it flags.
 
-def predictions(t: list, y: list, skip: list, noise: float, start: float) -> list[float]:
-    """One-step predictions of a local-level Kalman filter in the order given; flagged updates withheld."""
-    out = []
-    push = out.append
-    limit = SPIKE * SPIKE
-    level, r = start, noise * noise
-    q, p, last, missed = WALK * r, r, None, 0
-    for now, value, ignore in zip(t, y, skip):
-        push(level)
-        if last is not None:
-            p += q * abs(now - last)
+    Readings to skip and flagged ones are withheld from the update. The level stays as certain as it was over
+    a flagged run, so that the run is judged as one; a run longer than ``longest`` samples is not bad: the
+    filter goes back to its first reading and starts at the run's median. It starts anew after as long a gap."""
+    n = len(t)
+    levels, flags = [0.0] * n, [False] * n
+    r = noise * noise
+    q, limit = WALK * r, FLAG * FLAG
+    begun = _starting_level(y, skip, 0)
+    level, p, last, run, restarted = begun, r, None, -1, -1
+    i = 0
+    while i < n:
+        now = t[i]
+        if last is not None and run < 0:
+            gap = abs(now - last)
+            if gap > longest:
+                level, p = _starting_level(y, skip, i), r
+            else:
+                p = min(p + q * gap, r)
         last = now
-        if ignore:
-            continue
-        s = p + r
-        e = value - level
-        if e * e <= limit * s:
-            gain = p / s
-            level += gain * e
-            p -= gain * p
-            missed = 0
-        else:
-            missed += 1
-            if missed >= REACQUIRE:
-                level, p, missed = value, r, 0
-    return out
+        levels[i] = level
+        flags[i] = False
+        if not skip[i]:
+            s = p + r
+            e = y[i] - level
+            if e * e <= limit * s:
+                gain = p / s
+                level += gain * e
+                p -= gain * p
+                run = -1
+            else:
+                flags[i] = True
+                if run < 0:
+                    run = i
+                elif abs(now - t[run]) > longest and run != restarted:
+                    held = [y[j] for j in range(run, i + 1) if not skip[j]]
+                    level, p, last, i = float(np.median(held)), r, None, run
+                    run, restarted = -1, run
+                    continue
+        i += 1
+    return levels, flags
+
+
+def _starting_level(y: list, skip: list, at: int) -> float:
+    good: list[float] = []
+    for i in range(at, len(y)):
+        if not skip[i]:
+            good.append(y[i])
+            if len(good) == FIRST:
+                break
+    return float(np.median(good)) if good else 0.0
 
 
 def _noise(y: np.ndarray) -> float:
@@ -72,16 +105,20 @@ def _noise(y: np.ndarray) -> float:
     return s if s > 0 else 0.886 * float(np.mean(d))
 
 
-def stuck_ranges(y: np.ndarray, small: float) -> np.ndarray:
-    """For each reading the least range (max - min) of a window of STRETCH readings that holds it; infinity
-    where no window has only vanishing innovations (successive differences below ``small``)."""
+def stuck_ranges(innovations: np.ndarray, levels: np.ndarray, y: np.ndarray, small: float) -> np.ndarray:
+    """For each reading the least range (max - min) of a stretch of STRETCH readings that holds it and over
+    which the innovations' variance vanishes; infinity where there is none.
+
+    Innovations follow the level's own moves; what is left of their changes without those is the reading's
+    new information, whose root mean square over a stuck stretch is under ``small``."""
     out = np.full(len(y), np.inf)
     if len(y) < STRETCH:
         return out
     with np.errstate(invalid="ignore"):
-        still = np.abs(np.diff(y)) < small
+        new = np.abs(np.diff(innovations) + np.diff(levels))
+        still = new < small * (1 + 1e-6) + 1e-12 * np.maximum(np.abs(y[1:]), np.abs(y[:-1]))  # the range decides what rounding leaves open
     edges = np.flatnonzero(np.diff(np.concatenate(([0], still.view(np.int8), [0]))))
-    for a, b in zip(edges[::2], edges[1::2]):  # y[a..b] moves by less than small at each step
+    for a, b in zip(edges[::2], edges[1::2]):  # y[a..b] brings nothing new at any step
         if b - a + 1 < STRETCH:
             continue
         windows = np.lib.stride_tricks.sliding_window_view(y[a : b + 1], STRETCH)
@@ -91,67 +128,53 @@ def stuck_ranges(y: np.ndarray, small: float) -> np.ndarray:
     return out
 
 
-def analyse(t: np.ndarray, v: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one chunk with margins, in order of t: the stuck range, the deviation from the level of the good
-    readings around it, and whether the reading counts as good for the spread."""
+def analyse(t: np.ndarray, v: np.ndarray, outside: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one chunk with margins, in order of t: the range of the stuck stretch, the level of the good readings
+    around, the distance from it as seen from the nearer side, and whether the filters of both directions
+    flag the reading."""
     usable = np.isfinite(v) & ~outside
-    noise = _noise(v[usable])
-    ranges = stuck_ranges(v, 2 * STUCK * noise) if noise > 0 else np.full(len(v), np.inf)
-    deviation = np.full(len(v), np.nan)
-    skip = ~usable | (ranges < STUCK * noise)
-    if noise <= 0 or not (~skip).any():
-        return ranges, deviation, np.zeros(len(v), bool)
+    if noise <= 0 or not usable.any():
+        return np.full(len(v), np.inf), np.full(len(v), np.nan), np.full(len(v), np.nan), np.zeros(len(v), bool)
     y = np.where(usable, v, 0.0)
-    good = np.flatnonzero(~skip)
-    first, last = np.median(y[good[:21]]), np.median(y[good[-21:]])
-    ts, ys, ss = t.tolist(), y.tolist(), skip.tolist()
-    ahead = np.array(predictions(ts, ys, ss, noise, float(first)))
-    back = np.array(predictions(ts[::-1], ys[::-1], ss[::-1], noise, float(last)))[::-1]
-    deviation[usable] = np.minimum(np.abs(y - ahead), np.abs(y - back))[usable]
-    fine = ~skip & (deviation <= SPIKE * noise)
-    level = (ahead + back) / 2
-    return ranges, np.where(fine, np.abs(y - level), deviation), fine
-
-
-def _chunk_rows(rec: str, channel: int, chunk: int, t: np.ndarray, v: np.ndarray, outside: np.ndarray) -> list[tuple]:
-    ranges, deviation, fine = analyse(t, v, outside)
-    core = t // CHUNK == chunk
-    rows = []
-    own = deviation[core & fine]
-    if len(own):
-        with np.errstate(divide="ignore"):
-            bins = np.floor(np.log2(np.maximum(own, 1e-300)) * BINS).astype(np.int64)
-        rows += [(rec, channel, "bin", int(b), float(n)) for b, n in zip(*np.unique(bins, return_counts=True))]
-    for i in np.flatnonzero(core & np.isfinite(ranges)):
-        rows.append((rec, channel, "stuck", int(t[i]), float(ranges[i])))
-    noise = _noise(v[np.isfinite(v) & ~outside])
-    with np.errstate(invalid="ignore"):
-        far = core & ~fine & (deviation > 0.5 * SPIKE * noise)
-    for i in np.flatnonzero(far):
-        rows.append((rec, channel, "spike", int(t[i]), float(deviation[i])))
-    for i in np.flatnonzero(core & (~np.isfinite(v) | outside)):
-        rows.append((rec, channel, "impossible", int(t[i]), float(v[i])))
-    return rows
+    ts, ys = t.tolist(), y.tolist()
+    levels, flags = forecast(ts, ys, (~usable).tolist(), noise)
+    finite = np.where(np.isfinite(v), v, np.nan)
+    ranges = stuck_ranges(finite - levels, np.array(levels), finite, STUCK * noise)
+    skip = ~usable | (ranges < STUCK * noise)
+    if (skip & usable).any():
+        levels, flags = forecast(ts, ys, skip.tolist(), noise)
+    back, again = (x[::-1] for x in forecast(ts[::-1], ys[::-1], skip[::-1].tolist(), noise))
+    ahead, back = np.array(levels), np.array(back)
+    known = usable & ~skip.all()
+    deviation = np.where(known, np.minimum(np.abs(y - ahead), np.abs(y - back)), np.nan)
+    return ranges, (ahead + back) / 2, deviation, known & np.array(flags, bool) & np.array(again, bool)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of a sorted partition, one in memory at a time; repeats of a reading are adjacent."""
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.float64()]
-    names = ["recording_id", "channel", "kind", "t", "x"]
+def deviations(t: np.ndarray, v: np.ndarray, outside: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-scale bins and counts of the good readings' deviations from their level, over a chunk's own samples."""
+    usable = np.isfinite(v) & ~outside
+    noise = _noise(v[usable])
+    ranges, level, deviation, _ = analyse(t, v, outside, noise)
+    with np.errstate(invalid="ignore"):
+        good = (t // CHUNK == chunk) & usable & ~(ranges < STUCK * noise) & (deviation <= SPIKE * noise)
+        own = np.abs(v[good] - level[good])
+    return np.unique(np.floor(np.log2(np.maximum(own, 1e-300)) * BINS).astype(np.int64), return_counts=True)
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per chunk of a sorted partition, one in memory at a time; repeats of a reading are adjacent."""
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["recording_id", "channel", "chunk", "at", "value", "outside", "bin", "n"]
     held: list[tuple] = []
     key: tuple | None = None
-    out: list[tuple] = []
 
-    def close() -> None:
-        if key is None:
-            return
+    def close() -> pa.RecordBatch:
         t, v, outside = (np.concatenate(c) for c in zip(*held))
         once = np.concatenate(([True], t[1:] != t[:-1]))
-        out.extend(_chunk_rows(*key[1:], t[once], v[once], outside[once]))
+        t, v, outside = t[once], v[once], outside[once]
+        rec, channel, chunk = key[1:]
+        row = (rec, channel, chunk, (t - chunk * CHUNK).astype(np.int32), v, outside, *deviations(t, v, outside, chunk))
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=names)
 
     for b in batches:
         if not b.num_rows:
@@ -164,33 +187,58 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, z in zip(starts, ends):
             now = (int(g[a]), rec[a].as_py(), int(channel[a]), int(chunk[a]))
             if now != key:
-                close()
+                if key is not None:
+                    yield close()
                 key, held = now, []
             piece_t = t[a:z]
             once = np.concatenate(([True], piece_t[1:] != piece_t[:-1]))
             held.append((piece_t[once], v[a:z][once], outside[a:z][once]))
-        if len(out) > 20_000:
-            yield batch(out)
-            out = []
-    close()
-    if out:
-        yield batch(out)
+    if key is not None:
+        yield close()
+
+
+def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Flags of rows (recording_id, channel, chunk, at, value, outside, spread), each a chunk."""
+    for b in batches:
+        for i in range(b.num_rows):
+            rec, channel, chunk = (b.column(k)[i].as_py() for k in range(3))
+            at, v = (b.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (3, 4))
+            outside = b.column(5)[i].values.to_numpy(zero_copy_only=False).astype(bool)
+            spread = b.column(6)[i].as_py() or 0.0
+            t = at.astype(np.int64) + chunk * CHUNK
+            ranges, _, deviation, flagged = analyse(t, v, outside, spread)
+            core = (at >= 0) & (at < CHUNK)
+            with np.errstate(invalid="ignore"):
+                stuck, spike = core & (ranges < STUCK * spread), core & flagged & (deviation > SPIKE * spread)
+            rows, reason, score = [], [], []
+            for name, where, x in (("stuck", stuck, ranges / (spread or 1.0)), ("spike", spike, deviation / (spread or 1.0)), ("impossible", core & (~np.isfinite(v) | outside), v)):
+                rows.append(t[where])
+                reason += [name] * int(where.sum())
+                score.append(x[where])
+            n = len(reason)
+            if n:
+                arrays = [pa.array([rec] * n, pa.string()), pa.array([channel] * n, pa.int32()), pa.array(np.concatenate(rows)), pa.array(reason, pa.string()), pa.array(np.concatenate(score), pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["recording_id", "channel", "t", "reason", "score"])
 
 
 def flag_readings(readings: DataFrame, recordings: DataFrame) -> DataFrame:
     """Bad readings: recording_id, channel, t, reason (impossible, stuck or spike) and score.
 
     ``score`` is the value itself (impossible), the range of the stretch over the spread (stuck) or the
-    distance from the level over the spread (spike). A reading may have several reasons, each one row.
+    distance from the level over the spread (spike). A reading may have several reasons, each one row. A
+    run of readings far from the level is bad as a whole up to LONGEST samples; a longer one is a new level
+    and good as a whole, except where its readings agree with no level either.
 
     Null values are no readings, and rows with a null recording, channel or t belong to no source: neither
     gives a row. Repeats count once; of different values for one sample the smallest counts. Recordings
     that are not listed, or have null bounds, have no impossible finite values. A source without spread has
     neither spikes nor stuck stretches. Empty tables give an empty result; extra columns are ignored.
 
-    One shuffle of the readings, by chunk of a source: no source, however large, makes a task larger.
+    One shuffle of the readings, by chunk of a source: no source, however large, makes a task larger. The
+    chunks are written as one row each, and read again once the spreads are known.
     """
     stages = Stages(readings.sparkSession, "spikes")
+    margin = LONGEST + SETTLE
     limits = recordings.groupBy(F.col("recording_id").alias("r")).agg(F.min("adc_min").alias("low"), F.max("adc_max").alias("high"))
     chunk = F.floor(F.col("t") / CHUNK)
     place = F.pmod("t", F.lit(CHUNK))
@@ -201,26 +249,21 @@ def flag_readings(readings: DataFrame, recordings: DataFrame) -> DataFrame:
         .select("recording_id", "channel", "t", "value", F.coalesce((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")), F.lit(False)).alias("outside"))
         .withColumn(
             "chunk",
-            F.explode(F.when(place < MARGIN, F.array(chunk, chunk - 1)).when(place >= CHUNK - MARGIN, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))),
+            F.explode(F.when(place < margin, F.array(chunk, chunk - 1)).when(place >= CHUNK - margin, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))),
         )
         .select(F.xxhash64("recording_id", "channel", "chunk").alias("g"), "recording_id", "channel", "chunk", "t", "value", "outside")
         .repartition("g")
         .sortWithinPartitions("g", "recording_id", "channel", "chunk", "t", "value")
     )
-    seen = stages.write(rows.mapInArrow(_scan, _COLUMNS))
+    chunks = stages.write(rows.mapInArrow(_gather, _CHUNKS), **{"parquet.block.size": 16 << 20})
     spread = (
-        seen.where("kind = 'bin'")
+        chunks.select("recording_id", "channel", F.inline(F.arrays_zip("bin", "n")))
         .groupBy("recording_id", "channel")
-        .agg(F.expr("percentile(t, 0.5, cast(x as bigint))").alias("bin"))
+        .agg(F.expr("percentile(bin, 0.5, n)").alias("bin"))
         .select("recording_id", "channel", (F.lit(TO_SIGMA) * F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS)).alias("spread"))
     )
-    score = F.when(F.col("kind") == "impossible", F.col("x")).otherwise(F.col("x") / F.col("spread"))
-    return (
-        seen.where("kind <> 'bin'")
-        .join(spread, ["recording_id", "channel"], "left")
-        .select("recording_id", "channel", "t", F.col("kind").alias("reason"), score.alias("score"))
-        .where((F.col("reason") == "impossible") | ((F.col("reason") == "stuck") & (F.col("score") < STUCK)) | ((F.col("reason") == "spike") & (F.col("score") > SPIKE)))
-    )
+    judged = chunks.join(spread, ["recording_id", "channel"], "left").select("recording_id", "channel", "chunk", "at", "value", "outside", "spread")
+    return judged.mapInArrow(_flag, _FLAGS)
 
 
 def found_readings(readings: DataFrame, recordings: DataFrame) -> DataFrame:

@@ -95,10 +95,10 @@ class Stages:
             atexit.register(_clean)
         _ROOTS.append(self)
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, **options) -> DataFrame:
         path = f"{self.root}/{self.count:03d}"
         self.count += 1
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._eventloom_path = path
         return kept

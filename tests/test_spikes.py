@@ -61,3 +61,30 @@ def test_spread_does_not_depend_on_chunks(spark):
     x[100] = 50 + 2.5 * 12
     flags = spikes.flag_readings(frames(spark, [("r", 1, i, float(v), None, None) for i, v in enumerate(x)])[0], recordings).collect()
     assert [r.t for r in flags] == [100] and 10.5 < flags[0].score < 13.5
+
+
+def test_long_runs_are_decided_as_a_whole(spark):
+    for length in (10, 30, 60, 200, 500):
+        x = noisy(4000, 5)
+        x[1500 : 1500 + length] += 30
+        assert found(spark, x) == list(range(1500, 1500 + length))
+    x = noisy(4000, 5)
+    x[1500:2100] += 30  # longer than LONGEST: a new level
+    assert found(spark, x) == []
+
+
+def test_noisy_chunk_and_stuck_chunk(spark):
+    c = spikes.CHUNK
+    x = noisy(4 * c, 6)
+    x[c : 2 * c] = 50 + 4 * (x[c : 2 * c] - 50)  # one chunk of four times the spread
+    x[c + 500 : c + 516] = x[c + 500]
+    x[3 * c : 4 * c] = x[3 * c]  # a whole chunk stuck
+    got = found(spark, x)
+    assert set(range(c + 500, c + 516)) <= set(got) and set(range(3 * c, 4 * c)) <= set(got)
+
+
+def test_readings_that_agree_with_no_level(spark):
+    x = noisy(3000, 7)
+    x[1000:1700] += np.where(np.arange(700) % 2 == 0, 300, -300)
+    got = found(spark, x)
+    assert got and min(got) >= 1000 and max(got) < 1700
