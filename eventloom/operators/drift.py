@@ -1,28 +1,26 @@
 """Files whose fields drift: one consistent table, and a report of each change.
 
-Contents load as maps from path to raw type and text. Statistics by path and type decide the type of each
-column; projecting reports every value that does not cast. Changes between successive files of a stream
-are found by a scan in chunks: each chunk sums up what it does to the stream's state, the summaries are
-chained, and each chunk then reports its changes from the state before it. A stream of any length thereby
-spreads over many tasks.
+Contents load as maps from path to raw type and text. Statistics of paths and types by file tell what each
+file changes against the one before in its stream; over all files they decide the type of each column, and
+projecting reports every value that does not cast. Only parsing runs in Python.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventloom.operators.nested import json_type, raw_text, read_json, valid_text
 from eventloom.runtime import Stages
 
 CHUNK = 4096  # places of a stream in one group
+COLUMNS = 2000  # columns of the consistent table; rarer paths stay in a map
 _VALUES = "map<string,struct<type:string,value:string>>"
-_CHANGES = "file_id bigint, field_name string, change_kind string, new_name string"
 
 
 def _text(value: object) -> str | None:
@@ -32,21 +30,27 @@ def _text(value: object) -> str | None:
     return valid_text(raw_text(value))
 
 
+def _step(name: str) -> str:
+    """A name as a step of a path: ~ and / are spelt ~0 and ~1."""
+    return valid_text(name).replace("~", "~0").replace("/", "~1")
+
+
 def _paths(value: dict, nested: bool) -> Iterator[tuple[str, dict]]:
     for name, x in value.items():
         kind = json_type(x)
         if nested and kind in ("object", "array") and x:
             inner = x if kind == "object" else {str(i): y for i, y in enumerate(x)}
             for path, leaf in _paths(inner, nested):
-                yield f"{valid_text(name)}/{path}", leaf
+                yield f"{_step(name)}/{path}", leaf
         else:
-            yield valid_text(name), {"type": kind, "value": _text(x)}
+            yield _step(name) if nested else valid_text(name), {"type": kind, "value": _text(x)}
 
 
 def path_values(files: DataFrame, nested: bool = False) -> DataFrame:
     """file_id, script, dataset, seq, readable, fields (path -> raw type and text); one row per file.
 
-    ``nested`` goes down to the leaves instead of stopping at the top-level fields. Null, empty and
+    ``nested`` goes down to the leaves instead of stopping at the top-level fields; in its paths a slash
+    within a name is spelt ~1 and a tilde ~0. Null, empty and
     unreadable contents, and those that are no JSON object, have readable = false and no fields. Repeats
     count once. Extra columns are ignored. A field that a content spells twice has its last value.
     """
@@ -65,162 +69,92 @@ def path_values(files: DataFrame, nested: bool = False) -> DataFrame:
     return rows.mapInArrow(load, f"file_id bigint, script string, dataset string, seq bigint, readable boolean, fields {_VALUES}")
 
 
-# --- changes -------------------------------------------------------------------------------------------
-# A state maps each field of the last readable file to (type, text, known): known is the type of its last
-# non-null value since it was added, None before the first, or "^name" while it is what the field of that
-# name had when the chunk began.
+# --- statistics and changes ------------------------------------------------------------------------------
 
 
-def first_state(fields: dict, inherit: bool) -> dict:
-    return {n: (k, v, k if k != "null" else f"^{n}" if inherit else None) for n, (k, v) in fields.items()}
+def file_statistics(values: DataFrame) -> DataFrame:
+    """The type and raw text of each path in each file: file_id, script, dataset, seq, path, type, value."""
+    return values.select("file_id", "script", "dataset", "seq", F.explode("fields").alias("path", "x")).select("file_id", "script", "dataset", "seq", "path", "x.type", "x.value")
 
 
-def next_state(state: dict, fields: dict) -> tuple[dict, list[tuple[str, str, str]]]:
-    """The state after a file, and its changes: (field name, kind, new name)."""
-    changes: list[tuple[str, str, str]] = []
-    gone = sorted(n for n in state if n not in fields)
-    by_value: dict[tuple, list[str]] = {}
-    for n in gone:
-        if state[n][0] != "null":
-            by_value.setdefault(state[n][:2], []).append(n)
-    renamed: dict[str, str] = {}
-    for n in sorted(n for n in fields if n not in state):
-        if olds := by_value.get(fields[n]):
-            renamed[n] = olds.pop(0)
-            changes.append((renamed[n], "renamed", n))
-        else:
-            changes.append((n, "added", ""))
-    moved = set(renamed.values())
-    changes += [(n, "removed", "") for n in gone if n not in moved]
-    out = {}
-    for n, (kind, value) in fields.items():
-        before = state.get(renamed.get(n, n))
-        known = before[2] if before else None
-        if kind != "null":
-            if known is not None and not known.startswith("^") and known != kind:
-                changes.append((n, "type_changed", ""))
-            known = kind
-        out[n] = (kind, value, known)
-    return out, changes
-
-
-def chained(state: dict, before: dict | None) -> dict:
-    """A chunk's last state with what it inherits filled in from the state before the chunk."""
-    before = before or {}
-    return {n: (k, v, before[x[1:]][2] if x and x[0] == "^" and x[1:] in before else None if x and x[0] == "^" else x) for n, (k, v, x) in state.items()}
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for b in batches:
-        yield from b.to_pylist()
-
-
-def _fields(row: dict) -> dict:
-    return {n: (x["type"], x["value"]) for n, x in row["fields"]}
-
-
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last state of each chunk of a sorted partition."""
-    key, state, out = None, None, []
-    names = ["script", "dataset", "chunk", "state"]
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.string()))], names=names)
-
-    for row in _groups(batches):
-        now = (row["script"], row["dataset"], row["chunk"])
-        if now != key:
-            if state is not None:
-                out.append((*key, json.dumps(state)))
-            key, state = now, None
-        state = first_state(_fields(row), True) if state is None else next_state(state, _fields(row))[0]
-        if len(out) >= 2000:
-            yield batch()
-            out = []
-    if state is not None:
-        out.append((*key, json.dumps(state)))
-    if out:
-        yield batch()
-
-
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The state before each chunk of a stream; a partition holds its streams' summaries in order."""
-    key, state = None, None
-    for b in batches:
-        states = []
-        for row in b.to_pylist():
-            now = (row["script"], row["dataset"])
-            if now != key:
-                key, state = now, None
-            states.append(None if state is None else json.dumps(state))
-            state = chained(json.loads(row["state"]), state)
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(states, pa.string())], names=["script", "dataset", "chunk", "state"])
-
-
-def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, state, out = None, None, []
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["file_id", "field_name", "change_kind", "new_name"])
-
-    for row in _groups(batches):
-        now = (row["script"], row["dataset"], row["chunk"])
-        if now != key:
-            key, state = now, None
-        if row["state"] is not None:
-            state = json.loads(row["state"])
-        elif row["file_id"] is not None:
-            if state is None:
-                state = first_state(_fields(row), False)
-            else:
-                state, changes = next_state({n: tuple(x) for n, x in state.items()}, _fields(row))
-                out += [(row["file_id"], *c) for c in changes]
-        if len(out) >= 20_000:
-            yield batch()
-            out = []
-    if out:
-        yield batch()
+def type_statistics(values: DataFrame) -> DataFrame:
+    """path, type, n_files, first_file, last_file over ``path_values``."""
+    return file_statistics(values).groupBy("path", "type").agg(F.count("*").alias("n_files"), F.min("file_id").alias("first_file"), F.max("file_id").alias("last_file"))
+
+
+def _placed(values: DataFrame, chunk: int) -> DataFrame:
+    """stream, n (from 1, in order of seq and file_id), file_id, fields. Places are counted within spans of seq
+    first, and the spans' sizes added, so a stream of any length is spread over tasks."""
+    cut = values.select(F.to_json(F.struct("script", "dataset")).alias("stream"), F.floor(F.col("seq") / chunk).alias("span"), "seq", "file_id", "fields")
+    within = cut.withColumn("place", F.row_number().over(Window.partitionBy("stream", "span").orderBy("seq", "file_id")))
+    sizes = cut.groupBy("stream", "span").agg(F.count("*").alias("size"))
+    before = sizes.select("stream", "span", (F.sum("size").over(Window.partitionBy("stream").orderBy("span")) - F.col("size")).alias("before"))
+    return within.join(before, ["stream", "span"]).select("stream", (F.col("before") + F.col("place")).alias("n"), "file_id", "fields")
+
+
+def _differences(placed: DataFrame) -> DataFrame:
+    """stream, n, path, before, now (structs of type and value; null where the file lacks the path) of each path
+    whose presence or type differs between a file and the one before. A file's statistics meet those of
+    the file before by (stream, n, path), so no stream or path is a hot key."""
+    each = placed.select("stream", "n", F.explode("fields").alias("path", "x"))
+    none = F.lit(None).cast("struct<type:string,value:string>")
+    both = each.select("stream", "n", "path", F.col("x").alias("now"), none.alias("before")).unionByName(each.select("stream", (F.col("n") + 1).alias("n"), "path", none.alias("now"), F.col("x").alias("before")))
+    pairs = both.groupBy("stream", "n", "path").agg(F.max("before").alias("before"), F.max("now").alias("now"))
+    return pairs.where("n > 1 and (now is null or before is null or now.type <> before.type)")
+
+
+def _known_types(retyped: DataFrame, chunk: int) -> DataFrame:
+    """Fields whose null value becomes one of another type than they had before the nulls: stream, n, path.
+
+    Between its changes a field's type stays as it is, so the change before the end of the nulls is their
+    start, which tells the type before them (none for a field that came with a null). Hot fields are cut
+    into spans of n: the first change of a span takes the last one of the spans before."""
+    cut = retyped.where("now.type = 'null' or before.type = 'null'").select("stream", "path", "n", F.floor(F.col("n") / chunk).alias("span"), F.struct(F.col("before.type").alias("was"), F.col("now.type").alias("is")).alias("c"))
+    w = Window.partitionBy("stream", "path", "span").orderBy("n")
+    within = cut.withColumn("last", F.lag("c").over(w))
+    ends = cut.groupBy("stream", "path", "span").agg(F.max_by("c", "n").alias("end"))
+    carried = ends.select("stream", "path", "span", F.lag("end").over(Window.partitionBy("stream", "path").orderBy("span")).alias("carried"))
+    known = within.join(carried, ["stream", "path", "span"]).withColumn("start", F.coalesce("last", "carried"))
+    return known.where("c.was = 'null' and c.is <> 'null' and start.is = 'null' and start.was <> 'null' and start.was <> c.is").select("stream", "n", "path")
 
 
 def field_changes(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """p6_found: file_id, field_name, change_kind, new_name of each change against the readable file before.
 
+    Candidates are the differences between the path-type statistics of a file and of the file before; of
+    those that go or come, equal values of one type are renames.
+
     Files without seq have no place in a stream and give no rows; of equal places the smaller file_id
     comes first. Null scripts and datasets are values like any other. Of several fields that could have
     been renamed into each other, names are paired in alphabetical order.
     """
     stages = Stages(files.sparkSession, "drift")
-    stream = ["script", "dataset", "chunk"]
-    rows = stages.write(
-        path_values(files).where("readable and seq is not null").withColumn("chunk", F.floor(F.col("seq") / chunk))
-    ).select(*stream, "seq", "file_id", "fields")
-    summaries = rows.repartition(*stream).sortWithinPartitions(*stream, "seq", "file_id").mapInArrow(_summaries, "script string, dataset string, chunk bigint, state string")
-    states = summaries.repartition("script", "dataset").sortWithinPartitions(*stream).mapInArrow(_chain, "script string, dataset string, chunk bigint, state string")
-    none = {"seq": F.lit(None).cast("bigint"), "file_id": F.lit(None).cast("bigint"), "fields": F.lit(None).cast(_VALUES)}
-    both = states.where("state is not null").withColumns(none).unionByName(rows.withColumn("state", F.lit(None).cast("string")))
-    ordered = both.repartition(*stream).sortWithinPartitions(*stream, F.col("seq").asc_nulls_first(), "file_id")
-    return ordered.mapInArrow(_report, _CHANGES)
+    placed = stages.write(_placed(path_values(files).where("readable and seq is not null"), chunk))
+    found = stages.write(_differences(placed))
+    moved = found.where("now is null or before is null").withColumn("x", F.coalesce("now", "before"))
+    sides = moved.groupBy("stream", "n", F.col("x.type").alias("type"), F.col("x.value").alias("value")).agg(
+        F.sort_array(F.collect_list(F.when(F.col("now").isNull(), F.col("path")))).alias("gone"), F.sort_array(F.collect_list(F.when(F.col("before").isNull(), F.col("path")))).alias("come")
+    )
+    both = F.when(F.col("type") != "null", F.least(F.size("gone"), F.size("come"))).otherwise(0)
+    change = lambda kind, new=None: lambda f: F.struct(f.alias("field_name"), F.lit(kind).alias("change_kind"), (F.lit("") if new is None else new(f)).alias("new_name"))
+    sides = sides.withColumn("m", both)
+    rest = lambda side: F.slice(side, F.col("m") + 1, F.size(side))
+    renamed = F.transform(F.arrays_zip(F.slice("gone", F.lit(1), F.col("m")).alias("old"), F.slice("come", F.lit(1), F.col("m")).alias("new")), lambda z: F.struct(z["old"].alias("field_name"), F.lit("renamed").alias("change_kind"), z["new"].alias("new_name")))
+    changes = sides.select("stream", "n", F.inline(F.concat(renamed, F.transform(rest("gone"), change("removed")), F.transform(rest("come"), change("added")))))
+    retyped = found.where("now.type <> before.type and now.type <> 'null' and before.type <> 'null'").select("stream", "n", "path").unionByName(_known_types(found.where("now is not null"), chunk))
+    types = retyped.select("stream", "n", F.col("path").alias("field_name"), F.lit("type_changed").alias("change_kind"), F.lit("").alias("new_name"))
+    return changes.unionByName(types).join(placed.select("stream", "n", "file_id"), ["stream", "n"]).select("file_id", "field_name", "change_kind", "new_name")
 
 
 # --- one table -----------------------------------------------------------------------------------------
 
 
-def type_statistics(values: DataFrame) -> DataFrame:
-    """path, type, n_files, first_file, last_file over ``path_values``."""
-    return (
-        values.select("file_id", F.explode("fields").alias("path", "x"))
-        .groupBy("path", F.col("x.type").alias("type"))
-        .agg(F.count("*").alias("n_files"), F.min("file_id").alias("first_file"), F.max("file_id").alias("last_file"))
-    )
-
-
-def column_types(statistics: DataFrame) -> dict[str, str]:
+def column_types(statistics: DataFrame, most: int = COLUMNS) -> dict[str, str]:
     """The commonest non-null type of each path (ties: the alphabetically last; string where there is none);
-    the schema of the table, one entry per column to be built."""
+    the schema of the table, one entry per column to be built: the ``most`` paths that most files have."""
     typed = F.when(F.col("type") != "null", F.col("type"))
-    rows = statistics.groupBy("path").agg(F.coalesce(F.max_by(typed, F.when(typed.isNotNull(), F.struct("n_files", "type"))), F.lit("string")).alias("type"))
-    return dict(sorted(tuple(r) for r in rows.collect()))
+    rows = statistics.groupBy("path").agg(F.coalesce(F.max_by(typed, F.when(typed.isNotNull(), F.struct("n_files", "type"))), F.lit("string")).alias("type"), F.sum("n_files").alias("n"))
+    return dict(sorted((r["path"], r["type"]) for r in rows.orderBy(F.desc("n"), "path").limit(most).collect()))
 
 
 def _column(path: str, kind: str) -> tuple[Column, Column]:
@@ -238,18 +172,22 @@ def _column(path: str, kind: str) -> tuple[Column, Column]:
     return value, there & value.isNull()
 
 
-def consistent_table(files: DataFrame, nested: bool = False) -> DataFrame:
-    """All files in one table: file_id, script, dataset, seq, readable, a typed column per path and
-    failed_casts (the paths whose value has no place in its column, with type and text).
+def consistent_table(files: DataFrame, nested: bool = False, most: int = COLUMNS) -> DataFrame:
+    """All files in one table: file_id, script, dataset, seq, readable, a typed column per path, other_fields
+    and failed_casts (the paths whose value has no place in its column, with type and text).
+
+    Where names are data there may be more paths than a table can have columns: the ``most`` commonest paths
+    are columns, and the values of all others are in the map other_fields (path to type and text).
 
     Column names keep letters, digits and underscores of the path; names that would then clash, also with
     the fixed columns or by case, get a running number. Unreadable files have null columns.
     """
     stages = Stages(files.sparkSession, "table")
     values = stages.write(path_values(files, nested))
-    used = {"file_id", "script", "dataset", "seq", "readable", "failed_casts"}
+    used = {"file_id", "script", "dataset", "seq", "readable", "other_fields", "failed_casts"}
     columns, failed = [], []
-    for path, kind in column_types(type_statistics(values)).items():
+    types = column_types(type_statistics(values), most)
+    for path, kind in types.items():
         base = name = re.sub(r"\W", "_", path) or "_"
         n = 2
         while name.lower() in used:
@@ -261,7 +199,9 @@ def consistent_table(files: DataFrame, nested: bool = False) -> DataFrame:
         failed.append(F.when(bad, F.struct(F.lit(path).alias("path"), x["type"].alias("type"), x["value"].alias("value"))))
     shape = "array<struct<path:string,type:string,value:string>>"
     casts = F.filter(F.array(*failed), lambda x: x.isNotNull()) if failed else F.array()
-    return values.select("file_id", "script", "dataset", "seq", "readable", *columns, casts.cast(shape).alias("failed_casts"))
+    known = F.create_map(*(F.lit(x) for path in types for x in (path, True))) if types else F.create_map().cast("map<string,boolean>")
+    others = F.map_filter("fields", lambda path, _: known[path].isNull()) if len(types) == most else F.create_map().cast(_VALUES)
+    return values.select("file_id", "script", "dataset", "seq", "readable", *columns, others.alias("other_fields"), casts.cast(shape).alias("failed_casts"))
 
 
 def failed_casts(table: DataFrame) -> DataFrame:

@@ -87,3 +87,15 @@ def test_table_and_failed_casts(spark, rows):
 def test_empty(spark):
     none = frame(spark, [])
     assert drift.field_changes(none).count() == 0 and drift.consistent_table(none).count() == 0
+
+
+def test_steps_of_nested_paths_do_not_mix(spark, rows):
+    values = drift.path_values(frame(spark, stream([{"a/b": 1, "a": {"b": 2, "~": 3}}])), nested=True)
+    assert rows(drift.file_statistics(values), "path", "value") == [("a/b", "2"), ("a/~0", "3"), ("a~1b", "1")]
+
+
+def test_more_paths_than_columns(spark, rows):
+    files = frame(spark, stream([{"a": 1, "b": 2}, {"a": 3, "c": "x"}, {"a": 4, "b": 5}]))
+    t = drift.consistent_table(files, most=2)
+    assert rows(t, "file_id", "a", "b") == [(1, 1.0, 2.0), (2, 3.0, None), (3, 4.0, 5.0)]
+    assert [tuple(r) for r in t.where("size(other_fields) > 0").selectExpr("file_id", "other_fields['c'].value").collect()] == [(2, "x")]
