@@ -1,23 +1,42 @@
 """Pairing records with the nearest in time, by expanding rings.
 
-Time is cut into buckets. A left row compares with its own bucket and the two beside it, which reach at
-least one bucket's width to either side: a match within that width is provably the nearest. Rows without
-one go on to buckets of twice the width, up to the tolerance. Of a neighbouring bucket only its last or
-first record can be nearest, so that is all a bucket sends to its neighbours. A row that goes on has no
-record in its own bucket, so from the second ring on the first and last record of each bucket of the ring
-before are all that can be nearest: however many records a burst holds, no row meets more than a few.
+A ring has a reach, and time is cut into buckets of some reaches. A left row compares with its own bucket and
+with the records of the two beside it that lie within the reach of the border: a match within the reach is
+provably the nearest. Rows without one go on to a ring of twice the reach, in buckets of twice the width, up
+to the tolerance.
+
+Within a bucket both sides are merged in order of time, each left row meeting the record before it and the
+one after it: the work is linear however many records a burst holds, here or in any other key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventloom.runtime import Stages
 
-RINGS = 4  # rings of ordinary data; the first is made finer where a bucket would hold more than DENSE records
-DENSE = 64
-FINEST = 2.0**-40  # of the tolerance
+RINGS = 2  # the last has the tolerance as its reach, each before it half of the next
+WIDTH = 8  # reaches of a bucket: one record in four is sent to a second bucket
+
+
+def _ring(rest: DataFrame, records: DataFrame, names: list[str], reach: float) -> DataFrame:
+    """names, t, id, distance, rid of each left row: its nearest record in the bucket or within the reach of its
+    borders; null where there is none. One shuffle by bucket; repeats of a left row count once."""
+    width = WIDTH * reach or 1.0
+    bucket = F.floor(F.col("t") / width).cast("double")
+    place = F.col("t") - bucket * width
+    near = F.array_compact(F.array(bucket, F.when(place <= reach, bucket - 1), F.when(width - place <= reach, bucket + 1)))
+    both = rest.select(*names, bucket.alias("bucket"), "t", "id", F.lit(True).alias("left")).unionByName(records.select(*names, F.explode(near).alias("bucket"), "t", F.col("id").alias("rid"), F.lit(False).alias("left")), allowMissingColumns=True)
+    # of equal times a record comes before a left row from either side, and the smaller id last
+    w = Window.partitionBy(*names, "bucket")
+    record = F.when(~F.col("left"), F.struct("t", "rid"))
+    both = both.withColumn("before", F.last(record, ignorenulls=True).over(w.orderBy("t", "left", F.desc("rid")).rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("after", F.last(record, ignorenulls=True).over(w.orderBy(F.desc("t"), "left", F.desc("rid")).rowsBetween(Window.unboundedPreceding, 0)))
+    pick = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("t") - F.col(f"{c}.t")).alias("distance"), F.col(f"{c}.t").alias("rt"), F.col(f"{c}.rid").alias("rid")))
+    once = both.where("left").withColumn("best", F.least(pick("before"), pick("after"))).groupBy(*names, "bucket", "t", "id").agg(F.min("best").alias("best"))
+    return once.select(*names, "t", "id", "best.distance", "best.rid")
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, left_id: str, right_id: str, tolerance: float, rings: int = RINGS) -> DataFrame:
@@ -27,8 +46,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, left_
     Both frames have the key and time columns and their id; other columns are ignored, whatever their
     names. A right row may serve several left rows. Of two equally near, the earlier counts, and of equal
     times the smaller id. Rows with a null key or a null or non-finite time have no partner. Repeats count
-    once. Empty tables give an empty result. A hot key is split by its buckets; many right rows of one
-    time count as one.
+    once. Empty tables give an empty result. A hot key is split by its buckets.
     """
     stages = Stages(left.sparkSession, "nearest")
     names = [f"k{i}" for i in range(len(keys))]
@@ -39,36 +57,14 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, left_
         fine = ~F.isnan("t") & (F.abs("t") != float("inf"))
         return picked.where(fine & F.col("t").isNotNull() & F.expr(" and ".join(f"{n} is not null" for n in names)))
 
-    rest = rows(left, left_id).distinct()
-    times = stages.write(rows(right, right_id).groupBy(*names, "t").agg(F.min("id").alias("id")))
-    width = tolerance / 2 ** (rings - 1)
-    while width > tolerance * FINEST:
-        most = times.groupBy(*names, F.floor(F.col("t") / width)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if most <= DENSE:
-            break
-        width /= 2 ** max(1, (most // DENSE).bit_length() - 1)
-    found, first_ring = [], True
-    while True:
-        if not first_ring:
-            fine = times.groupBy(*names, F.floor(F.col("t") / (width / 2)).alias("fine")).agg(F.min(F.struct("t", "id")).alias("a"), F.max(F.struct("t", "id")).alias("b"))
-            times = stages.write(fine.select(*names, F.inline(F.array_distinct(F.array("a", "b")))))
-        first_ring = False
-        bucket = F.floor(F.col("t") / width)
-        own = times.select(*names, bucket.alias("bucket"), "t", "id")
-        edge = own.groupBy(*names, "bucket").agg(F.max(F.struct("t", "id")).alias("last"), F.min(F.struct("t", "id")).alias("first"))
-        moved = lambda by, c: F.struct((F.col("bucket") + by).alias("bucket"), F.col(f"{c}.t").alias("t"), F.col(f"{c}.id").alias("id"))
-        beside = edge.select(*names, F.inline(F.array(moved(1, "last"), moved(-1, "first"))))
-        candidates = own.unionByName(beside).withColumnsRenamed({"t": "rt", "id": "rid"})
-        joined = rest.withColumn("bucket", bucket).join(candidates, [*names, "bucket"], "left")
-        # the grouping keys contain the join's, so the join's shuffle serves both
-        nearest_of = F.min(F.when(F.col("rid").isNotNull(), F.struct(F.abs(F.col("t") - F.col("rt")).alias("distance"), "rt", "rid")))
-        done = stages.write(joined.groupBy(*names, "bucket", "t", "id").agg(nearest_of.alias("best")).select(*names, "t", "id", "best.distance", "best.rid"))
-        sure = F.coalesce(F.col("distance") <= width, F.lit(False))
-        found.append(done.where(sure & (F.col("distance") <= tolerance)).select(F.col("id").alias(left_id), F.col("rid").alias(right_id), "distance"))
-        if width >= tolerance:
-            break
-        rest = done.where(~sure).select(*names, "t", "id")
-        width *= 2
+    rest, records, found = rows(left, left_id), rows(right, right_id), []
+    for ring in range(rings):
+        reach = tolerance / 2 ** (rings - 1 - ring)
+        done = _ring(rest, records, names, reach)
+        if ring < rings - 1:
+            done = stages.write(done)
+        found.append(done.where(F.col("distance") <= reach).select(F.col("id").alias(left_id), F.col("rid").alias(right_id), "distance"))
+        rest = done.where(F.coalesce(F.col("distance") > reach, F.lit(True))).select(*names, "t", "id")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -42,3 +42,10 @@ def test_bursts_on_both_sides(spark, rows):
     b = [(1000 + i, "p", 1, 50.00005 + i * 1e-4) for i in range(300)] + [(2000, "p", 1, 70.5)]
     left, right = frames(spark, a, b)
     assert rows(nn.nearest_firings(left, right)) == brute(a, b, 20.0)
+
+
+def test_ids_of_other_types_and_no_tolerance(spark, rows):
+    left = spark.createDataFrame([("a", 1, 5.0), ("b", 1, 6.0)], "l string, k int, time double")
+    right = spark.createDataFrame([(7, 1, 5.0), (8, 1, 6.5)], "r bigint, k int, time double")
+    assert rows(nn.nearest(left, right, ["k"], "time", "l", "r", 0.0), "l", "r") == [("a", 7)]
+    assert rows(nn.nearest(left, right, ["k"], "time", "l", "r", 0.5), "l", "r") == [("a", 7), ("b", 8)]
