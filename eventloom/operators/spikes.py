@@ -44,7 +44,7 @@ _FLAGS = "recording_id string, channel int, t bigint, reason string, score doubl
 def forecast(t: list, y: list, skip: list, noise: float, longest: int = LONGEST) -> tuple[list[float], list[bool]]:
     """Predictions of a local-level Kalman filter in the order given, and which readings it flags.
 
-    Readings to skip and flagged ones are withheld from the update. The level stays as certain as it was over
+    Readings to skip, judged alone, and flagged ones are withheld from the update. The level stays as certain as it was over
     a flagged run, so that the run is judged as one; a run longer than ``longest`` samples is not bad: the
     filter goes back to its first reading and starts at the run's median. It starts anew after as long a gap."""
     n = len(t)
@@ -64,10 +64,12 @@ def forecast(t: list, y: list, skip: list, noise: float, longest: int = LONGEST)
                 p = min(p + q * gap, r)
         last = now
         levels[i] = level
-        flags[i] = False
-        if not skip[i]:
-            s = p + r
-            e = y[i] - level
+        s = p + r
+        e = y[i] - level
+        if skip[i]:
+            flags[i] = e * e > limit * s
+        else:
+            flags[i] = False
             if e * e <= limit * s:
                 gain = p / s
                 level += gain * e
@@ -262,7 +264,8 @@ def flag_readings(readings: DataFrame, recordings: DataFrame) -> DataFrame:
         .agg(F.expr("percentile(bin, 0.5, n)").alias("bin"))
         .select("recording_id", "channel", (F.lit(TO_SIGMA) * F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS)).alias("spread"))
     )
-    judged = chunks.join(spread, ["recording_id", "channel"], "left").select("recording_id", "channel", "chunk", "at", "value", "outside", "spread")
+    # written first: Spark then knows its size, and moves the chunks only where it is too large to broadcast
+    judged = chunks.join(stages.write(spread), ["recording_id", "channel"], "left").select("recording_id", "channel", "chunk", "at", "value", "outside", "spread")
     return judged.mapInArrow(_flag, _FLAGS)
 
 
