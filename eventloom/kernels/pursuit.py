@@ -28,10 +28,10 @@ def strongest(template: np.ndarray, k: int = 8) -> np.ndarray:
     return np.sort(np.argsort(-np.abs(template).max(axis=1), kind="stable")[:k])
 
 
-def pursue(x: np.ndarray, times: np.ndarray, labels: np.ndarray, templates: dict[int, np.ndarray], clip_size: int, least: float, rounds: int = 50) -> np.ndarray:
+def pursue(x: np.ndarray, times: np.ndarray, labels: np.ndarray, templates: dict[int, np.ndarray], clip_size: int, least: float) -> np.ndarray:
     """Which events are kept: in each round events whose template, as it is, removes at least ``least`` of
     energy, more than any other within a clip, are accepted, and the template, scaled to fit best on its
-    strongest channels, is subtracted from x."""
+    strongest channels, is subtracted from x, until no event is left that removes enough."""
     x = x.copy()
     mid = (clip_size + 1) // 2 - 1
     n = x.shape[1]
@@ -40,7 +40,7 @@ def pursue(x: np.ndarray, times: np.ndarray, labels: np.ndarray, templates: dict
     use = {k: strongest(t) for k, t in templates.items()}
     gain = np.zeros(len(times))
     dirty = open_.copy()
-    for _ in range(rounds):
+    while True:
         for i in np.flatnonzero(dirty & open_):
             t = templates.get(int(labels[i]))
             if t is None:

@@ -84,6 +84,33 @@ def amplitude_order(firings: DataFrame) -> DataFrame:
     return m.withColumn("position", F.row_number().over(Window.partitionBy(*BY).orderBy(F.abs("median"), "label")))
 
 
+def cluster_order(clusters: DataFrame, score: str | None = None) -> DataFrame:
+    """recording_id, label, position: labels in ascending order of a score, equal ones by label; without a score
+    by label alone. Labels whose score is missing come last."""
+    from pyspark.sql.window import Window
+
+    order = [F.col(score).asc_nulls_last()] if score else []
+    return clusters.select(*LABEL, F.row_number().over(Window.partitionBy(*BY).orderBy(*order, "label")).alias("position"))
+
+
+def cluster_detail(templates: DataFrame) -> DataFrame:
+    """recording_id, label, num_events, channels, mean, stdev (by dt, then channel) of each label with events."""
+    rows = F.sort_array(F.collect_list(F.struct("dt", "channel", "mean", "stdev")))
+    flat = templates.where("n > 0").groupBy(*LABEL).agg(F.max("n").alias("num_events"), F.sort_array(F.collect_set("channel")).alias("channels"), rows.alias("r"))
+    return flat.select(*LABEL, "num_events", "channels", F.transform("r", lambda x: x["mean"]).alias("mean"), F.transform("r", lambda x: x["stdev"]).alias("stdev"))
+
+
+def upsert_metrics(attributes: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metrics (map): the attributes' metrics with those of a table (keys and one column a metric) put over
+    them. Keys that only one side has are kept; a metric that is null leaves the old one."""
+    names = [c for c in metrics.columns if c not in keys]
+    new = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(c).cast("double") for c in names))), lambda _, v: v.isNotNull())
+    none = F.create_map().cast("map<string,double>")
+    both = attributes.select(*keys, F.col("metrics").alias("old")).join(metrics.select(*keys, new.alias("new")), keys, "full")
+    old, put = F.coalesce("old", none), F.coalesce("new", none)
+    return both.select(*keys, F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(put, k)), put).alias("metrics"))
+
+
 def centredness(templates: DataFrame, clip_size: int) -> DataFrame:
     """recording_id, label, centredness, quality: 1 - |com - T/2| / (T/2) over the magnitudes of the template,
     and the norm of the template over that of its deviations, plus centredness."""

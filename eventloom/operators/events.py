@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.operators.series import BY
+from eventloom.runtime import Stages
 
 SCORES = ["amplitude", "outlier_score", "detectability_score"]
 
@@ -91,14 +93,14 @@ def thin(firings: DataFrame, factor: float) -> DataFrame:
 
 
 def sort_firings(firings: DataFrame) -> DataFrame:
-    """position of each event in order of time, over all recordings: a range-partitioned sort numbers each
-    partition, and the partitions' sizes are added."""
-    ordered = firings.orderBy(*BY, "time", "event_id").withColumn("part", F.spark_partition_id())
-    inside = ordered.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*BY, "time", "event_id")))
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("size"), F.min(F.struct(*BY, "time", "event_id")).alias("first"))
-    w = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    before = sizes.select("part", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("before"))
-    return inside.join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.col("place")).drop("part", "place", "before")
+    """position of each event in order of time, over all recordings: a range-partitioned sort is written with
+    each row's partition and place in it, and the partitions' sizes are added."""
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1
+    numbered = firings.orderBy(*BY, "time", "event_id").withColumns({"part": F.spark_partition_id(), "place": place})
+    numbered = Stages(firings.sparkSession, "sorted").write(numbered)
+    sizes = numbered.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row per partition
+    return numbered.join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.col("place")).drop("part", "place", "before")
 
 
 def visible(clusters: DataFrame, subset: Sequence[int] = (), tags: Sequence[str] = (), untagged: bool = False) -> DataFrame:
@@ -161,17 +163,49 @@ def events_to_use(firings: DataFrame, score: str, reach: float) -> DataFrame:
     return firings.where(F.col(score) > 0).join(beaten.select("event_id").distinct(), "event_id", "left_anti")
 
 
-def refractory(firings: DataFrame, period: float) -> DataFrame:
-    """Of each label's events in order of time those at least ``period`` after the last kept one. The times
-    of a label are folded in one array: the rule depends on all earlier decisions."""
-    ordered = F.sort_array(F.collect_list(F.struct("time", "event_id")))
-    # the last kept time rides along as a list's head, so each step is one comparison
-    start = F.array().cast("array<struct<time:double,event_id:bigint>>")
-    fold = F.aggregate(F.col("e"), start, lambda kept, x: F.when((F.size(kept) == 0) | (x["time"] - F.element_at(kept, F.greatest(F.size(kept), F.lit(1)))["time"] >= period), F.concat(kept, F.array(x))).otherwise(kept))
-    kept = firings.groupBy(*BY, "label").agg(ordered.alias("e")).select(F.explode(fold).alias("x")).select("x.event_id")
+def carried(rows: DataFrame, keys: list[str], span: str, order: list[str], value: Column, name: str, own: bool = True) -> DataFrame:
+    """Adds the last value, of values that do not fall in the order, at each row or before it (before it only
+    unless ``own``). Keys are cut by the column ``span``, which grows with the order: the values of the spans
+    before are summed up in one row a span, so no key is one task's work."""
+    w = Window.partitionBy(*keys, span).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    within = rows.withColumn("_value", value).withColumn("_within", F.last("_value", ignorenulls=True).over(w))
+    ends = rows.groupBy(*keys, span).agg(F.max(value).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, span, F.max("_end").over(earlier).alias("_before"))
+    return within.join(ends, [*keys, span]).withColumn(name, F.coalesce("_within", "_before")).drop("_value", "_within", "_before")
+
+
+def refractory(firings: DataFrame, period: float, cut: float = 65536.0) -> DataFrame:
+    """Of each label's events in order of time (then event_id) those at least ``period`` after the last kept one.
+
+    After a gap of the period an event is kept whatever went before, so labels fall into pieces between such
+    gaps, which are scanned apart: one pass over each piece, with the last kept time as all that is held."""
+    keys = [*BY, "label"]
+    rows = firings.select(*keys, "time", "event_id").withColumn("span", F.floor(F.col("time") / cut))
+    rows = carried(rows, keys, "span", ["time", "event_id"], F.col("time"), "previous", own=False)
+    start = F.when(F.col("previous").isNull() | (F.col("time") - F.col("previous") >= period), F.col("time"))
+    rows = carried(rows, keys, "span", ["time", "event_id"], start, "piece")
+    piece = F.xxhash64(*keys, "piece")
+    ordered = rows.select(piece.alias("g"), *keys, "piece", "time", "event_id").repartition("g").sortWithinPartitions("g", *keys, "piece", "time", "event_id")
+    kept = ordered.select("g", "piece", "time", "event_id").mapInArrow(_spaced(period), "event_id bigint")
     return firings.join(kept, "event_id", "left_semi")
 
 
+def _spaced(period: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0.0
+        for b in batches:
+            keep = []
+            for g, piece, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                fine = (g, piece) != key or t - last >= period
+                if fine:
+                    key, last = (g, piece), t
+                keep.append(fine)
+            yield pa.RecordBatch.from_arrays([b.column(3).filter(pa.array(keep, pa.bool_()))], names=["event_id"])
+
+    return run
+
+
 def in_epochs(firings: DataFrame, epochs: DataFrame, samples_per_unit: float = 1.0) -> DataFrame:
     """event_id with the names of the epochs (recording_id, name, t_begin, t_end) it lies in."""
     at = F.col("time") / samples_per_unit

@@ -65,6 +65,17 @@ def extract_clips_features(series: DataFrame, firings: DataFrame, clip_size: int
     return each.groupBy(*BY, "event_id").agg(F.transform(F.sort_array(F.collect_list("f")), lambda s: s["v"]).alias("features"))
 
 
+def channel_features(clips: DataFrame, num_features: int, subtract_mean: bool = False) -> DataFrame:
+    """recording_id, event_id, features: principal features of each channel's own part of the clips, one channel
+    after the other."""
+    part = F.to_json(F.struct(*BY, "channel"))
+    v = clip_vectors(clips.withColumn("recording_id", part))
+    c = components(v, num_features, subtract_mean)
+    dot = F.aggregate(F.zip_with("x", "direction", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    each = v.join(c, BY).select(F.get_json_object("recording_id", "$.recording_id").alias("recording_id"), "event_id", F.struct(F.get_json_object("recording_id", "$.channel").cast("int").alias("channel"), "component", dot.alias("v")).alias("f"))
+    return each.groupBy(*BY, "event_id").agg(F.transform(F.sort_array(F.collect_list("f")), lambda s: s["v"]).alias("features"))
+
+
 def spatial_centroid(clips: DataFrame, geom: DataFrame) -> DataFrame:
     """recording_id, event_id, x, y: the centre of the clip's energy over the channels' places (channel, x, y)."""
     energy = clips.groupBy(*BY, "event_id", "channel").agg(F.sum(F.col("value") * F.col("value")).alias("e")).join(geom, "channel")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from eventloom.kernels.assign import hungarian
 from eventloom.kernels.match import greedy_pairs, heaviest_pairs
+from eventloom.operators.events import carried
 from eventloom.operators.series import BY
 
 
@@ -102,17 +103,28 @@ def auto_correlogram(firings: DataFrame, max_dt: int) -> DataFrame:
     return cross_correlogram(firings, max_dt, labels)
 
 
-def correlogram_pairs(labels: Sequence[int], mode: str, first: int | None = None) -> list[tuple[int, int]]:
-    """The label pairs of the display modes: auto, one_vs_all and matrix."""
+def correlogram_pairs(labels: Sequence[int], mode: str, selected: Sequence[int] = (), pairs: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """The label pairs of the display modes: auto (each label with itself), selected_auto, one_vs_all (the first
+    selected label with each), matrix (the selected labels with each other) and selected_pairs."""
     if mode == "auto":
         return [(k, k) for k in labels]
+    if mode == "selected_auto":
+        return [(k, k) for k in selected]
     if mode == "one_vs_all":
-        return [(first, k) for k in labels]
+        return [(selected[0], k) for k in labels] if selected else []
     if mode == "matrix":
-        return [(a, b) for a in labels for b in labels]
+        return [(a, b) for a in selected for b in selected]
+    if mode == "selected_pairs":
+        return list(pairs)
     raise ValueError(f"no such mode: {mode}")
 
 
+def correlograms(firings: DataFrame, max_dt: int, mode: str, labels: Sequence[int] = (), selected: Sequence[int] = (), pairs: Sequence[tuple[int, int]] = ()) -> DataFrame:
+    """Cross-correlograms of the label pairs of a display mode; the pairs are joined in."""
+    wanted = correlogram_pairs(labels, mode, selected, pairs)
+    return cross_correlogram(firings, max_dt, firings.sparkSession.createDataFrame(wanted, "label1 int, label2 int"))
+
+
 def coincidence_fraction(firings: DataFrame, max_dt: int = 10, slack: int = 3) -> DataFrame:
     """label1, label2, fraction: the most events of label2 in a window of +-slack offsets around any offset
     up to max_dt, over the events of label1."""
@@ -130,20 +142,19 @@ def match_counts(firings1: DataFrame, firings2: DataFrame, max_offset: int) -> D
     return joined.groupBy(*BY, "label1", "label2").agg(F.sum(F.col("c1") * F.col("c2")).alias("n"))
 
 
-BLOCK = 1024  # cells whose segments are matched together
+BLOCK = 1 << 16  # samples whose segments are matched together
 
 
 def _segments(firings1: DataFrame, firings2: DataFrame, reach: int) -> DataFrame:
-    """Both lists in one, with a block number. A segment is a run of occupied cells, each wider than the
-    reach: events of different segments are too far apart to meet. Segments that start in one block of
-    cells share a group, since that many small groups would each cost a call."""
-    width = reach + 1
+    """Both lists in one, with a block number. A segment lies between gaps of more than the reach: events of
+    different segments are too far apart to meet. Segments that start in one block of samples share a group,
+    since that many small groups would each cost a call."""
     both = [f.select(*BY, F.lit(s).alias("side"), "event_id", "channel", F.col("time").cast("bigint").alias("t"), "label") for s, f in ((1, firings1), (2, firings2))]
-    rows = both[0].unionByName(both[1]).withColumn("cell", F.expr(f"t div {width}"))
-    cells = rows.select(*BY, "cell").distinct()
-    run = cells.withColumn("run", F.col("cell") - F.row_number().over(Window.partitionBy(*BY).orderBy("cell")))
-    start = run.groupBy(*BY, "run").agg(F.expr(f"min(cell) div {BLOCK}").alias("segment"))
-    return rows.join(run.join(start, [*BY, "run"]).select(*BY, "cell", "segment"), [*BY, "cell"]).drop("cell")
+    rows = both[0].unionByName(both[1]).withColumn("span", F.floor(F.col("t") / BLOCK))
+    times = carried(rows.select(*BY, "span", "t").distinct(), BY, "span", ["t"], F.col("t"), "previous", own=False)
+    start = F.when(F.col("previous").isNull() | (F.col("t") - F.col("previous") > reach), F.col("t"))
+    times = carried(times, BY, "span", ["t"], start, "start")
+    return rows.join(times.select(*BY, "t", F.floor(F.col("start") / BLOCK).alias("segment")), [*BY, "t"]).drop("span")
 
 
 _PAIRS = "recording_id string, event_id1 bigint, event_id2 bigint, channel int, t bigint, label1 int, label2 int"

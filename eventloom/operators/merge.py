@@ -41,6 +41,20 @@ def merge_map(pairs: DataFrame) -> DataFrame:
         rep = step.select(*LABEL, F.col("next.r").alias("representative"), F.col("next.o").alias("offset"))
 
 
+def tagged_merges(pairs: DataFrame, tag: str = "merged") -> DataFrame:
+    """The merge map of the pairs of labels (label1, label2, tags) that carry the tag."""
+    return merge_map(pairs.where(F.array_contains("tags", tag)).select(*BY, "label1", "label2"))
+
+
+def unmerge(merges: DataFrame, labels: DataFrame) -> DataFrame:
+    """A merge map without some labels (recording_id, label): these stand alone again, and the others of their
+    group keep together, under the smallest label that is left."""
+    left = merges.join(labels.select(*LABEL).distinct(), LABEL, "left_anti")
+    least = left.groupBy(*BY, "representative").agg(F.min("label").alias("least"), F.count("*").alias("size"))
+    out = left.join(least, [*BY, "representative"]).where("size > 1")
+    return out.select(*LABEL, F.col("least").alias("representative"))
+
+
 def apply_merges(firings: DataFrame, merges: DataFrame, dense: bool = True) -> DataFrame:
     out = firings.join(merges, LABEL, "left").withColumn("label", F.coalesce("representative", "label")).drop("representative")
     return relabel_dense(out) if dense else out

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.kernels.features import nearest, neighbour_overlap, principal_components
 from eventloom.kernels.svm import linear_svm
-from eventloom.operators.aggregates import LABEL, compute_templates, correlation, peak_place
+from eventloom.operators.aggregates import LABEL, compute_templates, correlation, full_templates, peak_place
 from eventloom.operators.events import spread_sample
 from eventloom.operators.features import components
 from eventloom.operators.joins import extract_clips
@@ -43,6 +43,12 @@ def nearest_templates(templates: DataFrame, k: int) -> DataFrame:
     return template_distances(templates).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def pairs_to_compare(templates: DataFrame, most: int) -> DataFrame:
+    """recording_id, label1, label2, distance, rank: of each label the nearest later ones, at most so many."""
+    w = Window.partitionBy(*BY, "label1").orderBy(F.round("distance", 6), "label2")
+    return template_distances(templates).where("label1 < label2").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
 def template_similarity(templates: DataFrame, norm_ratio: float = 0.8) -> DataFrame:
     """recording_id, label1 < label2, similarity: Pearson correlation of the templates; zero where the
     smaller norm is under ``norm_ratio`` of the larger, or where one is constant."""
@@ -66,11 +72,9 @@ def discriminant_values(clips: DataFrame, firings: DataFrame, pairs: DataFrame)
     return projected.select(*BY, "k1", "k2", "k", "event_id", F.coalesce(F.col("s") / F.nullif("dd", F.lit(0.0)), F.lit(0.0)).alias("value"))
 
 
-def svm_values(clips: DataFrame, firings: DataFrame, pairs: DataFrame, most: int = 1000) -> DataFrame:
-    """Like ``discriminant_values`` along the direction of a linear support vector machine, 0 at its cut.
-
-    Each pair's machine is fitted on at most ``most`` events of each label, evenly spread; all are projected."""
-    x = _vectors(clips).join(firings.select("event_id", "label"), "event_id")
+def _svm_axes(x: DataFrame, firings: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """recording_id, k1, k2, d, cut, norm: each pair's direction and cut, of a machine fitted on at most ``most``
+    events of each label, evenly spread; k1 lies below the cut."""
     chosen = spread_sample(firings.join(pairs.select(*BY, F.explode(F.array("k1", "k2")).alias("label")).distinct(), LABEL, "left_semi"), most).select("event_id")
     rows = pairs.withColumn("label", F.explode(F.array("k1", "k2"))).join(x.join(chosen, "event_id", "left_semi"), LABEL)
 
@@ -81,13 +85,54 @@ def svm_values(clips: DataFrame, firings: DataFrame, pairs: DataFrame, most: int
         direction, cut = linear_svm(np.array(pdf["x"].tolist()), side)
         return first.assign(d=[direction.tolist()], cut=cut, norm=float(direction @ direction))
 
-    axis = rows.groupBy(*BY, "k1", "k2").applyInPandas(fit, "recording_id string, k1 int, k2 int, d array<double>, cut double, norm double")
-    dot = F.aggregate(F.zip_with("x", "d", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    each = axis.withColumn("label", F.explode(F.array("k1", "k2"))).join(x, LABEL)
-    value = F.coalesce((dot - F.col("cut")) / F.nullif("norm", F.lit(0.0)), F.lit(0.0))
+    return rows.select(*BY, "k1", "k2", "label", "event_id", "x").groupBy(*BY, "k1", "k2").applyInPandas(fit, "recording_id string, k1 int, k2 int, d array<double>, cut double, norm double")
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def svm_values(clips: DataFrame, firings: DataFrame, pairs: DataFrame, most: int = 1000) -> DataFrame:
+    """Like ``discriminant_values`` along the direction of a linear support vector machine, 0 at its cut.
+
+    Each pair's machine is fitted on at most ``most`` events of each label, evenly spread; all are projected."""
+    x = _vectors(clips).join(firings.select("event_id", "label"), "event_id")
+    each = _svm_axes(x, firings, pairs, most).withColumn("label", F.explode(F.array("k1", "k2"))).join(x, LABEL)
+    value = F.coalesce((_dot("x", "d") - F.col("cut")) / F.nullif("norm", F.lit(0.0)), F.lit(0.0))
     return each.select(*BY, "k1", "k2", F.col("label").alias("k"), "event_id", value.alias("value"))
 
 
+def _compared(series: DataFrame, firings: DataFrame, clip_size: int, most_comparisons: int, noise_level: float, most: int, seed: int) -> DataFrame:
+    """recording_id, k1, k2, k, event_id, value and wrong (whether the event, with a random window of the series
+    added to its clip, falls on the other side) of the pairs of nearest later labels."""
+    pairs = pairs_to_compare(compute_templates(series, firings, clip_size), most_comparisons).select(*BY, F.col("label1").alias("k1"), F.col("label2").alias("k2"))
+    pairs = Stages(series.sparkSession, "compared").write(pairs)
+    used = firings.join(pairs.select(*BY, F.explode(F.array("k1", "k2")).alias("label")).distinct(), LABEL, "left_semi").select("event_id", *LABEL, "time")
+    noise = _vectors(_random_clips(series, used, clip_size, seed)).select("event_id", F.col("x").alias("noise"))
+    x = _vectors(extract_clips(series, used, clip_size)).join(used.select("event_id", "label"), "event_id")
+    each = _svm_axes(x, used, pairs, most).withColumn("label", F.explode(F.array("k1", "k2"))).join(x.join(noise, "event_id"), LABEL)
+    plain = _dot("x", "d") - F.col("cut")
+    noised = plain + noise_level * _dot("noise", "d")
+    wrong = F.when(F.col("label") == F.col("k1"), noised > 0).otherwise(noised < 0)
+    return each.select(*BY, "k1", "k2", F.col("label").alias("k"), "event_id", F.coalesce(plain / F.nullif("norm", F.lit(0.0)), F.lit(0.0)).alias("value"), wrong.alias("wrong"))
+
+
+def cluster_pair_scores(series: DataFrame, firings: DataFrame, clip_size: int, most_comparisons: int = 10, noise_level: float = 1.0, most: int = 1000, seed: int = 0) -> DataFrame:
+    """recording_id, k1, k2, score: of the pairs of each label and its nearest later ones the share of events that
+    a linear support vector machine, fitted on clean clips, takes for the other label once noise is added."""
+    each = _compared(series, firings, clip_size, most_comparisons, noise_level, most, seed)
+    return each.groupBy(*BY, "k1", "k2").agg(F.avg(F.col("wrong").cast("double")).alias("score"))
+
+
+def histogram_guide2(series: DataFrame, firings: DataFrame, clip_size: int, most_comparisons: int = 10, noise_level: float = 1.0, most: int = 1000, seed: int = 0) -> DataFrame:
+    """recording_id, position, k1, k2, k, event_id, value: the clean projections of the pairs compared, the pair
+    that noise confuses most first."""
+    each = Stages(series.sparkSession, "guide").write(_compared(series, firings, clip_size, most_comparisons, noise_level, most, seed))
+    score = each.groupBy(*BY, "k1", "k2").agg(F.avg(F.col("wrong").cast("double")).alias("score"))
+    place = score.select(*BY, "k1", "k2", F.row_number().over(Window.partitionBy(*BY).orderBy(F.desc(F.round("score", 9)), "k1", "k2")).alias("position"))
+    return each.join(place, [*BY, "k1", "k2"]).select(*BY, "position", "k1", "k2", "k", "event_id", "value")
+
+
 def separation(values: DataFrame) -> DataFrame:
     """recording_id, k1, k2, score: the distance of the two labels' means over the deviation of the residuals."""
     per = values.groupBy(*BY, "k1", "k2", "k").agg(F.avg("value").alias("m"))
@@ -246,32 +291,55 @@ def outlier_scores(series: DataFrame, firings: DataFrame, clip_size: int, shell_
     return own.join(back, LABEL).select("event_id", F.coalesce((F.col("d") - F.col("mean")) / F.nullif("sd", F.lit(0.0)), F.lit(0.0)).alias("outlier_score"))
 
 
-def detectability_scores(series: DataFrame, firings: DataFrame, clip_size: int, shell_increment: float, min_shell_size: int, noise_clips: int = 10000, seed: int = 0) -> DataFrame:
-    """event_id, detectability_score: the norm of the shell's mean clip without its component along the
-    shape of the noise (the first principal direction of random windows), over the slope of that norm on
-    the mean's peak magnitude in the recording."""
-    split = split_into_shells(firings, shell_increment, min_shell_size)
-    mean = compute_templates(series, split, clip_size)
-    at = split.select(*BY).distinct().select(*BY, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(noise_clips).cast("bigint"))).alias("event_id"))
-    # a place drawn several times is one window, longer by the root of its count: the second moments are the same
-    drawn = _random_places(series, at, clip_size, seed).groupBy(*BY, "time").agg(F.min("event_id").alias("event_id"), F.sqrt(F.count("*")).alias("times"))
-    noise = _vectors(extract_clips(series, drawn, clip_size)).join(drawn.select(*BY, "event_id", "times"), [*BY, "event_id"])
-    noise = noise.select(*BY, F.transform("x", lambda v: v * F.col("times")).alias("x"))
-
-    def direction(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = principal_components(np.array(pdf["x"].tolist()), 1)[0][:, 0]
-        return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "v": [v.tolist()]})
-
-    shape = noise.groupBy(*BY).applyInPandas(direction, "recording_id string, v array<double>")
-    flat = mean.groupBy(*LABEL).agg(F.transform(F.sort_array(F.collect_list(F.struct("dt", "channel", "mean"))), lambda s: s["mean"]).alias("m"), F.max(F.abs("mean")).alias("peak"))
-    dot = F.aggregate(F.zip_with("m", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    square = F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x)
-    score = flat.join(shape, BY).withColumn("dot", dot).select(*LABEL, "peak", F.sqrt(F.greatest(square - F.col("dot") * F.col("dot"), F.lit(0.0))).alias("score"))
-    slope = score.groupBy(*BY).agg((F.sum(F.col("score") * F.col("peak")) / F.nullif(F.sum(F.col("peak") * F.col("peak")), F.lit(0.0))).alias("slope"))
-    value = score.join(slope, BY).select(*LABEL, F.coalesce(F.col("score") / F.nullif("slope", F.lit(0.0)), F.lit(0.0)).alias("detectability_score"))
+def detectability_scores(series: DataFrame, firings: DataFrame, clip_size: int, shell_increment: float, min_shell_size: int, noise_clips: int = 10000, quiet: float = 2.0, seed: int = 0) -> DataFrame:
+    """event_id, detectability_score: the norm of the mean clip of the event's shell without its component along
+    the shape of the noise, over the slope of these norms on the magnitudes of the mean clips' peaks.
+
+    A label's channel is its first event's. The shells go by the value of each clip on that channel at its
+    centre, as do the peaks. The shape of the noise of a channel is what random windows look like around a
+    low value (at most ``quiet``) of that channel: their sum, weighted by that value, scaled to norm 1.
+    Without a slope the norms stay as they are."""
+    f = firings.where("label > 0").select("event_id", *BY, "time", "label", "channel")
+    home = f.groupBy(*LABEL).agg(F.min_by("channel", "event_id").alias("home"))
+    mid = (clip_size + 1) // 2 - 1
+    size = series.groupBy(*BY).agg((F.max("t") + 1).alias("n"), F.sort_array(F.collect_set("channel")).alias("channels"))
+    t0 = F.col("time").cast("bigint")
+    inside = (t0 >= mid) & (t0 - mid + clip_size <= F.col("n"))
+    at = f.join(home, LABEL).join(size.select(*BY, "n"), BY).select("event_id", *LABEL, "home", "time", F.col("home").alias("channel"), t0.alias("t"), inside.alias("inside"))
+    peaks = at.join(series, [*BY, "channel", "t"], "left").select("event_id", *LABEL, "home", "channel", "time", F.when(F.col("inside"), F.coalesce("value", F.lit(0.0))).otherwise(0.0).alias("amplitude"))
+    split = Stages(series.sparkSession, "detectability").write(split_into_shells(peaks, shell_increment, min_shell_size))
+    mean = full_templates(series, split, clip_size)
+    drawn_at = split.select(*BY).distinct().select(*BY, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(noise_clips).cast("bigint"))).alias("event_id"))
+    # a place drawn several times is one window that counts as often
+    drawn = _random_places(series, drawn_at, clip_size, seed).groupBy(*BY, "time").agg(F.min("event_id").alias("event_id"), F.count("*").alias("times"))
+    noise = _vectors(extract_clips(series, drawn, clip_size)).join(drawn.select(*BY, "event_id", "times"), [*BY, "event_id"]).join(size.select(*BY, "channels"), BY)
+
+    def shapes(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, channels = np.array(pdf["x"].tolist()), list(pdf["channels"].iloc[0])
+        rows = []
+        for i, channel in enumerate(channels):
+            value = x[:, mid * len(channels) + i]
+            v = (np.where(np.abs(value) <= quiet, value, 0.0) * pdf["times"].to_numpy()) @ x
+            norm = np.sqrt((v * v).sum())
+            rows.append((pdf["recording_id"].iloc[0], channel, (v / norm if norm else v).tolist()))
+        return pd.DataFrame(rows, columns=["recording_id", "home", "v"])
+
+    shape = noise.groupBy(*BY).applyInPandas(shapes, "recording_id string, home int, v array<double>")
+    of = split.groupBy(*LABEL).agg(F.min("home").alias("home"))
+    centre = F.max(F.when((F.col("channel") == F.col("home")) & (F.col("dt") == mid), F.col("mean")))
+    flat = mean.join(of, LABEL).groupBy(*LABEL, "home").agg(F.transform(F.sort_array(F.collect_list(F.struct("dt", "channel", "mean"))), lambda s: s["mean"]).alias("m"), F.abs(centre).alias("peak"))
+    rest = F.zip_with("m", "v", lambda a, b: a - F.col("dot") * b)
+    score = flat.join(shape, [*BY, "home"]).withColumn("dot", _dot("m", "v")).select(*LABEL, "peak", F.sqrt(F.aggregate(rest, F.lit(0.0), lambda s, x: s + x * x)).alias("score"))
+    slope = score.groupBy(*BY).agg(F.nullif(F.coalesce(F.covar_pop("peak", "score") / F.nullif(F.var_pop("peak"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)).alias("slope"))
+    value = score.join(slope, BY).select(*LABEL, (F.col("score") / F.coalesce("slope", F.lit(1.0))).alias("detectability_score"))
     return split.select("event_id", *LABEL).join(value, LABEL).select("event_id", "detectability_score")
 
 
+def ms_metrics(series: DataFrame, firings: DataFrame, clip_size: int) -> tuple[DataFrame, DataFrame]:
+    """(cluster metrics, metrics of pairs of clusters): ``cluster_metrics`` and ``pair_overlap``."""
+    return cluster_metrics(series, firings, clip_size), pair_overlap(series, firings, clip_size)
+
+
 def noise_nearest(series: DataFrame, firings: DataFrame, clip_size: int, noise_level: float = 1.0, k: int = 5, n_features: int = 20, seed: int = 0, block: int = 16384) -> DataFrame:
     """recording_id, label1, label2, n: how events, with noise added, would be labelled by the majority of
     their k nearest events; label 0 stands for random windows, as many as there are events.

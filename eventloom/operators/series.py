@@ -8,14 +8,18 @@ combine before the shuffle, and a channel of any length stays spread over the ta
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventloom.runtime import Stages
+
 BY = ["recording_id"]
 CHANNEL = [*BY, "channel"]
 SAMPLE = "recording_id string, channel int, t bigint, value double"
@@ -51,6 +55,12 @@ def read_chunk(series: DataFrame, start: int, size: int) -> DataFrame:
     return grid.join(part, [*CHANNEL, "t"], "left").select(*CHANNEL, "t", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def write_chunk(series: DataFrame, chunk: DataFrame, start: int) -> DataFrame:
+    """The series with the samples of ``chunk`` (t from 0) put at ``start``, in place of those that are there."""
+    put = chunk.select(*CHANNEL, (F.col("t") + start).alias("t"), "value")
+    return series.join(put, [*CHANNEL, "t"], "left_anti").select(*CHANNEL, "t", "value").unionByName(put)
+
+
 def transpose(series: DataFrame) -> DataFrame:
     """Channels and samples swapped."""
     return series.select(*BY, (F.col("t") + 1).cast("int").alias("channel"), (F.col("channel") - 1).cast("bigint").alias("t"), "value")
@@ -92,13 +102,47 @@ def normalize_channels_clamped(series: DataFrame, limit: float = 20.0) -> DataFr
     return _scaled(once.withColumn("value", F.greatest(F.least("value", F.lit(limit)), F.lit(-limit))), F.stddev_samp("value"))
 
 
+def _frames(series: DataFrame) -> DataFrame:
+    """recording_id, t, channels, x: the samples of one time in one row, channels in order."""
+    held = F.sort_array(F.collect_list(F.struct("channel", "value")))
+    return series.groupBy(*BY, "t").agg(held.alias("f")).select(*BY, "t", F.transform("f", lambda s: s["channel"]).alias("channels"), F.transform("f", lambda s: s["value"]).alias("x"))
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(recording, rows, channels, values, held) of the frames of a batch: dense arrays, zero where a frame lacks
+    a channel."""
+    rec, channels = batch.column(0).to_pandas(), batch.column(2).flatten().to_numpy(zero_copy_only=False)
+    values = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+    code, names = pd.factorize(rec)
+    for i, name in enumerate(names):
+        rows = np.flatnonzero(code == i)
+        of = np.full(batch.num_rows, -1)
+        of[rows] = np.arange(len(rows))
+        mine = of[row] >= 0
+        known, at = np.unique(channels[mine], return_inverse=True)
+        x, held = np.zeros((len(rows), len(known))), np.zeros((len(rows), len(known)), bool)
+        x[of[row[mine]], at] = values[mine]
+        held[of[row[mine]], at] = True
+        yield name, rows, known, x, held
+
+
 def covariance(series: DataFrame) -> DataFrame:
     """channel1, channel2, value: sum over t of x1 x2 / (n - 1), uncentred, over samples both channels hold.
 
-    Samples of one time meet in one row of a grouped array of at most all channels, so nothing is joined."""
-    frames = series.groupBy(*BY, "t").agg(F.collect_list(F.struct("channel", "value")).alias("x"))
-    pairs = frames.select(*BY, F.explode("x").alias("a"), "x").select(*BY, "a", F.explode("x").alias("b"))
-    return pairs.groupBy(*BY, F.col("a.channel").alias("channel1"), F.col("b.channel").alias("channel2")).agg((F.sum(F.col("a.value") * F.col("b.value")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("value"))
+    Samples of one time meet in one row; each batch of such rows gives one matrix product, and what is
+    shuffled after that is a matrix of channels by channels per batch."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, _, known, x, held in _blocks(batch):
+                m, n = x.T @ x, held.T.astype(float) @ held
+                i, j = np.nonzero(n)
+                arrays = [pa.array([name] * len(i), pa.string()), pa.array(known[i], pa.int32()), pa.array(known[j], pa.int32()), pa.array(m[i, j]), pa.array(n[i, j])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["recording_id", "channel1", "channel2", "s", "n"])
+
+    part = _frames(series).mapInArrow(partial, "recording_id string, channel1 int, channel2 int, s double, n double")
+    return part.groupBy(*BY, "channel1", "channel2").agg((F.sum("s") / F.greatest(F.sum("n") - 1, F.lit(1.0))).alias("value"))
 
 
 def whitening(cov: DataFrame) -> DataFrame:
@@ -118,9 +162,24 @@ def whitening(cov: DataFrame) -> DataFrame:
 
 
 def whiten(series: DataFrame) -> DataFrame:
-    """Every sample as the weighted sum over channels that makes the channels uncorrelated with unit power."""
-    w = whitening(covariance(series)).withColumnRenamed("channel_in", "channel")
-    return series.join(w, CHANNEL).groupBy(*BY, F.col("channel_out").alias("channel"), "t").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+    """Every sample as the weighted sum over channels that makes the channels uncorrelated with unit power.
+
+    A frame is one row, joined with its recording's matrix (channels by channels) and multiplied with it."""
+    rows = F.sort_array(F.collect_list(F.struct("channel_out", "channel_in", "weight")))
+    matrix = whitening(covariance(series)).groupBy(*BY).agg(F.array_sort(F.collect_set("channel_out")).alias("outs"), F.transform(rows, lambda s: s["weight"]).alias("w"))
+    matrix = Stages(series.sparkSession, "whiten").write(matrix)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column(1).to_numpy()
+            for name, rows, known, x, _ in _blocks(batch):
+                outs = batch.column(4)[int(rows[0])].values.to_numpy()
+                w = batch.column(5)[int(rows[0])].values.to_numpy().reshape(len(outs), len(outs))
+                y = x @ w[:, np.searchsorted(outs, known)].T
+                arrays = [pa.array([name] * y.size, pa.string()), pa.array(np.tile(outs, len(rows)), pa.int32()), pa.array(np.repeat(t[rows], len(outs))), pa.array(y.ravel())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["recording_id", "channel", "t", "value"])
+
+    return _frames(series).join(matrix, BY).select(*BY, "t", "channels", "x", "outs", "w").mapInArrow(apply, SAMPLE)
 
 
 def mask_out_artifacts(series: DataFrame, threshold: float, interval_size: int, compat: bool = False) -> DataFrame:
@@ -203,6 +262,34 @@ def multiscale(series: DataFrame) -> DataFrame:
     return out if out is not None else level.select(F.lit(3).cast("bigint").alias("ds_factor"), *CHANNEL, "bin", "vmin", "vmax")
 
 
+def read_multiscale(levels: DataFrame, series: DataFrame, t1: int, t2: int, ds_factor: int) -> DataFrame:
+    """recording_id, channel, bin (t1..t2), vmin, vmax of one level of ``multiscale``; factor 1 reads the series
+    itself. Zero where the bin lies outside 0..n / factor - 1 or holds no sample."""
+    if t2 < t1:
+        raise ValueError(f"no such range of bins: {t1}..{t2}")
+    power = 1
+    while power < ds_factor:
+        power *= 3
+    if power != ds_factor:
+        raise ValueError(f"no power of 3: {ds_factor}")
+    if ds_factor == 1:
+        held = series.select(*CHANNEL, F.col("t").alias("bin"), F.col("value").alias("vmin"), F.col("value").alias("vmax"))
+    else:
+        held = levels.where(F.col("ds_factor") == ds_factor).select(*CHANNEL, "bin", "vmin", "vmax")
+    held = held.where(F.col("bin").between(t1, t2))
+    last = series.groupBy(*BY).agg(F.expr(f"(max(t) + 1) div {ds_factor} - 1").alias("last"))
+    grid = series.select(*CHANNEL).distinct().join(last, BY).select(*CHANNEL, "last", F.explode(F.sequence(F.lit(t1).cast("bigint"), F.lit(t2).cast("bigint"))).alias("bin"))
+    inside = (F.col("bin") >= 0) & (F.col("bin") <= F.col("last"))
+    zero = lambda c: F.when(inside, F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias(c)
+    return grid.join(held, [*CHANNEL, "bin"], "left").select(*CHANNEL, "bin", zero("vmin"), zero("vmax"))
+
+
+def significant(v: Column, digits: int = 2) -> Column:
+    """The value at so many significant figures, as axes are labelled; 0 stays 0."""
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.nullif(v, F.lit(0.0))))) - (digits - 1))
+    return F.coalesce(F.round(v / scale) * scale, v)
+
+
 def axis_transform(v: Column, kind: str, c: float = 1.0, inverse: bool = False) -> Column:
     """The histogram axes: uniform, log ((1 + ln(v / c)) c above c) and cubic (the cube root of v / c), odd."""
     a = F.abs(v)
@@ -238,6 +325,7 @@ def _per_chunk(series: DataFrame, chunk: int, margin: int, kernel) -> DataFrame:
     return halo(series, chunk, margin).groupBy(*CHANNEL, "chunk").applyInPandas(run, SAMPLE)
 
 
+@lru_cache(maxsize=64)
 def band(n: int, samplerate: float, low: float, high: float, width: float) -> np.ndarray:
     """The filter's gain at the frequencies of a transform of n samples; 0 switches a bound off."""
     f = np.abs(np.fft.fftfreq(n, 1 / samplerate))

@@ -71,4 +71,21 @@ QUERIES = {
     "p6_failed_casts": p6_failed_casts,
     "p6_type_statistics": p6_type_statistics,
 }
-SQL: dict[str, str] = {}
+_KIND = "CASE json_type({x}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' ELSE 'number' END"
+_FIELDS = f"""WITH once AS (SELECT DISTINCT file_id, script, dataset, seq, content FROM param_files),
+    readable AS (SELECT * FROM once WHERE CASE WHEN json_valid(content) THEN json_type(content) = 'OBJECT' ELSE FALSE END),
+    fields AS (SELECT file_id, script, dataset, seq, path, {_KIND.format(x="x")} AS type, CASE WHEN json_type(x) IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN CAST(CAST(x AS DOUBLE) AS VARCHAR) ELSE CAST(x AS VARCHAR) END AS value
+      FROM (SELECT file_id, script, dataset, seq, path, json_extract(content, '$."' || path || '"') AS x FROM (SELECT *, unnest(json_keys(content)) AS path FROM readable)))"""
+SQL: dict[str, str] = {
+    "p6_type_statistics": _FIELDS + " SELECT path, type, count(*) AS n_files, min(file_id) AS first_file, max(file_id) AS last_file FROM fields GROUP BY ALL",
+    "p6_found": _FIELDS
+    + """, placed AS (SELECT *, to_json({'s': script, 'd': dataset}) AS stream, row_number() OVER (PARTITION BY script, dataset ORDER BY seq, file_id) AS n FROM readable WHERE seq IS NOT NULL),
+    f AS (SELECT p.stream, p.n, p.file_id, x.path, x.type, x.value FROM placed p JOIN fields x USING (file_id)),
+    gone AS (SELECT p.stream, p.n, p.file_id, f.path, f.type, f.value FROM placed p JOIN f ON f.stream = p.stream AND f.n = p.n - 1 WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.file_id = p.file_id AND g.path = f.path)),
+    come AS (SELECT f.* FROM f WHERE f.n > 1 AND NOT EXISTS (SELECT 1 FROM f g WHERE g.stream = f.stream AND g.n = f.n - 1 AND g.path = f.path)),
+    a AS (SELECT *, row_number() OVER (PARTITION BY file_id, type, value ORDER BY path) AS i FROM gone), b AS (SELECT *, row_number() OVER (PARTITION BY file_id, type, value ORDER BY path) AS i FROM come),
+    moved AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, a.path AS old, b.path AS new FROM a FULL JOIN b ON b.file_id = a.file_id AND b.type = a.type AND b.value = a.value AND b.i = a.i AND a.type <> 'null'),
+    born AS (SELECT stream, path, n FROM come), known AS (SELECT f.*, (SELECT arg_max(g.type, g.n) FROM f g WHERE g.stream = f.stream AND g.path = f.path AND g.n < f.n AND g.type <> 'null' AND g.n >= coalesce((SELECT max(h.n) FROM born h WHERE h.stream = f.stream AND h.path = f.path AND h.n <= f.n), 0)) AS before FROM f)
+    SELECT file_id, coalesce(old, new) AS field_name, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'renamed' END AS change_kind, CASE WHEN old IS NOT NULL AND new IS NOT NULL THEN new ELSE '' END AS new_name FROM moved
+    UNION ALL SELECT file_id, path, 'type_changed', '' FROM known WHERE type <> 'null' AND before IS NOT NULL AND before <> type""",
+}

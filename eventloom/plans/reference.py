@@ -199,6 +199,26 @@ SQL["create_multiscale"] = SQL["create_multiscale"].replace(
 )
 
 
+@query("series", "size", sql="SELECT c.recording_id, c.channel, g.bin, CASE WHEN g.bin >= 0 AND g.bin < z.n // 9 THEN coalesce(b.vmin, 0.0) ELSE 0.0 END AS vmin, CASE WHEN g.bin >= 0 AND g.bin < z.n // 9 THEN coalesce(b.vmax, 0.0) ELSE 0.0 END AS vmax FROM (SELECT DISTINCT recording_id, channel FROM series) c JOIN size z USING (recording_id) CROSS JOIN (SELECT unnest(range(-5, 2001)) AS bin) g LEFT JOIN (SELECT recording_id, channel, t // 9 AS bin, CASE WHEN count(*) < 9 THEN least(min(value), 0.0) ELSE min(value) END AS vmin, CASE WHEN count(*) < 9 THEN greatest(max(value), 0.0) ELSE max(value) END AS vmax FROM series GROUP BY ALL) b ON b.recording_id = c.recording_id AND b.channel = c.channel AND b.bin = g.bin")
+def read_multiscale(spark, folder):
+    s = load(spark, folder)
+    return series.read_multiscale(series.multiscale(s), s, -5, 2000, 9)
+
+
+@query("series", sql="SELECT recording_id, channel, t, value FROM series WHERE NOT EXISTS (SELECT 1 FROM series p WHERE p.recording_id = series.recording_id AND p.channel = series.channel AND p.t = series.t - 500 AND p.t < 100) UNION ALL SELECT recording_id, channel, t + 500 AS t, value FROM series WHERE t < 100")
+def write_chunk(spark, folder):
+    s = load(spark, folder)
+    return series.write_chunk(s, s.where("t < 100"), 500)
+
+
+@query("fire", sql="SELECT event_id, CASE WHEN amplitude = 0 THEN 0.0 ELSE round(round(amplitude / pow(10.0, floor(log10(abs(amplitude))) - 1)) * pow(10.0, floor(log10(abs(amplitude))) - 1), 9) END AS label_text FROM fire WHERE amplitude = 0 OR abs(abs(amplitude / pow(10.0, floor(log10(abs(amplitude))) - 1)) % 1 - 0.5) > 1e-9")
+def significant_figures(spark, folder):
+    """Amplitudes at two significant figures; those exactly between two are left out on both sides."""
+    a = F.col("amplitude")
+    part = F.abs(a / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.nullif(a, F.lit(0.0))))) - 1)) % 1
+    return fire(spark, folder).where((a == 0) | (F.abs(part - 0.5) > 1e-9)).select("event_id", F.round(series.significant(a), 9).alias("label_text"))
+
+
 @query("fire", sql="SELECT event_id, round(CASE WHEN abs(amplitude) > 2 THEN sign(amplitude) * (1 + ln(abs(amplitude) / 2)) * 2 ELSE amplitude END, 6) + 0.0 AS log_axis, round(sign(amplitude) * pow(abs(amplitude) / 2, 1.0 / 3), 6) + 0.0 AS cubic_axis FROM fire")
 def axis_transforms(spark, folder):
     a = F.col("amplitude")
@@ -306,11 +326,19 @@ def find_events_to_use(spark, folder):
     return events.events_to_use(fire(spark, folder), "detectability_score", 30.0).select("event_id")
 
 
-@query()
+@query("fire", sql="SELECT event_id, label FROM kept")
 def refractory_filter(spark, folder):
     return events.refractory(fire(spark, folder), 50.0).select("event_id", "label")
 
 
+SQL["refractory_filter"] = "WITH RECURSIVE " + SQL["refractory_filter"].removeprefix("WITH ").replace(
+    " SELECT event_id, label FROM kept",
+    """, kept AS (SELECT recording_id, label, p.time AS time, p.event_id AS event_id FROM (SELECT recording_id, label, min({'time': time, 'event_id': event_id}) AS p FROM fire GROUP BY ALL)
+    UNION ALL SELECT recording_id, label, p.time, p.event_id FROM (SELECT k.recording_id, k.label, min({'time': f.time, 'event_id': f.event_id}) AS p FROM kept k JOIN fire f ON f.recording_id = k.recording_id AND f.label = k.label AND f.time >= k.time + 50 GROUP BY ALL))
+    SELECT event_id, label FROM kept""", 1,
+)
+
+
 @query("fire", sql="SELECT f.event_id, e.name FROM fire f JOIN recordings r USING (recording_id) JOIN (VALUES ('early', 0.0, 0.02), ('late', 0.015, 0.1)) e(name, a, b) ON f.time / r.samplerate >= e.a AND f.time / r.samplerate < e.b")
 def epochs_join(spark, folder):
     rate = table(spark, folder, "recordings").select("recording_id", "samplerate")
@@ -353,6 +381,30 @@ def auto_correlogram(spark, folder):
     return joins.auto_correlogram(fire(spark, folder), 10)
 
 
+def _modes(spark, folder, mode):
+    return joins.correlograms(fire(spark, folder), 10, mode, range(1, 11), [2, 1, 3], [(1, 4), (2, 5)])
+
+
+@query("fire", "tallies", "lags", sql="SELECT recording_id, label1, label2, dt, n FROM lags WHERE label1 = label2 AND label1 <= 3")
+def correlograms_selected_auto(spark, folder):
+    return _modes(spark, folder, "selected_auto")
+
+
+@query("fire", "tallies", "lags", sql="SELECT recording_id, label1, label2, dt, n FROM lags WHERE label1 = 2 AND label2 <= 10")
+def correlograms_one_vs_all(spark, folder):
+    return _modes(spark, folder, "one_vs_all")
+
+
+@query("fire", "tallies", "lags", sql="SELECT recording_id, label1, label2, dt, n FROM lags WHERE label1 <= 3 AND label2 <= 3")
+def correlograms_matrix(spark, folder):
+    return _modes(spark, folder, "matrix")
+
+
+@query("fire", "tallies", "lags", sql="SELECT recording_id, label1, label2, dt, n FROM lags WHERE (label1 = 1 AND label2 = 4) OR (label1 = 2 AND label2 = 5)")
+def correlograms_selected_pairs(spark, folder):
+    return _modes(spark, folder, "selected_pairs")
+
+
 @query("fire", "tallies", "lags", sql="SELECT b.recording_id, b.label1, b.label2, round(b.n / c.n1, 6) + 0.0 AS fraction FROM (SELECT recording_id, label1, label2, max(n) AS n FROM (SELECT l.recording_id, l.label1, l.label2, g.at, sum(l.n) AS n FROM lags l JOIN (SELECT unnest(range(-10, 11)) AS at) g ON abs(l.dt - g.at) <= 3 WHERE l.label1 <> l.label2 GROUP BY ALL) GROUP BY ALL) b JOIN (SELECT recording_id, label AS label1, count(*) AS n1 FROM fire WHERE label > 0 GROUP BY ALL) c USING (recording_id, label1)")
 def coincidence_fraction(spark, folder):
     return rounded(joins.coincidence_fraction(fire(spark, folder)), 6, "fraction")
@@ -448,11 +500,46 @@ def centredness(spark, folder):
     return rounded(ag.centredness(templates(spark, folder), CLIP).drop("quality"), 5, "centredness")
 
 
+@query(*_BASE, sql=f"SELECT recording_id, label, round(coalesce(sqrt(sum(mean * mean)) / nullif(sqrt(sum(stdev * stdev)), 0), 0.0) + coalesce(1 - abs((sum(abs(mean) * dt) / nullif(sum(abs(mean)), 0) - {CLIP / 2}) / {CLIP / 2}), 0.0), 3) + 0.0 AS quality FROM templates GROUP BY ALL HAVING max(stdev) = 0 OR max(stdev) > 1e-3")
+def quality_score(spark, folder):
+    """Labels whose deviations are rounding errors alone are left out on both sides."""
+    t = templates(spark, folder)
+    some = t.groupBy("recording_id", "label").agg(F.max("stdev").alias("d")).where("d = 0 or d > 1e-3")
+    return rounded(ag.centredness(t.join(some, ["recording_id", "label"], "left_semi"), CLIP).drop("centredness"), 3, "quality")
+
+
+@query("fire", sql="SELECT recording_id, label, row_number() OVER (PARTITION BY recording_id ORDER BY n, label) AS position FROM (SELECT recording_id, label, count(*) AS n FROM fire WHERE label > 0 GROUP BY ALL)")
+def cluster_order(spark, folder):
+    n = fire(spark, folder).where("label > 0").groupBy("recording_id", "label").agg(F.count("*").alias("n"))
+    return ag.cluster_order(n, "n").withColumn("position", as_long("position"))
+
+
+@query(*_BASE, sql=f"SELECT recording_id, label, n AS num_events, row_number() OVER (PARTITION BY recording_id, label ORDER BY dt, channel) - 1 AS place, round(mean, 5) + 0.0 AS mean, round(stdev, 2) + 0.0 AS stdev FROM templates")
+def cluster_detail(spark, folder):
+    d = ag.cluster_detail(templates(spark, folder)).select("recording_id", "label", "num_events", F.posexplode(F.arrays_zip("mean", "stdev")).alias("place", "x"))
+    d = d.select("recording_id", "label", "num_events", as_long("place").alias("place"), "x.mean", "x.stdev")
+    return rounded(rounded(d, 5, "mean"), 2, "stdev")
+
+
+@query("fire", sql="SELECT label, CASE WHEN label % 2 = 0 THEN 2.0 * n ELSE 1.0 * n END AS size, CASE WHEN label % 2 = 0 THEN CAST(label AS DOUBLE) END AS extra FROM (SELECT label, count(*) AS n FROM fire WHERE label > 0 GROUP BY ALL)")
+def upsert_metrics(spark, folder):
+    """Sizes of the clusters, doubled by a second table for even labels, which also adds a metric."""
+    n = fire(spark, folder).where("label > 0").groupBy("label").agg(F.count("*").cast("double").alias("n"))
+    old = n.select("label", F.create_map(F.lit("size"), F.col("n")).alias("metrics"))
+    new = n.where("label % 2 = 0").select("label", (2 * F.col("n")).alias("size"), F.col("label").cast("double").alias("extra"))
+    return ag.upsert_metrics(old, new, ["label"]).select("label", F.col("metrics")["size"].alias("size"), F.col("metrics")["extra"].alias("extra"))
+
+
 @query("fire", "fire2", "tallies", sql="SELECT recording_id, label1, label2, n, round(n / sum(n) OVER (PARTITION BY recording_id, label1), 6) + 0.0 AS row_share, round(n / sum(n) OVER (PARTITION BY recording_id, label2), 6) + 0.0 AS column_share FROM (SELECT a.recording_id, a.label AS label1, b.label AS label2, CAST(sum(a.c * b.c) AS BIGINT) AS n FROM t1 a JOIN (SELECT recording_id, label, CAST(trunc(time) AS BIGINT) AS t, count(*) AS c FROM fire2 WHERE label > 0 GROUP BY ALL) b ON a.recording_id = b.recording_id AND abs(a.t - b.t) <= 10 GROUP BY ALL)")
 def confusion_normalize(spark, folder):
     return rounded(ag.confusion_normalized(match_pair_counts(spark, folder)), 6, "row_share", "column_share")
 
 
+@query("fire", "fire2", "tallies", sql="SELECT recording_id, label1, round(f, 6) + 0.0 AS fraction, row_number() OVER (PARTITION BY recording_id ORDER BY f DESC, label1) AS position FROM (SELECT recording_id, label1, max(n) / sum(n) AS f FROM (SELECT a.recording_id, a.label AS label1, b.label AS label2, CAST(sum(a.c * b.c) AS BIGINT) AS n FROM t1 a JOIN (SELECT recording_id, label, CAST(trunc(time) AS BIGINT) AS t, count(*) AS c FROM fire2 WHERE label > 0 GROUP BY ALL) b ON a.recording_id = b.recording_id AND abs(a.t - b.t) <= 10 GROUP BY ALL) GROUP BY ALL)")
+def pair_counts_display_order(spark, folder):
+    return rounded(ag.confusion_order(match_pair_counts(spark, folder)).withColumn("position", as_long("position")), 6, "fraction")
+
+
 @query()
 def confusion_display_order(spark, folder):
     return ag.confusion_order(confusion_matrix(spark, folder))
@@ -483,6 +570,14 @@ def template_distance_topk(spark, folder):
 SQL["template_distance_topk"] = SQL["template_distance_topk"].replace(" SELECT recording_id, label1", f", {_PAIRS} SELECT recording_id, label1", 1)
 
 
+@query(*_BASE, sql="SELECT recording_id, label1, label2, round(distance, 4) + 0.0 AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, label1 ORDER BY round(distance, 6), label2) AS rank FROM pairs WHERE label1 < label2) WHERE rank <= 10")
+def find_pairs_to_compare(spark, folder):
+    return rounded(metrics.pairs_to_compare(templates(spark, folder), 10).withColumn("rank", as_long("rank")), 4, "distance")
+
+
+SQL["find_pairs_to_compare"] = SQL["find_pairs_to_compare"].replace(" SELECT recording_id, label1", f", {_PAIRS} SELECT recording_id, label1", 1)
+
+
 @query(*_BASE, sql="SELECT recording_id, label1, label2, round(CASE WHEN least(n1, n2) >= 0.8 * greatest(n1, n2) THEN coalesce(r, 0.0) ELSE 0.0 END, 5) + 0.0 AS similarity FROM (SELECT a.recording_id, a.label AS label1, b.label AS label2, sqrt(sum(a.mean * a.mean)) AS n1, sqrt(sum(b.mean * b.mean)) AS n2, covar_pop(a.mean, b.mean) / nullif(stddev_pop(a.mean) * stddev_pop(b.mean), 0) AS r FROM templates a JOIN templates b USING (recording_id, channel, dt) WHERE a.label < b.label GROUP BY ALL)")
 def template_similarity(spark, folder):
     return rounded(metrics.template_similarity(templates(spark, folder)), 5, "similarity")
@@ -510,9 +605,19 @@ def mv_discrimhist_svm(spark, folder):
     return metrics.svm_values(clips(spark, folder), fire(spark, folder), _some_pairs(spark, folder), most=200)
 
 
-@query()
+@query("series", "size", "fire", "clips", sql="SELECT recording_id, k1, k2, round(coalesce(abs(max(CASE WHEN k = k2 THEN m END) - max(CASE WHEN k = k1 THEN m END)) / nullif(stddev_samp(value - m), 0), 0.0), 3) + 0.0 AS score FROM (SELECT *, avg(value) OVER (PARTITION BY recording_id, k1, k2, k) AS m FROM (SELECT recording_id, k1, k2, k, event_id, round(CASE WHEN dd = 0 THEN 0.0 ELSE s / dd END, 9) AS value FROM projected)) GROUP BY ALL")
 def separation_score(spark, folder):
-    return metrics.separation(metrics.discriminant_values(clips(spark, folder), fire(spark, folder), _some_pairs(spark, folder)))
+    v = metrics.discriminant_values(clips(spark, folder), fire(spark, folder), _some_pairs(spark, folder))
+    return rounded(metrics.separation(v.withColumn("value", F.round("value", 9))), 3, "score")
+
+
+SQL["separation_score"] = SQL["separation_score"].replace(
+    " SELECT recording_id, k1, k2, round(coalesce(abs",
+    """, lab AS (SELECT c.*, f.label FROM clip c JOIN fire f USING (event_id) WHERE f.label > 0), centroid AS (SELECT recording_id, label, channel, dt, avg(value) AS m FROM lab GROUP BY ALL),
+    axis AS (SELECT a.recording_id, a.label AS k1, b.label AS k2, a.channel, a.dt, b.m - a.m AS d, (a.m + b.m) / 2 AS mid FROM centroid a JOIN centroid b ON b.recording_id = a.recording_id AND b.channel = a.channel AND b.dt = a.dt AND b.label = a.label + 1),
+    projected AS (SELECT x.recording_id, x.k1, x.k2, r.label AS k, r.event_id, sum((r.value - x.mid) * x.d) AS s, sum(x.d * x.d) AS dd FROM axis x JOIN lab r ON r.recording_id = x.recording_id AND r.channel = x.channel AND r.dt = x.dt AND (r.label = x.k1 OR r.label = x.k2) GROUP BY ALL)
+    SELECT recording_id, k1, k2, round(coalesce(abs""", 1,
+)
 
 
 @query()
@@ -527,7 +632,27 @@ def noise_overlap(spark, folder):
 
 @query()
 def pair_overlap(spark, folder):
-    return metrics.pair_overlap(load(spark, folder), fire(spark, folder), CLIP, least=10)
+    return metrics.pair_overlap(load(spark, folder), fire(spark, folder), CLIP)
+
+
+@query()
+def ms_metrics(spark, folder):
+    return metrics.ms_metrics(load(spark, folder), fire(spark, folder), CLIP)[0]
+
+
+@query()
+def ms_metrics_pairs(spark, folder):
+    return metrics.ms_metrics(load(spark, folder), fire(spark, folder), CLIP)[1]
+
+
+@query()
+def cluster_pair_scores(spark, folder):
+    return metrics.cluster_pair_scores(load(spark, folder), fire(spark, folder), CLIP, most=200)
+
+
+@query()
+def mv_discrimhist_guide2(spark, folder):
+    return metrics.histogram_guide2(load(spark, folder), fire(spark, folder), CLIP, most=200)
 
 
 @query()
@@ -540,11 +665,21 @@ def noise_nearest(spark, folder):
     return metrics.noise_nearest(load(spark, folder), fire(spark, folder), CLIP)
 
 
-@query()
+@query("fire", sql="SELECT f.event_id, f.recording_id, f.label, CAST(w.shell * f.side AS INTEGER) AS shell FROM stepped f JOIN walk w USING (recording_id, label, side, step)")
 def define_shells(spark, folder):
     return metrics.define_shells(fire(spark, folder).where("label > 0"), 2.0, 20)
 
 
+SQL["define_shells"] = "WITH RECURSIVE " + SQL["define_shells"].removeprefix("WITH ").replace(
+    " SELECT f.event_id, f.recording_id, f.label, CAST(w.shell",
+    """, stepped AS (SELECT event_id, recording_id, label, CASE WHEN amplitude < 0 THEN -1 ELSE 1 END AS side, CAST(floor(abs(amplitude) / 2.0) AS BIGINT) AS step FROM fire WHERE label > 0),
+    steps AS (SELECT *, row_number() OVER (PARTITION BY recording_id, label, side ORDER BY step) AS i, sum(n) OVER (PARTITION BY recording_id, label, side ORDER BY step DESC) - n AS above FROM (SELECT recording_id, label, side, step, count(*) AS n FROM stepped GROUP BY ALL)),
+    walk AS (SELECT recording_id, label, side, step, i, 1 AS shell, CASE WHEN n >= 20 AND above >= 20 THEN 0 ELSE n END AS inside, n >= 20 AND above >= 20 AS cut FROM steps WHERE i = 1
+    UNION ALL SELECT s.recording_id, s.label, s.side, s.step, s.i, w.shell + CASE WHEN w.cut THEN 1 ELSE 0 END, CASE WHEN w.inside + s.n >= 20 AND s.above >= 20 THEN 0 ELSE w.inside + s.n END, w.inside + s.n >= 20 AND s.above >= 20 FROM walk w JOIN steps s ON s.recording_id = w.recording_id AND s.label = w.label AND s.side = w.side AND s.i = w.i + 1)
+    SELECT f.event_id, f.recording_id, f.label, CAST(w.shell""", 1,
+)
+
+
 @query()
 def mv_firings_filter(spark, folder):
     split = metrics.split_into_shells(fire(spark, folder), 2.0, 20)
@@ -584,6 +719,11 @@ def extract_clips_features(spark, folder):
     return features.extract_clips_features(load(spark, folder), fire(spark, folder), CLIP, 3)
 
 
+@query()
+def channel_features(spark, folder):
+    return features.channel_features(clips(spark, folder), 2)
+
+
 @query()
 def isosplit2(spark, folder):
     x = table(spark, folder, "embeddings").select(F.col("vec_id").alias("event_id"), F.lit(1).alias("part"), F.col("embedding").cast("array<double>").alias("features"))
@@ -630,6 +770,31 @@ def remove_duplicate_clusters(spark, folder):
     return merge.remove_duplicate_clusters(load(spark, folder), fire(spark, folder), CLIP).select("event_id", "label")
 
 
+def _pair_tags(spark, folder):
+    """Tags by a rule on pairs of labels, in place of a curator's: 1-2, 2-3 and 5-6 of every ten are merged."""
+    labels = fire(spark, folder).where("label > 0").select("recording_id", F.col("label").alias("label1")).distinct()
+    pairs = labels.select("recording_id", "label1", (F.col("label1") + 1).alias("label2"))
+    return pairs.join(labels.select("recording_id", F.col("label1").alias("label2")), ["recording_id", "label2"]).select("recording_id", "label1", "label2", F.when(F.expr("label1 % 10 in (1, 2, 5)"), F.array(F.lit("merged"))).alias("tags"))
+
+
+_TAGGED = "used AS (SELECT DISTINCT recording_id, label FROM fire WHERE label > 0), linked AS (SELECT a.recording_id, a.label AS a, b.label AS b FROM used a JOIN used b ON b.recording_id = a.recording_id AND b.label = a.label + 1 WHERE a.label % 10 IN (1, 2, 5)), ends AS (SELECT recording_id, a AS label FROM linked UNION SELECT recording_id, b FROM linked), starts AS (SELECT e.recording_id, e.label, (SELECT max(s.label) FROM ends s WHERE s.recording_id = e.recording_id AND s.label <= e.label AND NOT EXISTS (SELECT 1 FROM linked l WHERE l.recording_id = s.recording_id AND l.b = s.label)) AS representative FROM ends e)"
+
+
+@query("fire", sql="SELECT recording_id, label, representative FROM starts")
+def merged_by_tag(spark, folder):
+    return merge.tagged_merges(_pair_tags(spark, folder))
+
+
+@query("fire", sql="SELECT recording_id, label, min(label) OVER (PARTITION BY recording_id, representative) AS representative FROM (SELECT *, count(*) OVER (PARTITION BY recording_id, representative) AS n FROM starts WHERE label % 10 <> 1) WHERE n > 1")
+def unmerge(spark, folder):
+    merges = merge.tagged_merges(_pair_tags(spark, folder))
+    return merge.unmerge(merges, merges.where("label % 10 = 1"))
+
+
+for _name in ("merged_by_tag", "unmerge"):
+    SQL[_name] = SQL[_name].replace(" SELECT recording_id, label,", f", {_TAGGED} SELECT recording_id, label,", 1)
+
+
 # --- the whole chain ----------------------------------------------------------------------------------------
 
 
@@ -667,19 +832,24 @@ def sort_pipeline_pair_metrics(spark, folder):
 # --- sources, streams --------------------------------------------------------------------------------------
 
 
-@query("series", sql="SELECT t AS row, string_agg(CASE WHEN value = floor(value) THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) ELSE CAST(CAST(round(value * 1000) AS BIGINT) AS VARCHAR) || 'm' END, '|' ORDER BY recording_id, channel) AS line FROM series GROUP BY t")
+_GRID = "SELECT g.recording_id, g.row, string_agg({cell}, '{by}' ORDER BY g.channel) AS line FROM (SELECT z.recording_id, c.channel, unnest(range(z.n)) AS row FROM size z JOIN (SELECT DISTINCT recording_id, channel FROM series) c USING (recording_id)) g LEFT JOIN series s ON s.recording_id = g.recording_id AND s.channel = g.channel AND s.t = g.row GROUP BY ALL"
+_THOUSANDTHS = "CASE WHEN s.value IS NULL THEN '0' WHEN s.value = floor(s.value) THEN CAST(CAST(floor(s.value) AS BIGINT) AS VARCHAR) ELSE CAST(CAST(round(s.value * 1000) AS BIGINT) AS VARCHAR) || 'm' END"
+
+
+def thousandths(v: Column) -> Column:
+    """Whole numbers as they are, others in whole thousandths, so that both engines spell them alike."""
+    return F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(F.concat(F.round(v * 1000).cast("bigint").cast("string"), F.lit("m")))
+
+
+@query("series", "size", sql=_GRID.format(cell=_THOUSANDTHS, by="|"))
 def mda2txt(spark, folder):
-    """One line per sample; values with decimals in whole thousandths, so that both engines spell them alike."""
-    s = load(spark, folder)
-    v = F.col("value")
-    cell = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(F.concat(F.round(v * 1000).cast("bigint").cast("string"), F.lit("m")))
-    cells = F.sort_array(F.collect_list(F.struct("recording_id", "channel", cell.alias("text"))))
-    return s.groupBy(F.col("t").alias("row")).agg(F.array_join(F.transform(cells, lambda c: c["text"]), "|").alias("line"))
+    """One line per sample."""
+    return text_source.as_lines(load(spark, folder), delimiter="|", text=thousandths)
 
 
-@query()
+@query("series", "size", sql=_GRID.format(cell="CAST(CAST(trunc(coalesce(s.value, 0.0)) AS BIGINT) AS VARCHAR)", by="\t"))
 def as_lines(spark, folder):
-    return text_source.as_lines(load(spark, folder).where("channel is not null"), max_cols=10**6).select("row", "line")
+    return text_source.as_lines(load(spark, folder).withColumn("value", F.col("value").cast("bigint").cast("double")))
 
 
 @query()
@@ -687,6 +857,11 @@ def synthesize(spark, folder):
     return synthetic.synthesize(spark)[0]
 
 
+@query()
+def synthesize_firings(spark, folder):
+    return synthetic.synthesize(spark)[1]
+
+
 @query(sql="SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_event_counts(spark, folder):
     e = table(spark, folder, "events")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventloom.operators.series import BY
+
+SPAN = 1 << 16  # samples of a recording that are listed together
 
 def read_numbers(spark: SparkSession, path: str) -> DataFrame:
     """channel, t, value of a file of numbers separated by commas or blanks. A first line that holds no
@@ -29,16 +34,27 @@ def number_text(v: Column) -> Column:
     return F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string"))
 
 
-def as_lines(series: DataFrame, transpose: bool = True, delimiter: str = "\t", max_rows: int = 10**9, max_cols: int = 2000) -> DataFrame:
-    """row, line: the array as text, one line per sample (or per channel without ``transpose``). More rows or
-    columns than the guards allow is an error, not a cut."""
+def as_lines(series: DataFrame, transpose: bool = True, delimiter: str = "\t", max_rows: int = 10**9, max_cols: int = 2000, text: Callable[[Column], Column] = number_text) -> DataFrame:
+    """recording_id, row, line: each recording's array as text, one line per sample (or per channel without
+    ``transpose``), with zero for samples that are missing. More rows or columns than the guards allow is an
+    error, not a cut."""
+    size = series.groupBy(*BY).agg((F.max("t") + 1).alias("n"), F.sort_array(F.collect_set("channel")).alias("channels"))
+    rows, cols = ("n", "size(channels)") if transpose else ("size(channels)", "n")
+    most = size.agg(F.max(F.expr(rows)).alias("rows"), F.max(F.expr(cols)).alias("cols")).first()
+    if (most["rows"] or 0) > max_rows or (most["cols"] or 0) > max_cols:
+        raise ValueError(f"{most['rows']} rows by {most['cols']} columns exceed {max_rows} by {max_cols}")
     row, column = ("t", "channel") if transpose else ("channel", "t")
-    size = series.agg(F.count_distinct(row).alias("rows"), F.count_distinct(column).alias("cols")).first()
-    if size["rows"] > max_rows or size["cols"] > max_cols:
-        raise ValueError(f"{size['rows']} rows by {size['cols']} columns exceed {max_rows} by {max_cols}")
-    cells = F.sort_array(F.collect_list(F.struct(column, number_text(F.col("value")).alias("text"))))
-    return series.groupBy(F.col(row).cast("bigint").alias("row")).agg(F.array_join(F.transform(cells, lambda c: c["text"]), delimiter).alias("line"))
+    cells = series.groupBy(*BY, F.col(row).cast("bigint").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(column).cast("bigint"), text(F.col("value"))))).alias("cells"))
+    whole = F.col("channels").cast("array<bigint>")
+    if transpose:  # a recording's samples are listed span by span, so that a long one is spread over tasks
+        spans = size.select(*BY, "n", whole.alias("columns"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(SPAN).cast("bigint"))).alias("start"))
+        grid = spans.repartition(*BY, "start").select(*BY, "columns", F.explode(F.sequence("start", F.least(F.col("start") + SPAN, F.col("n")) - 1)).alias("row"))
+    else:
+        grid = size.select(*BY, F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1).alias("columns"), F.explode(whole).alias("row"))
+    filled = F.transform("columns", lambda c: F.coalesce(F.col("cells")[c], F.lit("0")))
+    return grid.join(cells, [*BY, "row"], "left").select(*BY, "row", F.array_join(filled, delimiter).alias("line"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    lines.orderBy("row").select("line").write.text(path)
+    """The lines of one recording in order; of several, one folder of files each."""
+    lines.repartitionByRange(*BY, "row").sortWithinPartitions(*BY, "row").select(*BY, "line").write.partitionBy(*BY).text(path)

@@ -130,3 +130,15 @@ def test_svm_separates():
     d, cut = svm.linear_svm(x, side)
     assert (np.sign(x @ d - cut) == side).mean() > 0.98 and abs(d[0]) > 5 * max(abs(d[1]), abs(d[2]))
     assert (svm.linear_svm(np.zeros((4, 2)), np.array([1.0, 1, -1, -1]))[0] == 0).all()
+
+
+def test_pursuit_goes_on_until_nothing_is_left():
+    from eventloom.kernels.pursuit import pursue
+
+    shape = np.zeros((1, 8))
+    shape[0, 2:5] = 10
+    times = 10 + 4 * np.arange(120)  # a chain: each event overlaps the next
+    x = np.zeros((1, 520))
+    for t, scale in zip(times, np.linspace(3, 1, 120)):
+        x[:, t - 3 : t + 5] += scale * shape
+    assert pursue(x, times, np.ones(120, int), {1: shape}, 8, 5.0).sum() == 120

@@ -40,9 +40,12 @@ def test_text(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1, 2.5\n\n3,no\n")
     got = sorted(tuple(r) for r in text.read_numbers(spark, f"{tmp_path}/a.csv").where("value is not null").collect())
     assert got == [(1, 0, 1.0), (1, 1, 3.0), (2, 0, 2.5)]
-    series = spark.createDataFrame([(1, 0, 1.0), (2, 0, 2.5), (1, 1, 3.0), (2, 1, 4.0)], "channel int, t bigint, value double")
-    assert [r.line for r in text.as_lines(series).orderBy("row").collect()] == ["1\t2.5", "3\t4"]
-    assert [r.line for r in text.as_lines(series, transpose=False, delimiter=",").orderBy("row").collect()] == ["1,3", "2.5,4"]
+    series = spark.createDataFrame([("a", 1, 0, 1.0), ("a", 2, 0, 2.5), ("a", 1, 1, 3.0), ("a", 2, 1, 4.0), ("b", 1, 0, 9.0), ("b", 3, 2, 8.0)], "recording_id string, channel int, t bigint, value double")
+    lines = lambda df: [tuple(r) for r in df.orderBy("recording_id", "row").select("recording_id", "line").collect()]
+    assert lines(text.as_lines(series)) == [("a", "1\t2.5"), ("a", "3\t4"), ("b", "9\t0"), ("b", "0\t0"), ("b", "0\t8")]
+    assert lines(text.as_lines(series, transpose=False, delimiter=",")) == [("a", "1,3"), ("a", "2.5,4"), ("b", "9,0,0"), ("b", "0,0,8")]
+    text.write_lines(text.as_lines(series), f"{tmp_path}/out")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out/recording_id=a").collect()) == ["1\t2.5", "3\t4"]
     with pytest.raises(ValueError):
         text.as_lines(series, max_rows=1)
 
