@@ -13,12 +13,14 @@ import html
 import quopri
 import re
 
+DEEPEST = 100  # multiparts within each other that are taken apart
 _BREAK = re.compile(r"\r\n?")
 _HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*)[ \t]*:[ \t]*(.*)", re.S)
 _BOUNDARY = re.compile(r'boundary\s*=\s*(?:"([^"]+)"|([^\s;]+))', re.I)
 _CHARSET = re.compile(r'charset\s*=\s*"?([^\s";]+)', re.I)
 _TAG_BREAK = re.compile(r"<\s*(?:br|/p|/div|/tr|/li|/h\d|hr)\b[^>]*>", re.I)
 _TAG_DROP = re.compile(r"<\s*(style|script|head|blockquote)\b.*?<\s*/\s*\1\s*>", re.I | re.S)
+_LINE = re.compile(r"\s*\n\s*")
 _TAG = re.compile(r"<[^<>]*>")
 
 
@@ -74,7 +76,7 @@ def _decoded(body: str, encoding: str, charset: str) -> str:
 
 
 def _plain(markup: str) -> str:
-    text = _TAG_DROP.sub("\n", markup)
+    text = _LINE.sub(" ", _TAG_DROP.sub("<br>", markup))  # lines of the source mean nothing
     text = _TAG_BREAK.sub("\n", text)
     return html.unescape(_TAG.sub("", text))
 
@@ -97,12 +99,15 @@ def _parts(body: str, boundary: str) -> list[str]:
 
 
 def bodies(text: str, depth: int = 0) -> list[tuple[str, str]]:
-    """(kind, text) of the readable parts of a message or part, kind plain or html."""
+    """(kind, text) of the readable parts of a message or part, kind plain or html. A multipart within DEEPEST
+    others is plain text as it stands."""
     headers, body = split_headers(text)
     kind = headers.get("content-type", "text/plain").lower()
     if "attachment" in headers.get("content-disposition", "").lower() or "name=" in kind.replace("filename=", "name="):
         return []
-    if kind.startswith("multipart/") and depth < 20:
+    if kind.startswith("multipart/") and depth >= DEEPEST:
+        return [("plain", body)]
+    if kind.startswith("multipart/"):
         m = _BOUNDARY.search(headers["content-type"])
         boundary = (m[1] or m[2]) if m else None
         parts = _parts(body, boundary) if boundary else []
@@ -126,25 +131,71 @@ def bodies(text: str, depth: int = 0) -> list[tuple[str, str]]:
 
 # Lines that the sender did not write, or that end what they wrote: fixed values of mail conventions.
 _QUOTED = re.compile(r"\s*[A-Z]{0,4}[>|]")
-_CLOSING = re.compile(r"\s*(?:-{2,}|_{8,}|\*{8,}|={8,}|#{8,})\s*$")
+_SIGNATURE = re.compile(r"\s*--\s*$")
+_RULE = re.compile(r"\s*(?:-{3,}|_{3,}|\*{3,}|={3,}|#{3,})\s*$")
 _FORWARDED = re.compile(r"\s*-{2,}\s*\w[^\n]*\w\s*-{2,}\s*$")
+_ORIGINAL = re.compile(r"\s*\w+\s?:\s.*[<@]")
+
+
+def _ends(line: str) -> bool:
+    return bool(_SIGNATURE.match(line) or _FORWARDED.match(line))
+
+
+def _after_rule(lines: list[str], at: int) -> int | None:
+    """Where own text goes on after a rule at a place: None if nothing follows but an original message; the end
+    of the paragraph if there is one only (a footer: disclaimers stand so); else the next line."""
+    first = next((i for i in range(at + 1, len(lines)) if lines[i].strip()), None)
+    if first is None or _ORIGINAL.match(lines[first]):
+        return None
+    paragraphs, last, i = 0, "", first
+    end = len(lines)
+    while i < len(lines) and not _ends(lines[i]) and not _RULE.match(lines[i]):
+        line = "" if _QUOTED.match(lines[i]) else lines[i].strip()
+        if last and not line:
+            paragraphs += not last.endswith(":")  # a line that introduces a quotation is none
+            end = min(end, i)
+        last = line
+        i += 1
+    if last:
+        paragraphs += not last.endswith(":")
+        end = min(end, i)
+    return end if paragraphs <= 1 else at + 1
+
+
+def _own_lines(lines: list[str]) -> list[str]:
+    kept: list[str] = []
+    i = 0
+    while i < len(lines):
+        line = lines[i]
+        if _QUOTED.match(line):
+            i += 1
+        elif _ends(line):
+            break
+        elif _RULE.match(line) and not (i and lines[i - 1].strip()):
+            go_on = _after_rule(lines, i)
+            if go_on is None:
+                break
+            i = go_on
+        else:
+            kept.append(line)
+            i += 1
+    return kept
 
 
 def own_text(message: str | None) -> str:
-    """What the sender wrote: lines up to the first signature, disclaimer or forwarded message, without
-    quoted lines. Lines of attribution stay, since they hold names and dates only."""
-    kept = []
-    for line in body_text(message).split("\n"):
-        if _QUOTED.match(line):
-            continue
-        if _CLOSING.match(line) or _FORWARDED.match(line):
-            break
-        kept.append(line)
-    return "\n".join(kept)
+    """What the sender wrote, part by part: lines up to a signature or forwarded message, without quoted lines
+    and footers. A footer is a single last paragraph after a rule that stands apart; a rule under a line of
+    text, or with more paragraphs after it, divides text only. Lines of attribution stay, since they hold
+    names and dates only."""
+    return "\n".join(line for text in _texts(message) for line in _own_lines(text.split("\n")))
+
+
+def _texts(message: str | None) -> list[str]:
+    if not message:
+        return []
+    return [_BREAK.sub("\n", t) for _, t in bodies(_BREAK.sub("\n", message).lstrip("\ufeff\n"))]
 
 
 def body_text(message: str | None) -> str:
     """The message's readable text, with newlines between lines; empty for null and empty messages."""
-    if not message:
-        return ""
-    return "\n".join(_BREAK.sub("\n", t) for _, t in bodies(_BREAK.sub("\n", message).lstrip("﻿\n")))
+    return "\n".join(_texts(message))

@@ -1,9 +1,11 @@
 """Subjects of documents, by one-versus-rest linear classifiers on hashed word n-grams.
 
-Raters' labels, some of them wrong, are the weak labels. Logistic regressions on the n-grams of the
-senders' own texts give each n-gram a weight per subject; a document's sentences are then scored one by
-one, since a text may treat several subjects in turn and mention others in passing. How high a sentence
-must score, and in how many sentences a document must treat a subject, is calibrated on the labels.
+Raters' labels, some of them wrong, and the descriptions of the subjects are the weak labels. Logistic
+regressions on the n-grams of the senders' own texts give each n-gram a weight per subject; a document's
+sentences are then scored one by one, each counting for the subject it scores highest for, since a text may
+treat several subjects in turn and mention others in passing. How high a sentence must score for a subject,
+and in how many sentences a document must treat it, is calibrated for each subject on labels that the
+scoring model has not seen.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from eventloom.llm.mail import own_text
 from eventloom.runtime import Stages
 
 BUCKETS = 1 << 20
-MOST_LABELLED = 8_000  # labelled documents that the classifiers are fitted on; more are drawn by hash
+MOST_LABELLED = 8_000  # labelled documents, about, that the classifiers are fitted on; of more a share is drawn by hash
 ROUNDS = 60
+FOLDS = 3  # parts of the labelled documents, each scored by a model of the others
+POOLED = 300  # labels of all subjects together that steady the thresholds of one
+SCORES, SENTENCES = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0), (1, 2, 3)  # thresholds to choose from
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…。？！؟।])\s+|\n\s*\n")
 
@@ -50,15 +55,15 @@ class Model:
     subjects: list[str]
     kept: np.ndarray  # buckets with weights, sorted
     weights: np.ndarray  # (len(kept) + 1, subjects); the last row is zero, for all other buckets
-    least_score: float = 1.0
-    least_sentences: int = 2
+    least_score: np.ndarray  # per subject
+    least_sentences: np.ndarray
 
 
 def fit(documents: list[list[int]], labels: np.ndarray, subjects: list[str]) -> Model:
     """Logistic regressions of all subjects at once, full batch with Adam, on presence of n-grams that at
     least two documents have. ``documents`` holds distinct buckets."""
     if not documents or not subjects:
-        return Model(subjects, np.zeros(0, np.int64), np.zeros((1, len(subjects))))
+        return _untuned(subjects, np.zeros(0, np.int64), np.zeros((1, len(subjects))))
     size = np.array([len(d) for d in documents])
     flat = np.concatenate([np.asarray(d, np.int64) for d in documents])
     names, at, often = np.unique(flat, return_inverse=True, return_counts=True)
@@ -83,7 +88,11 @@ def fit(documents: list[list[int]], labels: np.ndarray, subjects: list[str]) ->
         v = 0.99 * v + 0.01 * gradient**2
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         bias -= 0.5 * error.mean(axis=0)
-    return Model(subjects, kept, np.vstack([w, np.zeros((1, k))]))
+    return _untuned(subjects, kept, np.vstack([w, np.zeros((1, k))]))
+
+
+def _untuned(subjects: list[str], kept: np.ndarray, weights: np.ndarray) -> Model:
+    return Model(subjects, kept, weights, np.full(len(subjects), 1.0), np.full(len(subjects), 2))
 
 
 def sentence_scores(model: Model, texts: list[list[list[str]]], memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,43 +127,74 @@ def sentence_scores(model: Model, texts: list[list[list[str]]], memo: dict[str,
     return np.array(owner)[at[starts]], best, score[np.arange(len(best)), best]
 
 
-def tallies(model: Model, n: int, scores: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """Sentences of each subject in each of n documents."""
+Scores = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def tallies(k: int, n: int, scores: Scores, least: np.ndarray | float) -> np.ndarray:
+    """Sentences of each of k subjects in each of n documents that score at least their subject's threshold."""
     owner, best, value = scores
-    fine = value >= least
-    k = len(model.subjects)
+    fine = value >= np.broadcast_to(least, k)[best]
     return np.bincount(owner[fine] * k + best[fine], minlength=n * k).reshape(n, k)
 
 
-def calibrate(model: Model, scores: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray) -> Model:
-    """Sets the two thresholds to those of the highest F1 against the labels; of equal ones the stricter."""
-    best = -1.0
-    for least in (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0):
-        n = tallies(model, len(labels), scores, least)
-        for several in (1, 2, 3):
-            got = n >= several
-            hit = float((got & (labels > 0)).sum())
-            f1 = 2 * hit / max(1.0, float(got.sum() + labels.sum()))
-            if f1 >= best:
-                best, model.least_score, model.least_sentences = f1, least, several
+def calibrate(model: Model, scores: Scores, labels: np.ndarray) -> Model:
+    """Sets each subject's two thresholds to those of its highest F1 against the labels, its own counts joined by
+    those of all subjects at the weight of POOLED labels, and F1 averaged over neighbouring scores, so that
+    one wrong label moves no threshold far; of equal ones the stricter."""
+    n, k = labels.shape
+    settings = [(least, several) for least in SCORES for several in SENTENCES]
+    weight = POOLED / max(1.0, labels.sum())
+    f1 = np.zeros((len(settings), k))
+    for i, (least, several) in enumerate(settings):
+        got = tallies(k, n, scores, least) >= several
+        hit, found, true = (got & (labels > 0)).sum(axis=0), got.sum(axis=0), labels.sum(axis=0)
+        f1[i] = 2 * (hit + weight * hit.sum()) / np.maximum(1e-9, found + true + weight * (found.sum() + true.sum()))
+    grid = np.pad(f1.reshape(len(SCORES), -1), ((1, 1), (0, 0)), "edge")
+    f1 = ((grid[:-2] + 2 * grid[1:-1] + grid[2:]) / 4).reshape(f1.shape)
+    best = len(settings) - 1 - f1[::-1].argmax(axis=0)
+    model.least_score, model.least_sentences = (np.array([settings[i][j] for i in best]) for j in (0, 1))
     return model
 
 
+def fitted(parsed: list[list[list[str]]], labels: np.ndarray, subjects: list[str], descriptions: list[list[list[str]]]) -> Model:
+    """A model of the documents and descriptions, with thresholds from scores that each part of the documents
+    gets by a model of the other parts."""
+    k = len(subjects)
+    held = [sorted({bucket(g) for s in t for g in grams(s)}) for t in parsed]
+    told = [sorted({bucket(g) for s in t for g in grams(s)}) for t in descriptions]
+    both = lambda rows: (([held[i] for i in rows] + told), np.vstack([labels[rows], np.eye(k)]))
+    everything = np.arange(len(parsed))
+    model = fit(*both(everything), subjects)
+    folds = min(FOLDS, len(parsed))
+    if folds < 2:
+        return model
+    parts = []
+    for fold in range(folds):
+        own = everything[everything % folds == fold]
+        owner, best, value = sentence_scores(fit(*both(everything[everything % folds != fold]), subjects), [parsed[i] for i in own], {})
+        parts.append((own[owner], best, value))
+    return calibrate(model, tuple(np.concatenate(c) for c in zip(*parts)), labels)
+
+
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """A model fitted on at most ``most`` labelled documents, drawn in order of a hash of the id.
+    """A model fitted on about ``most`` labelled documents: where there are more, those under a cut of the hash
+    of their id.
 
     Labels with a subject that is not listed are ignored; a null subject means none. Documents' null and
-    empty texts have no n-grams. Without labels the model finds nothing.
-    """
-    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().collect())
-    rated = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-    rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id")  # at most `most` short rows
+    empty texts have no n-grams. Without labels only the descriptions are known."""
+    listed = subjects.where("subject is not null").groupBy("subject").agg(F.max("description").alias("description")).collect() if "description" in subjects.columns else [(r[0], None) for r in subjects.select("subject").where("subject is not null").distinct().collect()]
+    told = dict(tuple(r) for r in listed)
+    names = sorted(told)
+    known = labels.where("doc_id is not null")
+    n = known.select(F.count_distinct("doc_id")).first()[0]
+    if n > most:
+        known = known.where(F.xxhash64("doc_id") < F.lit(-(1 << 63) + (1 << 64) * most // n))
+    rated = known.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id")  # about `most` short rows
     rows = texts.mapInArrow(_own, "doc_id bigint, own string, subjects array<string>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     parsed = [sentences(t) for t in rows.column("own").to_pylist()]
     y = np.array([[s in set(x) for s in names] for x in rows.column("subjects").to_pylist()], float).reshape(len(parsed), len(names))
-    model = fit([sorted({bucket(g) for s in t for g in grams(s)}) for t in parsed], y, names)
-    return calibrate(model, sentence_scores(model, parsed, {}), y)
+    return fitted(parsed, y, names, [sentences(told[n] or "") for n in names])
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +219,7 @@ def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, m
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
                 parsed = [sentences(own_text(t)) for t in b.column(1).to_pylist()]
-                n = tallies(model, len(parsed), sentence_scores(model, parsed, memo), model.least_score)
+                n = tallies(len(model.subjects), len(parsed), sentence_scores(model, parsed, memo), model.least_score)
                 row, subject = np.nonzero(n >= model.least_sentences)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(row)), pa.array([model.subjects[s] for s in subject], pa.string()), pa.array(n[row, subject].astype(np.int64))],

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    if not os.path.exists(path):  # an executor without the folder has the file from ``shipped``
+        path = SparkFiles.get(os.path.basename(path))
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     return tokenizer
@@ -47,6 +50,13 @@ def byte_table() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def shipped(df: DataFrame, path: str | None) -> str:
+    """The path of a tokenizer's file, which is sent to the executors."""
+    path = path or tokenizer_path()
+    df.sparkSession.sparkContext.addFile(path)
+    return path
+
+
 def slices(texts: list[str | None]) -> Iterator[list[str]]:
     part: list[str] = []
     size = 0
@@ -64,7 +74,7 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """id, ids (list of integers) of every row, without special tokens; strings that look like special
     tokens are ordinary text. Empty and null texts have the empty list. One row per input row, repeats
     included; extra columns are ignored. A pass over the table without a shuffle."""
-    path = path or tokenizer_path()
+    path = shipped(docs, path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
@@ -85,7 +95,7 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, n_tokens of every row; 0 for empty and null texts."""
-    path = path or tokenizer_path()
+    path = shipped(docs, path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
@@ -102,7 +112,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def token_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, ids, starts, ends: each token with the half-open range of characters it comes from. Tokens that
     share a split character all name that character. Empty and null texts have empty lists."""
-    path = path or tokenizer_path()
+    path = shipped(docs, path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
@@ -139,7 +149,7 @@ def byte_spans(text: str, lengths: list[int]) -> list[tuple[int, int]]:
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """id, text: the texts that were encoded, exactly. Ids that the vocabulary lacks, or bytes that are no
     UTF-8 (of lists that are no whole encoding), become U+FFFD; null lists have null texts."""
-    path = path or tokenizer_path()
+    path = shipped(encoded, path)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, table = load(path), byte_table()

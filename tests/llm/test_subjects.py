@@ -33,6 +33,24 @@ def test_parts():
     assert own_text(damaged).split() == ["found"]
 
 
+def test_rules_and_parts():
+    plain = HEAD.format("x") + "Content-Type: text/plain\n\n"
+    assert own_text(plain + "Intro\n-----\nMain text").split() == ["Intro", "-----", "Main", "text"]
+    assert own_text(plain + "One.\n\n-----\n\nTwo.\n\nThree.").split() == ["One.", "Two.", "Three."]
+    assert own_text(plain + "One.\n\n_________\nNo claim\narises.\n\nOn Monday A wrote:\n> old").split() == ["One.", "On", "Monday", "A", "wrote:"]
+    assert own_text(plain + "One.\n\n____________\n\nFrom: A <a@x.test>\n\nold words").split() == ["One."]
+    assert own_text(plain + "One.\n\n***\nFooter.\n\n---\nOther footer.\n\n").split() == ["One."]
+    two = HEAD.format("x") + "Content-Type: multipart/mixed; boundary=b\n\n--b\nContent-Type: text/plain\n\nfirst\n-- \nMe\n--b\nContent-Type: text/plain\n\nsecond\n--b--\n"
+    assert own_text(two).split() == ["first", "second"]
+    deep = "Content-Type: text/plain\n\ninnermost\n"
+    for i in range(40):
+        deep = f"Content-Type: multipart/mixed; boundary=d{i}\n\n--d{i}\n{deep}--d{i}--\n"
+    assert own_text(HEAD.format("x") + deep).split() == ["innermost"]
+    for i in range(40, 140):
+        deep = f"Content-Type: multipart/mixed; boundary=d{i}\n\n--d{i}\n{deep}--d{i}--\n"
+    assert "innermost" in own_text(HEAD.format("x") + deep)
+
+
 WORDS = {"sport": "goal match team league coach", "law": "court claim judge statute lease", "music": "chord violin tempo choir score"}
 
 
@@ -54,7 +72,7 @@ def found(spark):
     rng = random.Random(1)
     rated = []
     for i in range(250):
-        for s in truth[i] or {None}:
+        for s in sorted(truth[i]) or [None]:
             rated.append((i, rng.choice(sorted(WORDS)) if rng.random() < 0.05 else s, "r"))
     df = spark.createDataFrame(docs + docs[:5] + [(9000, None, "x", 0), (9001, "", "x", 0)], "doc_id bigint, text string, subject string, n_sentences int")
     labels = spark.createDataFrame(rated + rated[:9] + [(None, "law", "r"), (3, "unlisted", "r")], "doc_id bigint, subject string, rater string")
