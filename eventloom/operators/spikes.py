@@ -31,7 +31,7 @@ SETTLE = 256  # samples in which a filter settles
 STRETCH = 16  # readings of a stuck stretch
 STUCK = 0.01  # of the spread: readings of a stuck stretch differ by less
 SPIKE = 10.0  # times the spread: a spike is further from the level
-FLAG = 7.0  # standardised innovations above are flagged; with the level at its least certain this is under SPIKE
+FLAG = 7.0  # standardised innovations above are flagged; in units of the spread this is under SPIKE
 WALK = 0.01  # variance of a level's step, in units of the noise variance
 FIRST = 201  # good readings whose median a filter starts from
 BINS = 32  # histogram bins per factor of two
@@ -41,61 +41,60 @@ _CHUNKS = "recording_id string, channel int, chunk bigint, at array<int>, value
 _FLAGS = "recording_id string, channel int, t bigint, reason string, score double"
 
 
-def forecast(t: list, y: list, skip: list, noise: float, longest: int = LONGEST) -> tuple[list[float], list[bool]]:
-    """Predictions of a local-level Kalman filter in the order given, and which readings it flags.
-
-    Readings to skip, judged alone, and flagged ones are withheld from the update. The level stays as certain as it was over
-    a flagged run, so that the run is judged as one; a run longer than ``longest`` samples is not bad: the
-    filter goes back to its first reading and starts at the run's median. It starts anew after as long a gap."""
-    n = len(t)
-    levels, flags = [0.0] * n, [False] * n
-    r = noise * noise
-    q, limit = WALK * r, FLAG * FLAG
-    begun = _starting_level(y, skip, 0)
-    level, p, last, run, restarted = begun, r, None, -1, -1
-    i = 0
-    while i < n:
-        now = t[i]
-        if last is not None and run < 0:
-            gap = abs(now - last)
-            if gap > longest:
-                level, p = _starting_level(y, skip, i), r
+_PRIOR = (WALK + math.sqrt(WALK * WALK + 4 * WALK)) / 2  # variance of a level before its reading, in the steady state
+GAIN = _PRIOR / (1 + _PRIOR)
+BLOCK = 128  # readings predicted at once
+_DECAY = (1 - GAIN) ** np.arange(BLOCK)
+_UPDATES = np.tril(GAIN * (1 - GAIN) ** (np.arange(BLOCK)[:, None] - 1 - np.arange(BLOCK)[None, :]).clip(0), -1)
+
+
+def forecast(t: np.ndarray, y: np.ndarray, skip: np.ndarray, noise: float, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions of a local-level Kalman filter in its steady state, in the order given, and which readings it
+    flags: those whose innovation is over FLAG times its standard deviation.
+
+    Readings to skip, which are judged alone, and flagged ones are withheld from the update. A run of flagged
+    readings longer than ``longest`` samples is not bad: the filter starts anew at the run's median, from its
+    first reading on. After a gap as long it starts anew too."""
+    use = np.flatnonzero(~skip)
+    if not len(use):
+        return np.zeros(len(y)), np.zeros(len(y), bool)
+    z, at = y[use], t[use]
+    before, flags = np.empty(len(z) + 1), np.zeros(len(z), bool)
+    limit = FLAG * noise * math.sqrt(1 + _PRIOR)
+    breaks = np.flatnonzero(np.abs(np.diff(at)) > longest) + 1
+    level = 0.0
+    for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), len(z)]):
+        level, i, restarted = float(np.median(z[a : min(a + FIRST, b)])), a, -1
+        while i < b:
+            block = z[i : min(i + BLOCK, b)]
+            n = len(block)
+            levels = _DECAY[:n] * level + _UPDATES[:n, :n] @ block
+            far = np.abs(block - levels) > limit
+            f = int(far.argmax()) if far.any() else n
+            before[i : i + f] = levels[:f]
+            if f:
+                level = float(levels[f - 1] + GAIN * (block[f - 1] - levels[f - 1]))
+            i += f
+            if f == n:
+                continue
+            end, width = i + 1, 32  # the run goes on to the first reading near the level
+            while end < b:
+                near = np.abs(z[end : min(end + width, b)] - level) <= limit
+                if near.any():
+                    end += int(near.argmax())
+                    break
+                end, width = min(end + width, b), 2 * width
+            long = np.abs(at[i:end] - at[i]) > longest
+            if long.any() and i != restarted:
+                level, restarted = float(np.median(z[i : i + int(long.argmax()) + 1])), i
             else:
-                p = min(p + q * gap, r)
-        last = now
-        levels[i] = level
-        s = p + r
-        e = y[i] - level
-        if skip[i]:
-            flags[i] = e * e > limit * s
-        else:
-            flags[i] = False
-            if e * e <= limit * s:
-                gain = p / s
-                level += gain * e
-                p -= gain * p
-                run = -1
-            else:
-                flags[i] = True
-                if run < 0:
-                    run = i
-                elif abs(now - t[run]) > longest and run != restarted:
-                    held = [y[j] for j in range(run, i + 1) if not skip[j]]
-                    level, p, last, i = float(np.median(held)), r, None, run
-                    run, restarted = -1, run
-                    continue
-        i += 1
-    return levels, flags
-
-
-def _starting_level(y: list, skip: list, at: int) -> float:
-    good: list[float] = []
-    for i in range(at, len(y)):
-        if not skip[i]:
-            good.append(y[i])
-            if len(good) == FIRST:
-                break
-    return float(np.median(good)) if good else 0.0
+                before[i:end], flags[i:end] = level, True
+                i = end
+    before[len(z)] = level
+    levels = before[np.cumsum(~skip) - ~skip]
+    out = np.abs(y - levels) > limit
+    out[use] = flags
+    return levels, out
 
 
 def _noise(y: np.ndarray) -> float:
@@ -138,18 +137,16 @@ def analyse(t: np.ndarray, v: np.ndarray, outside: np.ndarray, noise: float) ->
     if noise <= 0 or not usable.any():
         return np.full(len(v), np.inf), np.full(len(v), np.nan), np.full(len(v), np.nan), np.zeros(len(v), bool)
     y = np.where(usable, v, 0.0)
-    ts, ys = t.tolist(), y.tolist()
-    levels, flags = forecast(ts, ys, (~usable).tolist(), noise)
+    levels, flags = forecast(t, y, ~usable, noise)
     finite = np.where(np.isfinite(v), v, np.nan)
-    ranges = stuck_ranges(finite - levels, np.array(levels), finite, STUCK * noise)
+    ranges = stuck_ranges(finite - levels, levels, finite, STUCK * noise)
     skip = ~usable | (ranges < STUCK * noise)
     if (skip & usable).any():
-        levels, flags = forecast(ts, ys, skip.tolist(), noise)
-    back, again = (x[::-1] for x in forecast(ts[::-1], ys[::-1], skip[::-1].tolist(), noise))
-    ahead, back = np.array(levels), np.array(back)
+        levels, flags = forecast(t, y, skip, noise)
+    back, again = (x[::-1] for x in forecast(t[::-1], y[::-1], skip[::-1], noise))
     known = usable & ~skip.all()
-    deviation = np.where(known, np.minimum(np.abs(y - ahead), np.abs(y - back)), np.nan)
-    return ranges, (ahead + back) / 2, deviation, known & np.array(flags, bool) & np.array(again, bool)
+    deviation = np.where(known, np.minimum(np.abs(y - levels), np.abs(y - back)), np.nan)
+    return ranges, (levels + back) / 2, deviation, known & flags & again
 
 
 def deviations(t: np.ndarray, v: np.ndarray, outside: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:

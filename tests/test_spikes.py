@@ -88,3 +88,38 @@ def test_readings_that_agree_with_no_level(spark):
     x[1000:1700] += np.where(np.arange(700) % 2 == 0, 300, -300)
     got = found(spark, x)
     assert got and min(got) >= 1000 and max(got) < 1700
+
+
+def test_blocks_against_one_reading_at_a_time():
+    rng = np.random.default_rng(8)
+    for case in range(20):
+        n = 1500
+        y = np.cumsum(rng.normal(0, 0.1, n)) + rng.standard_normal(n)
+        y[rng.integers(0, n, 20)] += 40
+        start = int(rng.integers(200, 800))
+        y[start : start + (30, 700)[case % 2]] += 60
+        t = np.cumsum(rng.choice([1, 1, 1, 1, 2, 900], n, p=[0.2, 0.2, 0.2, 0.2, 0.199, 0.001]))
+        skip = rng.random(n) < 0.03
+        levels, flags = spikes.forecast(t, y, skip, 1.0)
+        limit = spikes.FLAG * np.sqrt(1 + spikes._PRIOR)
+        level, last, i, run, restarted = None, None, 0, -1, -1
+        use = np.flatnonzero(~skip).tolist()
+        want, flagged = {}, {}
+        while i < len(use):
+            k = use[i]
+            if last is None or t[k] - last > spikes.LONGEST:
+                seg = [j for j in use[i:]]
+                stop = next((m for m in range(1, len(seg)) if t[seg[m]] - t[seg[m - 1]] > spikes.LONGEST), len(seg))
+                level, run, restarted = np.median(y[seg[: min(stop, spikes.FIRST)]]), -1, -1
+            want[k], flagged[k] = level, abs(y[k] - level) > limit
+            if flagged[k]:
+                run = i if run < 0 else run
+                if t[k] - t[use[run]] > spikes.LONGEST and run != restarted:
+                    level, restarted = np.median(y[use[run : i + 1]]), run
+                    i, run = run, -1
+                    last = t[use[i]]
+                    continue
+            else:
+                level, run = level + spikes.GAIN * (y[k] - level), -1
+            last, i = t[k], i + 1
+        assert np.allclose(levels[use], [want[k] for k in use]) and flags[use].tolist() == [flagged[k] for k in use]
