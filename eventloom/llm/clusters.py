@@ -256,14 +256,14 @@ def _most_central(ids: np.ndarray, means: Waves):
     return run
 
 
-def medoids(members: DataFrame, width: int) -> DataFrame:
+def medoids(members: DataFrame, stages: Stages, width: int) -> DataFrame:
     """pivot, event_id, x of the medoid of each cluster of (event_id, x, pivot): the member of the highest
     correlation with the mean of its cluster, whose correlations with all members so have the largest sum.
 
     Means are sums of partial sums; they reach the tasks in blocks. Medoids of batches are compared after."""
     partial = members.select("pivot", "x").mapInArrow(_sums(width), "pivot bigint, total binary")
     means = partial.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(_added, "event_id bigint, x binary")
-    means = Stages(members.sparkSession, "means").write(means)
+    means = stages.write(means)
     out = None
     for ids, known in _blocks(means, width):
         part = members.where((F.col("pivot") >= int(ids[0])) & (F.col("pivot") <= int(ids[-1])))
@@ -316,7 +316,7 @@ def _clusters(clips: DataFrame, similar: float, stages: Stages) -> DataFrame:
     found = pivot_rounds(rows, stages, similar, width)
     size = found.groupBy("pivot").agg(F.count("*").alias("n"))
     real = stages.write(size.where("n > 1").select("pivot"))
-    medoid = stages.write(medoids(found.join(real, "pivot").select("event_id", "x", "pivot"), width))
+    medoid = stages.write(medoids(found.join(real, "pivot").select("event_id", "x", "pivot"), stages, width))
     joined = pivot_rounds(medoid.select("event_id", "x"), stages, similar, width)
     top = stages.write(medoid.select("event_id", F.col("pivot").alias("was")).join(joined.select("event_id", F.col("pivot").alias("top")), "event_id").select("was", "top"))
     # every record against every remaining medoid, a block of medoids at a time
@@ -327,6 +327,7 @@ def _clusters(clips: DataFrame, similar: float, stages: Stages) -> DataFrame:
         best = best.mapInArrow(_with_rest(_closest(ids, waves, similar), 4), f"{_ROWS}, top bigint")
     # a member that resembles its pivot but no medoid stays with the pivot's cluster
     placed = stages.write(best.select("event_id", F.coalesce("pivot", "top").alias("cluster_id"), "similarity").where("cluster_id is not null"))
+    stages.keep(placed)
     several = placed.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n > 1").select("cluster_id")
     return placed.join(several, "cluster_id").select("event_id", "cluster_id", "similarity")
 

@@ -136,6 +136,7 @@ def components(edges: DataFrame, a: str, b: str, edges_per_cell: int = EDGES_PER
     if top is None:
         return loops.select(F.col("member").alias("group_id"), "member")
     placed = stages.write(loops.join(top.withColumnRenamed("v", "member"), "member", "left").select("member", F.coalesce("top", "member").alias("top")))
+    stages.keep(placed)
     least = placed.groupBy("top").agg(F.min("member").alias("group_id"))
     return placed.join(least, "top").select("group_id", "member")
 

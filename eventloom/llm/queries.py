@@ -69,6 +69,15 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "p4_found": """
+        WITH RECURSIVE sets AS (SELECT DISTINCT list_sort(list_distinct([x FOR x IN members IF x IS NOT NULL AND x <> 0])) AS m FROM merge_groups),
+        pairs AS (SELECT DISTINCT coalesce(nullif(m_k1, 0), nullif(m_k2, 0)) AS a, coalesce(nullif(m_k2, 0), nullif(m_k1, 0)) AS b FROM cluster_pairs
+          UNION SELECT m[1], unnest(m) FROM sets WHERE len(m) > 0),
+        edges AS (SELECT a, b FROM pairs WHERE a IS NOT NULL UNION SELECT b, a FROM pairs WHERE a IS NOT NULL),
+        near AS (SELECT a AS label, least(min(b), a) AS least FROM edges GROUP BY a),
+        reach AS (SELECT label, least FROM near UNION SELECT e.a, r.least FROM reach r JOIN edges e ON e.b = r.label WHERE r.least < (SELECT n.least FROM near n WHERE n.label = e.a))
+        SELECT min(least) AS group_id, label FROM reach GROUP BY label
+    """,
     "p5_found": """
         WITH a AS (SELECT DISTINCT event_id, recording_id, channel, time FROM firings WHERE time IS NOT NULL),
         b AS (SELECT DISTINCT event_id, recording_id, channel, time FROM detail_firings WHERE time IS NOT NULL)
