@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from eventloom.kernels.branch import branch_cluster as branch_kernel
 from eventloom.kernels.features import ITERATIONS, components_of
 from eventloom.kernels.isosplit import isosplit
+from eventloom.operators.joins import clip_vectors as joined_vectors
 from eventloom.operators.joins import extract_clips
 from eventloom.operators.series import BY
 
@@ -58,7 +59,7 @@ def components(vectors: DataFrame, k: int, subtract_mean: bool = False, iteratio
 def extract_clips_features(series: DataFrame, firings: DataFrame, clip_size: int, num_features: int, subtract_mean: bool = False) -> DataFrame:
     """recording_id, event_id, features: principal features of the clips themselves, also where the
     directions are those of centred clips."""
-    v = clip_vectors(extract_clips(series, firings, clip_size))
+    v = joined_vectors(series, firings, clip_size)
     c = components(v, num_features, subtract_mean)
     dot = F.aggregate(F.zip_with("x", "direction", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     each = v.join(c, BY).select(*BY, "event_id", F.struct("component", dot.alias("v")).alias("f"))

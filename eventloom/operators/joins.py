@@ -54,6 +54,21 @@ def extract_clips(series: DataFrame, firings: DataFrame, clip_size: int, channel
     return rows.select(*BY, "event_id", "channel", "dt", F.when(F.col("inside"), F.coalesce(F.col("x")[F.col("channel")], F.lit(0.0))).otherwise(0.0).alias("value"))
 
 
+def clip_vectors(series: DataFrame, firings: DataFrame, clip_size: int) -> DataFrame:
+    """recording_id, event_id, x: the clips of ``extract_clips`` flattened, channels running fastest. Samples of one
+    time stay one row up to the event's own, so a channel adds no rows to what is shuffled."""
+    mid = (clip_size + 1) // 2 - 1
+    size = _length(series)
+    frames = series.groupBy(*BY, "t").agg(F.map_from_entries(F.collect_list(F.struct("channel", "value"))).alias("held"))
+    frames = frames.join(size.select(*BY, "channels"), BY).select(*BY, "t", F.transform("channels", lambda c: F.coalesce(F.col("held")[c], F.lit(0.0))).alias("frame"))
+    places = _windows(firings.select("event_id", *BY, "time"), clip_size).select(*BY, "event_id", "t0", "dt", "t")
+    rows = places.join(frames, [*BY, "t"], "left").groupBy(*BY, "event_id", "t0").agg(F.sort_array(F.collect_list(F.struct("dt", "frame"))).alias("f"))
+    inside = (F.col("t0") >= mid) & (F.col("t0") - mid + clip_size <= F.col("n"))
+    none = F.array_repeat(F.lit(0.0), F.size("channels"))
+    x = F.flatten(F.transform("f", lambda s: F.when(inside & s["frame"].isNotNull(), s["frame"]).otherwise(none)))
+    return rows.join(size, BY).select(*BY, "event_id", x.alias("x"))
+
+
 def extract_channel_values(series: DataFrame, firings: DataFrame) -> DataFrame:
     """event_id, value of the event's own channel at its sample; zero where there is none."""
     at = firings.select("event_id", *BY, "channel", F.col("time").cast("bigint").alias("t"))

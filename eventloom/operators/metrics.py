@@ -13,7 +13,7 @@ from eventloom.kernels.svm import linear_svm
 from eventloom.operators.aggregates import LABEL, compute_templates, correlation, full_templates, peak_place
 from eventloom.operators.events import spread_sample
 from eventloom.operators.features import components
-from eventloom.operators.joins import extract_clips
+from eventloom.operators.joins import clip_vectors, extract_clips
 from eventloom.operators.series import BY
 from eventloom.runtime import Stages
 
@@ -108,8 +108,8 @@ def _compared(series: DataFrame, firings: DataFrame, clip_size: int, most_compar
     pairs = pairs_to_compare(compute_templates(series, firings, clip_size), most_comparisons).select(*BY, F.col("label1").alias("k1"), F.col("label2").alias("k2"))
     pairs = Stages(series.sparkSession, "compared").write(pairs)
     used = firings.join(pairs.select(*BY, F.explode(F.array("k1", "k2")).alias("label")).distinct(), LABEL, "left_semi").select("event_id", *LABEL, "time")
-    noise = _vectors(_random_clips(series, used, clip_size, seed)).select("event_id", F.col("x").alias("noise"))
-    x = _vectors(extract_clips(series, used, clip_size)).join(used.select("event_id", "label"), "event_id")
+    noise = _random_vectors(series, used, clip_size, seed).select("event_id", F.col("x").alias("noise"))
+    x = clip_vectors(series, used, clip_size).join(used.select("event_id", "label"), "event_id")
     each = _svm_axes(x, used, pairs, most).withColumn("label", F.explode(F.array("k1", "k2"))).join(x.join(noise, "event_id"), LABEL)
     plain = _dot("x", "d") - F.col("cut")
     noised = plain + noise_level * _dot("noise", "d")
@@ -168,12 +168,16 @@ def _random_clips(series: DataFrame, sample: DataFrame, clip_size: int, seed: in
     return extract_clips(series, _random_places(series, sample, clip_size, seed), clip_size)
 
 
+def _random_vectors(series: DataFrame, sample: DataFrame, clip_size: int, seed: int) -> DataFrame:
+    return clip_vectors(series, _random_places(series, sample, clip_size, seed), clip_size)
+
+
 def noise_overlap(series: DataFrame, firings: DataFrame, clip_size: int, seed: int = 0) -> DataFrame:
     """recording_id, label, noise_overlap: of at most 500 events of a label and as many random windows, in
     ten principal components, the share of near neighbours of the other kind."""
     sample = spread_sample(firings.where("label > 0"), SAMPLE).select("event_id", *LABEL)
-    own = _vectors(extract_clips(series, firings.join(sample.select("event_id"), "event_id", "left_semi"), clip_size)).withColumn("kind", F.lit(1))
-    noise = _vectors(_random_clips(series, sample, clip_size, seed)).withColumn("kind", F.lit(0))
+    own = clip_vectors(series, firings.join(sample.select("event_id"), "event_id", "left_semi"), clip_size).withColumn("kind", F.lit(1))
+    noise = _random_vectors(series, sample, clip_size, seed).withColumn("kind", F.lit(0))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["kind", "event_id"])
@@ -200,7 +204,7 @@ def pair_overlap(series: DataFrame, firings: DataFrame, clip_size: int, nearest:
     for end in ("label1", "label2"):
         pairs = pairs.join(many.withColumnRenamed("label", end), [*BY, end], "left_semi")
     sample = sample.join(many, LABEL, "left_semi")
-    x = _vectors(extract_clips(series, firings.join(sample.select("event_id"), "event_id", "left_semi"), clip_size)).join(sample, [*BY, "event_id"])
+    x = clip_vectors(series, firings.join(sample.select("event_id"), "event_id", "left_semi"), clip_size).join(sample, [*BY, "event_id"])
     rows = pairs.withColumn("label", F.explode(F.array("label1", "label2"))).join(x, LABEL)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -277,7 +281,7 @@ def outlier_scores(series: DataFrame, firings: DataFrame, clip_size: int, shell_
     size = series.groupBy(*BY).agg((F.max("t") + 1).alias("n"))
     step = F.greatest(F.lit(1).cast("bigint"), F.expr(f"n div {noise_clips}"))
     places = size.select(*BY, F.explode(F.sequence(F.lit(clip_size).cast("bigint"), F.greatest(F.col("n") - clip_size, F.lit(clip_size).cast("bigint")), step)).alias("at"))
-    noise = extract_clips(series, places.select((-F.col("at")).alias("event_id"), *BY, F.col("at").cast("double").alias("time")), clip_size)
+    noise = clip_vectors(series, places.select((-F.col("at")).alias("event_id"), *BY, F.col("at").cast("double").alias("time")), clip_size)
     weights = shape.groupBy(*LABEL).agg(F.transform(F.sort_array(F.collect_list(F.struct("dt", "channel", "w"))), lambda p: p["w"]).alias("w"))
 
     def spread(windows: pd.DataFrame, shells: pd.DataFrame) -> pd.DataFrame:
@@ -287,7 +291,7 @@ def outlier_scores(series: DataFrame, firings: DataFrame, clip_size: int, shell_
         sd = d.std(axis=0, ddof=1) if len(d) > 1 else np.zeros(d.shape[1])
         return shells[[*BY, "label"]].assign(mean=d.mean(axis=0), sd=sd)
 
-    back = _vectors(noise).groupBy(*BY).cogroup(weights.groupBy(*BY)).applyInPandas(spread, "recording_id string, label int, mean double, sd double")
+    back = noise.groupBy(*BY).cogroup(weights.groupBy(*BY)).applyInPandas(spread, "recording_id string, label int, mean double, sd double")
     return own.join(back, LABEL).select("event_id", F.coalesce((F.col("d") - F.col("mean")) / F.nullif("sd", F.lit(0.0)), F.lit(0.0)).alias("outlier_score"))
 
 
@@ -312,7 +316,7 @@ def detectability_scores(series: DataFrame, firings: DataFrame, clip_size: int,
     drawn_at = split.select(*BY).distinct().select(*BY, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(noise_clips).cast("bigint"))).alias("event_id"))
     # a place drawn several times is one window that counts as often
     drawn = _random_places(series, drawn_at, clip_size, seed).groupBy(*BY, "time").agg(F.min("event_id").alias("event_id"), F.count("*").alias("times"))
-    noise = _vectors(extract_clips(series, drawn, clip_size)).join(drawn.select(*BY, "event_id", "times"), [*BY, "event_id"]).join(size.select(*BY, "channels"), BY)
+    noise = clip_vectors(series, drawn, clip_size).join(drawn.select(*BY, "event_id", "times"), [*BY, "event_id"]).join(size.select(*BY, "channels"), BY)
 
     def shapes(pdf: pd.DataFrame) -> pd.DataFrame:
         x, channels = np.array(pdf["x"].tolist()), list(pdf["channels"].iloc[0])
@@ -347,9 +351,9 @@ def noise_nearest(series: DataFrame, firings: DataFrame, clip_size: int, noise_l
     All events take part. A recording is cut into blocks by hash, each pair of blocks is one task's work,
     and the nearest of an event's blocks are merged: the work grows with the square of a recording's events."""
     sample = firings.where("label > 0").select("event_id", *LABEL, "time")
-    own = _vectors(extract_clips(series, sample, clip_size)).join(sample.select("event_id", "label"), "event_id").withColumn("random", F.lit(False))
-    none = _vectors(_random_clips(series, sample, clip_size, seed)).withColumn("label", F.lit(0)).withColumn("random", F.lit(True))
-    extra = _vectors(_random_clips(series, sample, clip_size, seed + 1)).select(*BY, "event_id", F.col("x").alias("noise"))
+    own = clip_vectors(series, sample, clip_size).join(sample.select("event_id", "label"), "event_id").withColumn("random", F.lit(False))
+    none = _random_vectors(series, sample, clip_size, seed).withColumn("label", F.lit(0)).withColumn("random", F.lit(True))
+    extra = _random_vectors(series, sample, clip_size, seed + 1).select(*BY, "event_id", F.col("x").alias("noise"))
     blocks = sample.groupBy(*BY).agg(F.ceil(2 * F.count("*") / block).cast("int").alias("blocks"))
     place = F.pmod(F.xxhash64("event_id", "random"), F.col("blocks")).cast("int")
     stages = Stages(series.sparkSession, "nearest")

@@ -78,6 +78,11 @@ _FIELDS = f"""WITH once AS (SELECT DISTINCT file_id, script, dataset, seq, conte
       FROM (SELECT file_id, script, dataset, seq, path, json_extract(content, '$."' || path || '"') AS x FROM (SELECT *, unnest(json_keys(content)) AS path FROM readable)))"""
 SQL: dict[str, str] = {
     "p6_type_statistics": _FIELDS + " SELECT path, type, count(*) AS n_files, min(file_id) AS first_file, max(file_id) AS last_file FROM fields GROUP BY ALL",
+    "p6_failed_casts": _FIELDS
+    + """, columns AS (SELECT path, coalesce(arg_max(type, {'n': n, 't': type}) FILTER (type <> 'null'), 'string') AS kind FROM (SELECT path, type, count(*) AS n FROM fields GROUP BY ALL) GROUP BY path),
+    texts AS (SELECT file_id, path, x.type, CASE WHEN x.type = 'string' THEN json_extract_string(r.content, '$."' || path || '"') WHEN x.type = 'object' THEN '{' || coalesce((SELECT string_agg('"' || k || '":' || CAST(json_extract(x.value, '$."' || k || '"') AS VARCHAR), ',' ORDER BY k) FROM (SELECT unnest(json_keys(x.value)) AS k)), '') || '}' ELSE x.value END AS value FROM fields x JOIN readable r USING (file_id))
+    SELECT file_id, path, type, CASE WHEN type = 'number' AND TRY_CAST(value AS DOUBLE) = floor(TRY_CAST(value AS DOUBLE)) THEN CAST(CAST(TRY_CAST(value AS DOUBLE) AS BIGINT) AS VARCHAR) ELSE value END AS value FROM texts JOIN columns USING (path)
+    WHERE type <> 'null' AND NOT CASE kind WHEN 'number' THEN type IN ('number', 'string') AND TRY_CAST(value AS DOUBLE) IS NOT NULL WHEN 'boolean' THEN type IN ('boolean', 'string') AND lower(value) IN ('true', 'false') WHEN 'string' THEN TRUE ELSE type = kind END""",
     "p6_found": _FIELDS
     + """, placed AS (SELECT *, to_json({'s': script, 'd': dataset}) AS stream, row_number() OVER (PARTITION BY script, dataset ORDER BY seq, file_id) AS n FROM readable WHERE seq IS NOT NULL),
     f AS (SELECT p.stream, p.n, p.file_id, x.path, x.type, x.value FROM placed p JOIN fields x USING (file_id)),

@@ -108,6 +108,13 @@ class Stages:
         if path:
             self._delete(path)
 
+    def keep(self, *frames: DataFrame) -> None:
+        """Drops all tables but these, once they hold what a result still reads."""
+        kept = {getattr(df, "_eventloom_path", None) for df in frames}
+        for i in range(self.count):
+            if (path := f"{self.root}/{i:03d}") not in kept:
+                self._delete(path)
+
     def _delete(self, path: str) -> None:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

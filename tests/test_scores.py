@@ -234,3 +234,12 @@ def test_segments_split_where_nothing_meets(spark):
     assert len(rows) == 800
     times = sorted((r.t, r.segment) for r in rows)
     assert all(s == z for (t, s), (u, z) in zip(times, times[1:]) if u - t <= 10) and len({s for _, s in times}) == 5
+
+
+def test_clip_vectors_are_the_flattened_clips(spark):
+    x = np.random.default_rng(4).standard_normal((3, 60))
+    s = make_series(spark, x).where("not (channel = 2 and t between 20 and 22) and t <> 30")
+    f = make_firings(spark, [(1, 21.7, 1), (1, 2, 1), (2, 55, 1), (3, 58, 1), (1, 30, 0), (2, 4, 2)])
+    got = {r.event_id: r.x for r in joins.clip_vectors(s, f, T).collect()}
+    expected = {r.event_id: r.x for r in features.clip_vectors(joins.extract_clips(s, f, T)).collect()}
+    assert got == expected and len(got) == 6
