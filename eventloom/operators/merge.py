@@ -24,7 +24,7 @@ def merge_map(pairs: DataFrame) -> DataFrame:
     representative's, so paths halve; rounds are written, and end when nothing changes."""
     stages = Stages(pairs.sparkSession, "merge")
     offset = F.col("offset").cast("double") if "offset" in pairs.columns else F.lit(0.0)
-    ahead = pairs.where("label1 <> label2").groupBy(*BY, "label1", "label2").agg(F.min(offset).alias("offset"))
+    ahead = stages.write(pairs.where("label1 <> label2").groupBy(*BY, "label1", "label2").agg(F.min(offset).alias("offset")))
     back = ahead.select(*BY, F.col("label2").alias("label1"), F.col("label1").alias("label2"), (-F.col("offset")).alias("offset"))
     edges = stages.write(ahead.unionByName(back.join(ahead, [*BY, "label1", "label2"], "left_anti")))
     at = lambda r, o: F.struct(F.col(r).alias("r"), o.alias("o"))

@@ -740,9 +740,21 @@ def branch_cluster_v2(spark, folder):
 # --- merging -----------------------------------------------------------------------------------------------
 
 
-@query()
+@query(*_BASE, sql="SELECT f.event_id, CASE WHEN f.label > 0 THEN d.new ELSE 0 END AS label FROM fire f LEFT JOIN named n USING (recording_id, label) LEFT JOIN dense d ON d.recording_id = f.recording_id AND d.label = coalesce(n.least, f.label)")
 def merge_labels(spark, folder):
-    return merge.merge_labels(load(spark, folder), fire(spark, folder), 0.9, CLIP).select("event_id", "label")
+    return merge.merge_labels(load(spark, folder), fire(spark, folder), 0.9, CLIP).select("event_id", as_long("label").alias("label"))
+
+
+SQL["merge_labels"] = "WITH RECURSIVE " + SQL["merge_labels"].removeprefix("WITH ").replace(
+    " SELECT f.event_id, CASE WHEN f.label > 0",
+    """, alike AS (SELECT a.recording_id, a.label AS a, b.label AS b FROM templates a JOIN templates b USING (recording_id, channel, dt) WHERE a.label < b.label GROUP BY ALL
+      HAVING least(sqrt(sum(a.mean * a.mean)), sqrt(sum(b.mean * b.mean))) >= 0.8 * greatest(sqrt(sum(a.mean * a.mean)), sqrt(sum(b.mean * b.mean))) AND covar_pop(a.mean, b.mean) / nullif(stddev_pop(a.mean) * stddev_pop(b.mean), 0) > 0.9),
+    edges AS (SELECT recording_id, a, b FROM alike UNION SELECT recording_id, b, a FROM alike),
+    reach AS (SELECT recording_id, a AS label, b AS least FROM edges UNION SELECT e.recording_id, e.a, r.least FROM reach r JOIN edges e ON e.recording_id = r.recording_id AND e.b = r.label),
+    named AS (SELECT recording_id, label, least(min(least), label) AS least FROM reach GROUP BY recording_id, label),
+    dense AS (SELECT recording_id, label, row_number() OVER (PARTITION BY recording_id ORDER BY label) AS new FROM (SELECT DISTINCT f.recording_id, coalesce(n.least, f.label) AS label FROM fire f LEFT JOIN named n USING (recording_id, label) WHERE f.label > 0))
+    SELECT f.event_id, CASE WHEN f.label > 0""", 1,
+)
 
 
 @query(*_BASE, sql="SELECT f.event_id, d.new AS label FROM fire f JOIN (SELECT recording_id, label, row_number() OVER (PARTITION BY recording_id ORDER BY label) AS new FROM (SELECT recording_id, label, max(abs(mean)) AS p FROM templates GROUP BY ALL) WHERE p >= 30) d USING (recording_id, label)")
