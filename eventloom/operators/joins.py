@@ -55,18 +55,31 @@ def extract_clips(series: DataFrame, firings: DataFrame, clip_size: int, channel
 
 
 def clip_vectors(series: DataFrame, firings: DataFrame, clip_size: int) -> DataFrame:
-    """recording_id, event_id, x: the clips of ``extract_clips`` flattened, channels running fastest. Samples of one
-    time stay one row up to the event's own, so a channel adds no rows to what is shuffled."""
+    """recording_id, event_id, x: the clips of ``extract_clips`` flattened, channels running fastest.
+
+    Samples are laid out in chunks that overlap by a window, so that an event meets one row, the chunk its window
+    starts in, and is one row itself throughout."""
     mid = (clip_size + 1) // 2 - 1
+    chunk = max(128, 2 * clip_size)
+    length = chunk + clip_size - 1
     size = _length(series)
-    frames = series.groupBy(*BY, "t").agg(F.map_from_entries(F.collect_list(F.struct("channel", "value"))).alias("held"))
-    frames = frames.join(size.select(*BY, "channels"), BY).select(*BY, "t", F.transform("channels", lambda c: F.coalesce(F.col("held")[c], F.lit(0.0))).alias("frame"))
-    places = _windows(firings.select("event_id", *BY, "time"), clip_size).select(*BY, "event_id", "t0", "dt", "t")
-    rows = places.join(frames, [*BY, "t"], "left").groupBy(*BY, "event_id", "t0").agg(F.sort_array(F.collect_list(F.struct("dt", "frame"))).alias("f"))
-    inside = (F.col("t0") >= mid) & (F.col("t0") - mid + clip_size <= F.col("n"))
-    none = F.array_repeat(F.lit(0.0), F.size("channels"))
-    x = F.flatten(F.transform("f", lambda s: F.when(inside & s["frame"].isNotNull(), s["frame"]).otherwise(none)))
-    return rows.join(size, BY).select(*BY, "event_id", x.alias("x"))
+    at = F.floor(F.col("t") / chunk)
+    both = F.array_compact(F.array(at, F.when(F.col("t") % chunk < clip_size - 1, at - 1)))
+    held = series.select(*BY, "channel", "t", "value", F.explode(both).alias("chunk")).select(*BY, "channel", "chunk", (F.col("t") - F.col("chunk") * chunk).cast("int").alias("place"), "value")
+    rows = held.groupBy(*BY, "chunk", "channel").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("h"))
+    by_place = F.map_from_entries("h")
+    gaps = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(by_place[i], F.lit(0.0)))
+    dense = F.when(F.size("h") == length, F.transform("h", lambda s: s["value"])).otherwise(gaps)
+    chunks = rows.select(*BY, "chunk", "channel", dense.alias("x")).groupBy(*BY, "chunk").agg(F.map_from_entries(F.collect_list(F.struct("channel", "x"))).alias("held"))
+    none = F.array_repeat(F.lit(0.0), length)
+    chunks = chunks.join(size.select(*BY, "channels"), BY).select(*BY, "chunk", F.transform("channels", lambda c: F.coalesce(F.col("held")[c], none)).alias("rows"))
+    start = F.col("time").cast("bigint") - mid
+    events = firings.select("event_id", *BY, start.alias("start"), F.floor(start / chunk).alias("chunk"))
+    joined = events.join(chunks, [*BY, "chunk"], "left").join(size.select(*BY, "n", F.size("channels").alias("m")), BY)
+    first = (F.col("start") - F.col("chunk") * chunk).cast("int")
+    clip = F.flatten(F.transform(F.sequence(first, first + (clip_size - 1)), lambda i: F.transform("rows", lambda r: r[i])))
+    inside = (F.col("start") >= 0) & (F.col("start") + clip_size <= F.col("n")) & F.col("rows").isNotNull()
+    return joined.select(*BY, "event_id", F.when(inside, clip).otherwise(F.array_repeat(F.lit(0.0), (F.col("m") * clip_size).cast("int"))).alias("x"))
 
 
 def extract_channel_values(series: DataFrame, firings: DataFrame) -> DataFrame:

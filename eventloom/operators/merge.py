@@ -72,15 +72,16 @@ def remove_noise_clusters(series: DataFrame, firings: DataFrame, peak_threshold:
     return relabel_dense(firings.join(peak.where(F.col("peak") >= peak_threshold), LABEL, "left_semi"))
 
 
-def shifted_similarity(templates: DataFrame, clip_size: int, max_shift: int) -> DataFrame:
+def shifted_similarity(templates: DataFrame, clip_size: int, max_shift: int, pairs: DataFrame) -> DataFrame:
     """recording_id, label1, label2, shift, correlation (uncentred), residual (energy left after the best
-    scaling of 2 onto 1, over the energy of 1): the best shift of at most max_shift of each pair of labels."""
+    scaling of 2 onto 1, over the energy of 1): the best shift of at most max_shift of each of the pairs of
+    labels (recording_id, label1, label2, each once)."""
     a = templates.select(*BY, F.col("label").alias("label1"), "channel", "dt", F.col("mean").alias("m1"))
     b = templates.select(*BY, F.col("label").alias("label2"), "channel", F.col("dt").alias("dt2"), F.col("mean").alias("m2"))
     moved = b.withColumn("shift", F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift)))).withColumn("dt", F.col("dt2") + F.col("shift"))
     n1 = a.groupBy(*BY, "label1").agg(F.sum(F.col("m1") * F.col("m1")).alias("e1"))
     n2 = b.groupBy(*BY, "label2").agg(F.sum(F.col("m2") * F.col("m2")).alias("e2"))
-    dot = a.join(moved, [*BY, "channel", "dt"]).where("label1 <> label2").groupBy(*BY, "label1", "label2", "shift").agg(F.sum(F.col("m1") * F.col("m2")).alias("dot"))
+    dot = a.join(pairs.select(*BY, "label1", "label2"), [*BY, "label1"]).join(moved, [*BY, "label2", "channel", "dt"]).where("label1 <> label2").groupBy(*BY, "label1", "label2", "shift").agg(F.sum(F.col("m1") * F.col("m2")).alias("dot"))
     r = F.coalesce(F.col("dot") / F.nullif(F.sqrt(F.col("e1") * F.col("e2")), F.lit(0.0)), F.lit(0.0))
     best = dot.join(n1, [*BY, "label1"]).join(n2, [*BY, "label2"]).groupBy(*BY, "label1", "label2").agg(F.max(F.struct(r.alias("correlation"), (-F.abs("shift")).alias("closeness"), "shift")).alias("b"))
     return best.select(*BY, "label1", "label2", "b.shift", "b.correlation", (1 - F.col("b.correlation") ** 2).alias("residual"))
@@ -92,16 +93,19 @@ def merge_across_channels(series: DataFrame, firings: DataFrame, clip_size: int,
     that vary little; a merged label's times shift by the usual offset,
     summed along the labels that link it, and events that then lie within 5
     samples of the label's previous one are dropped."""
-    t = compute_templates(series, firings, clip_size)
+    stages = Stages(series.sparkSession, "across")
+    t = stages.write(compute_templates(series, firings, clip_size))
     peak = t.groupBy(*LABEL).agg(F.max(F.abs("mean")).alias("peak"))
     p1, p2 = (peak.withColumnsRenamed({"label": f"label{i}", "peak": f"peak{i}"}) for i in (1, 2))
-    alike = shifted_similarity(t, clip_size, max_dt).where(F.col("correlation") >= min_template_corr_coef)
-    alike = alike.join(p1, [*BY, "label1"]).join(p2, [*BY, "label2"]).where(F.least("peak1", "peak2") >= min_peak_ratio * F.greatest("peak1", "peak2"))
     n = firings.groupBy(*BY, F.col("label").alias("label1")).agg(F.count("*").alias("n1"))
     lags = cross_correlogram(firings, max_dt).where("label1 <> label2").groupBy(*BY, "label1", "label2").agg(F.sum("n").alias("c"), F.sum(F.col("n") * F.col("dt")).alias("s"), F.sum(F.col("n") * F.col("dt") * F.col("dt")).alias("ss"))
     mean = F.col("s") / F.col("c")
     fine = (F.col("c") >= min_coinc_num) & (F.col("c") >= min_coinc_frac * F.col("n1")) & (F.sqrt(F.greatest(F.col("ss") / F.col("c") - mean * mean, F.lit(0.0))) <= max_corr_stddev)
-    linked = lags.join(n, [*BY, "label1"]).where(fine).withColumn("offset", mean).join(alike.select(*BY, "label1", "label2"), [*BY, "label1", "label2"], "left_semi")
+    together = lags.join(n, [*BY, "label1"]).where(fine).withColumn("offset", mean).join(p1, [*BY, "label1"]).join(p2, [*BY, "label2"])
+    # templates are compared only where events coincide
+    together = stages.write(together.where(F.least("peak1", "peak2") >= min_peak_ratio * F.greatest("peak1", "peak2")).select(*BY, "label1", "label2", "offset"))
+    alike = shifted_similarity(t, clip_size, max_dt, together).where(F.col("correlation") >= min_template_corr_coef)
+    linked = together.join(alike.select(*BY, "label1", "label2"), [*BY, "label1", "label2"], "left_semi")
     moved = merge_map(linked).withColumn("offset", F.round("offset"))
     out = firings.join(moved, LABEL, "left").withColumn("time", F.col("time") - F.coalesce("offset", F.lit(0.0))).withColumn("label", F.coalesce("representative", "label")).drop("representative", "offset")
     return relabel_dense(remove_redundant(out))
@@ -156,10 +160,11 @@ def merge_stage(series: DataFrame, firings: DataFrame, clip_size: int, min_peak_
 def remove_duplicate_clusters(series: DataFrame, firings: DataFrame, clip_size: int, max_residual: float = 0.5, max_shift: int = 10) -> DataFrame:
     """Of two labels that peak on different channels and explain most of each other at some shift, the one
     with the weaker template is dropped; labels renumbered."""
-    t = compute_templates(series, firings, clip_size)
+    t = Stages(series.sparkSession, "duplicates").write(compute_templates(series, firings, clip_size))
     top = channel_peaks(t).groupBy(*LABEL).agg(F.max_by("channel", F.struct(F.abs("peak"), -F.col("channel"))).alias("home"), F.sum(F.col("peak") * F.col("peak")).alias("power"))
     t1, t2 = (top.withColumnsRenamed({"label": f"label{i}", "home": f"home{i}", "power": f"power{i}"}) for i in (1, 2))
-    same = shifted_similarity(t, clip_size, max_shift).where(F.col("residual") < max_residual).join(t1, [*BY, "label1"]).join(t2, [*BY, "label2"]).where("home1 <> home2")
     weaker = F.struct(F.col("power1"), -F.col("label1")) < F.struct(F.col("power2"), -F.col("label2"))
-    drop = same.where(weaker).select(*BY, F.col("label1").alias("label")).distinct()
+    pairs = t1.join(t2, BY).where("home1 <> home2").where(weaker)  # labels of one recording
+    same = shifted_similarity(t, clip_size, max_shift, pairs).where(F.col("residual") < max_residual)
+    drop = same.select(*BY, F.col("label1").alias("label")).distinct()
     return relabel_dense(firings.join(drop, LABEL, "left_anti"))
