@@ -140,7 +140,8 @@ def tallies(k: int, n: int, scores: Scores, least: np.ndarray | float) -> np.nda
 def calibrate(model: Model, scores: Scores, labels: np.ndarray) -> Model:
     """Sets each subject's two thresholds to those of its highest F1 against the labels, its own counts joined by
     those of all subjects at the weight of POOLED labels, and F1 averaged over neighbouring scores, so that
-    one wrong label moves no threshold far; of equal ones the stricter."""
+    one wrong label moves no threshold far; of equal ones the stricter. Where no threshold finds any of
+    the held-out labels, which are too few then, the model's own stay."""
     n, k = labels.shape
     settings = [(least, several) for least in SCORES for several in SENTENCES]
     weight = POOLED / max(1.0, labels.sum())
@@ -152,7 +153,9 @@ def calibrate(model: Model, scores: Scores, labels: np.ndarray) -> Model:
     grid = np.pad(f1.reshape(len(SCORES), -1), ((1, 1), (0, 0)), "edge")
     f1 = ((grid[:-2] + 2 * grid[1:-1] + grid[2:]) / 4).reshape(f1.shape)
     best = len(settings) - 1 - f1[::-1].argmax(axis=0)
-    model.least_score, model.least_sentences = (np.array([settings[i][j] for i in best]) for j in (0, 1))
+    some = f1.max(axis=0) > 0
+    model.least_score = np.where(some, [settings[i][0] for i in best], model.least_score)
+    model.least_sentences = np.where(some, [settings[i][1] for i in best], model.least_sentences)
     return model
 
 
