@@ -77,6 +77,7 @@ _FIELDS = f"""WITH once AS (SELECT DISTINCT file_id, script, dataset, seq, conte
     fields AS (SELECT file_id, script, dataset, seq, path, {_KIND.format(x="x")} AS type, CASE WHEN json_type(x) IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN CAST(CAST(x AS DOUBLE) AS VARCHAR) ELSE CAST(x AS VARCHAR) END AS value
       FROM (SELECT file_id, script, dataset, seq, path, json_extract(content, '$."' || path || '"') AS x FROM (SELECT *, unnest(json_keys(content)) AS path FROM readable)))"""
 SQL: dict[str, str] = {
+    "p1_unreadable": "SELECT prv_id, reason FROM (SELECT prv_id, CASE WHEN content IS NULL THEN 'null' WHEN NOT json_valid(content) THEN 'unreadable' WHEN json_type(content) <> 'OBJECT' THEN 'not an object' END AS reason FROM (SELECT DISTINCT prv_id, content FROM prv_records)) WHERE reason IS NOT NULL",
     "p6_type_statistics": _FIELDS + " SELECT path, type, count(*) AS n_files, min(file_id) AS first_file, max(file_id) AS last_file FROM fields GROUP BY ALL",
     "p6_failed_casts": _FIELDS
     + """, columns AS (SELECT path, coalesce(arg_max(type, {'n': n, 't': type}) FILTER (type <> 'null'), 'string') AS kind FROM (SELECT path, type, count(*) AS n FROM fields GROUP BY ALL) GROUP BY path),
