@@ -59,3 +59,19 @@ def _branch(x: np.ndarray, size: np.ndarray, n_features: int, threshold: float,
 def branch_cluster(x: np.ndarray, peak: np.ndarray, n_features: int = 10, threshold: float = 1.5, increment: float = 0.0, least: int = 150) -> np.ndarray:
     """Labels of clips (rows flattened over channels and time) with the given signed peaks."""
     return _by_sign(x, peak, n_features=n_features, threshold=threshold, increment=increment, least=least)
+
+
+def consolidated(clips: np.ndarray, label: np.ndarray, own: int, factor: float, interval: int) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, template peaks) of the clusters to keep; clips: events x samples x channels, own: the channel's column.
+    Kept: energy on the own channel at least factor times the largest of the others, and the peak on the
+    own channel within the interval of the centre."""
+    mid = (clips.shape[1] + 1) // 2 - 1
+    kept, peaks = [], []
+    for k in np.unique(label).tolist():
+        template = clips[label == k].mean(axis=0)
+        energy = (template**2).sum(axis=0)
+        at = int(np.abs(template[:, own]).argmax())
+        if energy[own] >= factor * np.delete(energy, own).max(initial=0.0) and abs(at - mid) <= interval:
+            kept.append(k)
+            peaks.append(abs(template[at, own]))
+    return np.array(kept, int), np.array(peaks, float)

@@ -40,17 +40,62 @@ def _pooled(y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.
     return np.repeat(mean, count), errors
 
 
+def _scan(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the non-decreasing fit of each prefix, the squared error and where its last block starts: the blocks
+    before are those of the prefix that ends there, so every prefix's fit can be read off."""
+    errors, starts, below = [0.0] * len(y), [0] * len(y), []
+    m, s, n, e, total, under = np.inf, 0.0, 0, 0.0, 0.0, -np.inf  # the last block, and the mean of the one below
+    for i, v in enumerate(y.tolist()):
+        if v > m:
+            below.append((under, s, n, e))
+            under, m, s, n, e = m, v, v, 1, 0.0
+        elif n:
+            total -= e
+            e += (v - m) * (v - m) * n / (n + 1)
+            s, n = s + v, n + 1
+            m = s / n
+            while under >= m:
+                mean = under
+                under, s0, n0, e0 = below.pop()
+                total -= e0
+                e += e0 + (mean - m) * (mean - m) * n * n0 / (n + n0)
+                s, n = s + s0, n + n0
+                m = s / n
+            total += e
+        else:
+            m, s, n = v, v, 1
+        errors[i] = total
+        starts[i] = i + 1 - n
+    return np.array(errors), np.array(starts, int)
+
+
+def _blocks(sums: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """The fit of the first ``end`` values; sums: 0 and the cumulated values."""
+    edges = [end]
+    while edges[-1] > 0:
+        edges.append(starts[edges[-1] - 1])
+    edges = np.array(edges[::-1])
+    length = np.diff(edges)
+    return np.repeat(np.diff(sums[edges]) / length, length)
+
+
+def _down_up(y: np.ndarray, down: tuple[np.ndarray, np.ndarray] | None = None, up: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Least-squares fit that falls, then rises; down and up: the scans of -y and of -y reversed, where known."""
+    z = -y
+    (e1, s1), (e2, s2) = down or _scan(z), up or _scan(z[::-1])
+    cost = np.concatenate(([e2[-1]], e1[:-1] + e2[-2::-1], [e1[-1]]))
+    at = int(np.argmin(cost))
+    first, last = np.concatenate(([0.0], np.cumsum(z[:at]))), np.concatenate(([0.0], np.cumsum(z[at:][::-1])))
+    return -np.concatenate((_blocks(first, s1, at), _blocks(last, s2, len(z) - at)[::-1]))
+
+
 def up_down(y: np.ndarray) -> np.ndarray:
     """Least-squares fit that rises, then falls."""
-    up = _pooled(y)[1]
-    down = _pooled(y[::-1])[1][::-1]
-    cost = np.concatenate(([down[0]], up[:-1] + down[1:], [up[-1]])) if len(y) else np.zeros(1)
-    at = int(np.argmin(cost))
-    return np.concatenate((isotonic(y[:at]), isotonic(y[at:][::-1])[::-1]))
+    return -down_up(-y)
 
 
 def down_up(y: np.ndarray) -> np.ndarray:
-    return -up_down(-y)
+    return _down_up(y) if len(y) else y
 
 
 def isocut(x: np.ndarray, threshold: float = 1.5, least: int = 4) -> float | None:
@@ -61,16 +106,21 @@ def isocut(x: np.ndarray, threshold: float = 1.5, least: int = 4) -> float | Non
     if n < 2 * least:
         return None
     sizes = [s for s in (least * 2**i for i in range(n.bit_length())) if least < s < n]
+    if x[0] == x[-1]:
+        return None
+    every = np.diff(x)
+    down, up = _scan(-every), _scan(-every[::-1])  # heads share the one, tails the other
     best, cut = threshold, None
-    for part in [x, *(x[:s] for s in sizes), *(x[n - s :] for s in sizes)]:
-        gaps = np.diff(part)
-        total = gaps.sum()
+    for start, end in [(0, n), *((0, s) for s in sizes), *((n - s, n) for s in sizes)]:
+        part, gaps = x[start:end], every[start : end - 1]
+        total, m = gaps.sum(), len(gaps)
         if total <= 0:
             continue
-        fit = np.maximum(down_up(gaps), 1e-300)
-        distance = np.abs(np.cumsum(gaps) / total - np.cumsum(fit) / fit.sum()).max() * np.sqrt(len(gaps))
+        held = (down[0][:m], down[1][:m]) if start == 0 else None, (up[0][:m], up[1][:m]) if end == n else None
+        fit = np.maximum(_down_up(gaps, *held), 1e-300)
+        distance = np.abs(np.cumsum(gaps) / total - np.cumsum(fit) / fit.sum()).max() * np.sqrt(m)
         if distance >= best:
-            inner = slice(least - 1, len(gaps) - least + 1)
+            inner = slice(least - 1, m - least + 1)
             if len(gaps[inner]):
                 at = least - 1 + int(np.argmax(gaps[inner] / fit[inner]))
                 best, cut = distance, float((part[at] + part[at + 1]) / 2)
@@ -88,23 +138,37 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 100) -> np.ndarra
         if i and (new == label).all():
             break
         label = new
-        centres = np.array([x[label == j].mean(axis=0) if (label == j).any() else centres[j] for j in range(len(centres))])
+        order, size = np.argsort(label, kind="stable"), np.bincount(label, minlength=len(centres))
+        some = np.flatnonzero(size)
+        centres[some] = np.add.reduceat(x[order], (np.cumsum(size) - size)[some], axis=0) / size[some, None]
     return np.unique(label, return_inverse=True)[1]
 
 
 def geometric_median(x: np.ndarray, rounds: int = 10) -> np.ndarray:
     """Weiszfeld's iteration from the mean."""
+    columns = np.ascontiguousarray(x.T)
     m = x.mean(axis=0)
     for _ in range(rounds):
-        d = np.sqrt(((x - m) ** 2).sum(axis=1))
-        w = 1 / np.maximum(d, 1e-12)
-        m = (x * w[:, None]).sum(axis=0) / w.sum()
+        apart = columns - m[:, None]
+        apart *= apart
+        w = 1 / np.maximum(np.sqrt(apart.sum(axis=0)), 1e-12)
+        m = columns @ w / w.sum()
+    return m
+
+
+def _medians(x: np.ndarray, start: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """The geometric medians of stretches of rows that begin at ``start``, all at once."""
+    size = np.diff(np.append(start, len(x)))
+    m = np.add.reduceat(x, start, axis=0) / size[:, None]
+    for _ in range(rounds):
+        apart = x - np.repeat(m, size, axis=0)
+        w = 1 / np.maximum(np.sqrt(np.einsum("ij,ij->i", apart, apart)), 1e-12)
+        m = np.add.reduceat(x * w[:, None], start, axis=0) / np.add.reduceat(w, start)[:, None]
     return m
 
 
-def _line(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The direction between two clusters' centres, whitened by their joint spread."""
-    d = geometric_median(b) - geometric_median(a)
+def _line(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The direction d between two clusters' centres, whitened by their joint spread."""
     both = np.vstack((a - a.mean(axis=0), b - b.mean(axis=0)))
     cov = both.T @ both / max(1, len(both) - 1)
     cov += np.eye(len(cov)) * (1e-6 * np.trace(cov) / len(cov) + 1e-12)
@@ -113,30 +177,52 @@ def _line(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def isosplit(x: np.ndarray, threshold: float = 1.5, k_init: int = 30, seed: int = 0, rounds: int = 1000) -> np.ndarray:
     """Labels 1, 2, ... of rows: the closest pair of clusters not yet tested as it is either merges (one mode
-    along the line between them) or exchanges the rows on the wrong side of the cut."""
+    along the line between them) or exchanges the rows on the wrong side of the cut.
+
+    Centres and distances are kept, and computed anew only for the clusters that a test changed."""
     if len(x) < 2:
         return np.ones(len(x), int)
     label = kmeans(x, k_init, seed)
+    size = np.bincount(label)
+    order, k = np.argsort(label, kind="stable"), len(size)
+    start = np.cumsum(size) - size
+    rows = np.split(order, start[1:])
+    centre = _medians(x[order], start)
+    size = size.tolist()
     tested: set[tuple] = set()
+    d = ((centre[:, None] - centre[None]) ** 2).sum(axis=2)
+    d[np.tril_indices(k)] = np.inf
+    live = set(range(k))
     for _ in range(rounds):
-        names = np.unique(label)
-        if len(names) < 2:
-            break
-        centre = np.array([geometric_median(x[label == j]) for j in names])
-        size = {int(j): int((label == j).sum()) for j in names}
-        d = ((centre[:, None] - centre[None]) ** 2).sum(axis=2)
-        order = [(d[i, j], int(names[i]), int(names[j])) for i in range(len(names)) for j in range(i + 1, len(names))]
-        fresh = [(v, a, b) for v, a, b in order if (a, b, size[a], size[b]) not in tested]
-        if not fresh:
+        a, b = divmod(int(np.argmin(d)), k)
+        if d[a, b] == np.inf:
             break
-        _, a, b = min(fresh)
         tested.add((a, b, size[a], size[b]))
-        rows = np.flatnonzero((label == a) | (label == b))
-        on_line = x[rows] @ _line(x[label == a], x[label == b])
+        d[a, b] = np.inf
+        both, n = np.concatenate((rows[a], rows[b])), size[a]
+        xs = x[both]
+        on_line = xs @ _line(xs[:n], xs[n:], centre[b] - centre[a])
         cut = isocut(on_line, threshold)
         if cut is None:
-            label[rows] = a
+            rows[a], size[a] = both, len(both)
+            live.discard(b)
+            d[b, :] = d[:, b] = np.inf
+            changed = [a]
         else:
-            new = np.where(on_line < cut, a, b)
-            label[rows] = new
-    return np.unique(label, return_inverse=True)[1] + 1
+            low = on_line < cut
+            if low[:n].all() and not low[n:].any():
+                continue
+            rows[a], rows[b] = both[low], both[~low]
+            size[a], size[b] = len(rows[a]), len(rows[b])
+            changed = [a, b]
+        for c in changed:
+            centre[c] = geometric_median(x[rows[c]])
+        for c in changed:
+            far = ((centre - centre[c]) ** 2).sum(axis=1).tolist()
+            for j in live:
+                if j != c:
+                    i, o = min(c, j), max(c, j)
+                    d[i, o] = np.inf if (i, o, size[i], size[o]) in tested else far[j]
+    for j, c in enumerate(sorted(live), 1):
+        label[rows[c]] = j
+    return label

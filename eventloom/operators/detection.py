@@ -12,7 +12,7 @@ from eventloom.kernels.pursuit import detect as greedy
 from eventloom.kernels.pursuit import pursue
 from eventloom.operators.aggregates import compute_templates
 from eventloom.operators.metrics import split_into_shells
-from eventloom.operators.series import BY, CHANNEL, halo
+from eventloom.operators.series import BY, CHANNEL, halo, packed, unpacked
 
 CHUNK = 1 << 16
 
@@ -52,6 +52,31 @@ def detect(series: DataFrame, clip_size: int, interval: int, threshold: float, s
     return _edges(found, series, clip_size).select(*CHANNEL, (F.col("t") + 1).cast("double").alias("time"))
 
 
+def detected_clips(series: DataFrame, clip_size: int, interval: int, threshold: float, sign: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """recording_id, channel, time (from 1), channels, x: the events of ``detect`` on each channel with their clips
+    (flattened, channels running fastest, missing samples zero) in one pass over the series, which may
+    hold repeats. Events whose window crosses an end of the recording are still among them."""
+    mid = (clip_size + 1) // 2 - 1
+    margin = min(chunk, max(100 * interval, clip_size))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        base = int(pdf["chunk"].iloc[0]) * chunk
+        names, start, dense, present = unpacked(pdf)
+        signal = np.where(present, dense if sign > 0 else -dense if sign < 0 else np.abs(dense), -np.inf)
+        around = np.concatenate((np.zeros((clip_size, len(names))), dense, np.zeros((clip_size, len(names)))))
+        out = []
+        for name, y in zip(names.tolist(), signal.T):
+            at = greedy(np.ascontiguousarray(y), threshold, interval)
+            at = at[(at + start >= 0) & (at + start < chunk)]
+            x = around[(at - mid + clip_size)[:, None] + np.arange(clip_size)].reshape(len(at), clip_size * len(names))
+            out.append(pd.DataFrame({"channel": name, "time": at + (base + start + 1.0), "x": pd.Series(list(x), dtype=object)}))
+        out = pd.concat(out, ignore_index=True)
+        return out.assign(recording_id=pdf["recording_id"].iloc[0], channels=pd.Series([names] * len(out), out.index, dtype=object))
+
+    shape = "recording_id string, channel int, time double, channels array<int>, x array<double>"
+    return packed(series, chunk, margin).groupBy(*BY, "chunk").applyInPandas(run, shape)
+
+
 def detect_local_max(series: DataFrame, clip_size: int, interval: int, threshold: float, sign: int = 0, chunk: int = CHUNK) -> DataFrame:
     """The same for samples that are the first maximum within +-interval, in built-in windows alone; it
     differs from ``detect`` where peaks keep growing within the interval of each other."""

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.kernels.branch import branch_cluster as branch_kernel
+from eventloom.kernels.branch import consolidated
 from eventloom.kernels.features import ITERATIONS, components_of
 from eventloom.kernels.isosplit import isosplit
 from eventloom.operators.joins import clip_vectors as joined_vectors
-from eventloom.operators.joins import extract_clips
-from eventloom.operators.series import BY
+from eventloom.operators.series import BY, CHANNEL, extent
 
 
 def clip_vectors(clips: DataFrame) -> DataFrame:
@@ -99,35 +99,49 @@ def branch_cluster(series: DataFrame, detections: DataFrame, adjacency: DataFram
     """recording_id, channel, time, label of detections (recording_id, channel, time from 1): clips on each
     channel's neighbourhood (adjacency ch1, ch2) split into clusters per channel, clusters dropped that are
     stronger on another channel or off centre, and labels numbered by channel and template peak."""
-    d = detections.withColumn("event_id", F.xxhash64(*BY, "channel", "time"))
-    clips = extract_clips(series, d.select("event_id", *BY, (F.col("time") - 1).alias("time")), clip_size)
-    own = d.select("event_id", F.col("channel").alias("own"))
-    near = clips.join(own, "event_id").join(adjacency.select(*[c for c in BY if c in adjacency.columns], F.col("ch1").alias("own"), F.col("ch2").alias("channel")), [*[c for c in BY if c in adjacency.columns], "own", "channel"])
-    place = F.struct("dt", "channel", "value")
-    peak = F.max_by("value", F.when(F.col("channel") == F.col("own"), F.struct(F.abs("value"), -F.col("dt"))))
-    x = near.groupBy(*BY, F.col("own").alias("channel"), "event_id").agg(F.transform(F.sort_array(F.collect_list(place)), lambda s: s["value"]).alias("x"), peak.alias("peak"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id")
-        label = branch_kernel(np.array(pdf["x"].tolist()), pdf["peak"].to_numpy(), num_features, isocut_threshold, shell_increment, min_shell_size)
-        return pdf[[*BY, "channel", "event_id"]].assign(local=label)
-
-    local = x.groupBy(*BY, "channel").applyInPandas(run, "recording_id string, channel int, event_id bigint, local int")
-    clusters = local.join(clips.withColumnRenamed("channel", "on"), [*BY, "event_id"]).groupBy(*BY, "channel", "local", "on", "dt").agg(F.avg("value").alias("m"))
-    kept = consolidated(clusters, clip_size, consolidation_factor, detect_interval)
-    w = Window.partitionBy(*BY).orderBy("channel", "peak", "local")
-    numbers = kept.withColumn("label", F.row_number().over(w)).select(*BY, "channel", "local", "label")
-    return d.join(local, [*BY, "channel", "event_id"]).join(numbers, [*BY, "channel", "local"]).select(*BY, "channel", "time", "label")
+    size = extent(series)
+    d = detections.select(*BY, F.struct("channel", "time").alias("event_id"), (F.col("time") - 1).alias("time"))
+    clips = joined_vectors(series, d, clip_size).join(size.select(*BY, "channels"), BY).select(*BY, "event_id.channel", "event_id.time", "channels", "x")
+    return cluster_clips(clips, size, adjacency, clip_size, num_features, isocut_threshold, min_shell_size, shell_increment, consolidation_factor, detect_interval)
 
 
-def consolidated(templates: DataFrame, clip_size: int, factor: float, interval: int) -> DataFrame:
-    """recording_id, channel, local, peak of the clusters to keep; templates have (on, dt, m) per cluster of a
-    channel. Kept: energy on the own channel at least factor times the largest of the others, and the
-    peak on the own channel within the interval of the centre."""
+def cluster_clips(clips: DataFrame, size: DataFrame, adjacency: DataFrame, clip_size: int, num_features: int = 10, isocut_threshold: float = 1.5, min_shell_size: int = 150, shell_increment: float = 0.0, consolidation_factor: float = 0.9, detect_interval: int = 10, edges: bool = False) -> DataFrame:
+    """``branch_cluster`` of clips (recording_id, channel, time from 1, channels, x flattened with channels running
+    fastest) in recordings of the size given (recording_id, n, channels); ``edges``: events that ``detect``
+    leaves out at the ends are dropped. A channel is one group, and a row per cluster leaves it."""
     mid = (clip_size + 1) // 2 - 1
-    key = [*BY, "channel", "local"]
-    energy = templates.groupBy(*key, "on").agg(F.sum(F.col("m") * F.col("m")).alias("e"), F.max_by(F.struct("dt", "m"), F.struct(F.abs("m"), -F.col("dt"))).alias("p"))
-    mine = F.col("on") == F.col("channel")
-    per = energy.groupBy(*key).agg(F.max(F.when(mine, F.col("e"))).alias("own"), F.max(F.when(~mine, F.col("e"))).alias("other"), F.max(F.when(mine, F.col("p"))).alias("p"))
-    strong = F.col("own") >= factor * F.coalesce("other", F.lit(0.0))
-    return per.where(strong & (F.abs(F.col("p.dt") - mid) <= interval)).select(*key, F.abs("p.m").alias("peak"))
+    by = [c for c in BY if c in adjacency.columns]
+    near = adjacency.groupBy(*by, F.col("ch1").alias("channel")).agg(F.collect_set("ch2").alias("near"))
+    places = size.select(*BY, "n", "channels", F.explode("channels").alias("channel")).join(near, [*by, "channel"]).select(*(F.col(c).alias(c) for c in (*CHANNEL, "n", "channels", "near")))  # names of its own beside the clips
+
+    def run(pdf: pd.DataFrame, place: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c: pd.Series(dtype=object) for c in ("recording_id", "channel", "local", "peak", "times")})
+        if not len(pdf) or not len(place):
+            return none
+        n, channels, own = int(place["n"].iloc[0]), np.array(place["channels"].iloc[0]), int(place["channel"].iloc[0])
+        pdf = pdf.sort_values("time")
+        t = (pdf["time"].to_numpy() - 1).astype(np.int64)
+        if edges:
+            inner = (t >= mid) & (t + mid < n)
+            pdf, t = pdf[inner], t[inner]
+            if not len(pdf):
+                return none
+        x = np.zeros((len(pdf), clip_size, len(channels)))
+        held = pdf["channels"].map(tuple)
+        for names in held.unique():
+            rows = np.flatnonzero((held == names).to_numpy())
+            x[np.ix_(rows, np.arange(clip_size), np.searchsorted(channels, names))] = np.stack(pdf["x"].iloc[rows].to_list()).reshape(len(rows), clip_size, len(names))
+        x[(t < mid) | (t - mid + clip_size > n)] = 0.0
+        mine = x[:, :, int(np.searchsorted(channels, own))]
+        peak = mine[np.arange(len(x)), np.abs(mine).argmax(axis=1)]
+        around = np.flatnonzero(np.isin(channels, place["near"].iloc[0]))
+        label = branch_kernel(x[:, :, around].reshape(len(x), -1), peak, num_features, isocut_threshold, shell_increment, min_shell_size)
+        local, height = consolidated(x, label, int(np.searchsorted(channels, own)), consolidation_factor, detect_interval)
+        time = pdf["time"].to_numpy()
+        return pd.DataFrame({"recording_id": place["recording_id"].iloc[0], "channel": own, "local": local, "peak": height, "times": pd.Series([time[label == k] for k in local], dtype=object)})
+
+    parts = int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: the work of a few bytes is long, so partitions must not be merged by size
+    spread = lambda df: df.repartition(parts, *CHANNEL).groupBy(*CHANNEL)
+    found = spread(clips).cogroup(spread(places)).applyInPandas(run, "recording_id string, channel int, local int, peak double, times array<double>")
+    w = Window.partitionBy(*BY).orderBy("channel", "peak", "local")
+    return found.withColumn("label", F.row_number().over(w)).select(*BY, "channel", F.explode("times").alias("time"), "label")

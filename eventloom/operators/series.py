@@ -27,9 +27,20 @@ SAMPLE = "recording_id string, channel int, t bigint, value double"
 
 def readings(timeseries: DataFrame) -> DataFrame:
     """The series behind a dirty table: finite readings, repeats once."""
+    return finite(timeseries).distinct()
+
+
+def finite(timeseries: DataFrame) -> DataFrame:
+    """The finite readings of a dirty table, repeats included."""
     v = F.col("value")
     fine = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    return timeseries.select(*CHANNEL, "t", "value").where(fine).distinct()
+    return timeseries.select(*CHANNEL, "t", "value").where(fine)
+
+
+def extent(series: DataFrame) -> DataFrame:
+    """recording_id, n, channels: length and channels of each recording."""
+    each = series.groupBy(*CHANNEL).agg(F.max("t").alias("t"))
+    return each.groupBy(*BY).agg((F.max("t") + 1).alias("n"), F.sort_array(F.collect_set("channel")).alias("channels"))
 
 
 def extract_raw(series: DataFrame, t1: int = -1, t2: int = -1, channels: Sequence[int] = ()) -> DataFrame:
@@ -313,6 +324,51 @@ def halo(series: DataFrame, chunk: int, margin: int) -> DataFrame:
     return series.withColumn("chunk", F.explode(near))
 
 
+def packed(series: DataFrame, chunk: int, margin: int) -> DataFrame:
+    """recording_id, chunk, channel, step, value: the samples of each chunk and its margins (as ``halo``) as
+    bytes (int, int, double), a row per batch, in order of channel and time; step is the distance to
+    the sample before, at first to the chunk's start, and so packs well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).dictionary_encode()
+            code, channel, t, value = (c.to_numpy(zero_copy_only=False) for c in (names.indices, *batch.columns[1:]))
+            c, place = t // chunk, t % chunk
+            before, after = np.flatnonzero((place < margin) & (c > 0)), np.flatnonzero(place >= chunk - margin)
+            i = np.concatenate((np.arange(len(t)), before, after))
+            c = np.concatenate((c, c[before] - 1, c[after] + 1))
+            order = np.lexsort((t[i], channel[i], c, code[i]))
+            i, c = i[order], c[order]
+            first = np.flatnonzero(np.append(True, (np.diff(code[i]) != 0) | (np.diff(c) != 0)))
+            place = t[i] - c * chunk
+            step = np.diff(place, prepend=0)
+            step[first] = place[first]
+            ends = np.append(first, len(i))
+            blobs = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (channel[i].astype(np.int32), step.astype(np.int32), value[i])]
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(code[i[first]])), pa.array(c[first]), *blobs], ["recording_id", "chunk", "channel", "step", "value"])
+
+    known = series.select(*CHANNEL, "t", "value").where("recording_id IS NOT NULL AND channel IS NOT NULL AND t >= 0")
+    return known.mapInArrow(run, "recording_id string, chunk bigint, channel binary, step binary, value binary")
+
+
+def unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """(channels, the first sample's place in the chunk, samples x channels, which are present) of a chunk's rows."""
+    channel, step, value = (np.frombuffer(b"".join(pdf[c]), d) for c, d in (("channel", np.int32), ("step", np.int32), ("value", float)))
+    size = pdf["channel"].str.len().to_numpy() // 4
+    first = np.cumsum(size) - size
+    place = np.cumsum(step, dtype=np.int64)
+    place -= np.repeat(place[first] - step[first], size)
+    names, column = np.unique(channel, return_inverse=True)
+    start = int(place.min())
+    dense = np.zeros((int(place.max()) - start + 1, len(names)))
+    present = np.zeros(dense.shape, bool)
+    dense[place - start, column] = value
+    present[place - start, column] = True
+    return names, start, dense, present
+
+
 def _per_chunk(series: DataFrame, chunk: int, margin: int, kernel) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")

@@ -732,9 +732,10 @@ def isosplit2(spark, folder):
 
 @query()
 def branch_cluster_v2(spark, folder):
-    s = load(spark, folder)
-    found = detection.detect(s, CLIP, 10, 200.0)
-    return features.branch_cluster(s, found, joins.linear_adjacency(s, 1), CLIP)
+    s = series.finite(table(spark, folder, "timeseries"))
+    size = Stages(spark, "branch_cluster").write(series.extent(s))
+    near = joins.linear_adjacency(size.select("recording_id", F.explode("channels").alias("channel")), 1)
+    return features.cluster_clips(detection.detected_clips(s, CLIP, 10, 200.0), size, near, CLIP, edges=True)
 
 
 # --- merging -----------------------------------------------------------------------------------------------

@@ -142,3 +142,41 @@ def test_pursuit_goes_on_until_nothing_is_left():
     for t, scale in zip(times, np.linspace(3, 1, 120)):
         x[:, t - 3 : t + 5] += scale * shape
     assert pursue(x, times, np.ones(120, int), {1: shape}, 8, 5.0).sum() == 120
+
+
+@given(st.lists(st.integers(-20, 20), min_size=1, max_size=25))
+@settings(max_examples=100, deadline=None)
+def test_down_up_against_every_split(y):
+    y = np.array(y, float)
+    fit = isosplit.down_up(y)
+    every = [np.concatenate((-isosplit.isotonic(-y[:k]), isosplit.isotonic(y[k:]))) for k in range(len(y) + 1)]
+    assert abs(((fit - y) ** 2).sum() - min(((f - y) ** 2).sum() for f in every)) < 1e-8
+    assert any(np.allclose(fit, f) for f in every)
+    errors, starts = isosplit._scan(y)
+    for k in range(1, len(y) + 1):
+        assert abs(errors[k - 1] - ((isosplit.isotonic(y[:k]) - y[:k]) ** 2).sum()) < 1e-8
+        assert np.allclose(isosplit._blocks(np.concatenate(([0.0], np.cumsum(y))), starts, k), isosplit.isotonic(y[:k]))
+
+
+def test_isosplit_keeps_the_centres_that_no_test_changed(monkeypatch):
+    calls = {"geometric_median": 0, "isocut": 0}
+    for name in calls:
+
+        def counted(*args, name=name, run=getattr(isosplit, name)):
+            calls[name] += 1
+            return run(*args)
+
+        monkeypatch.setattr(isosplit, name, counted)
+    rng = np.random.default_rng(2)
+    x = np.vstack((rng.standard_normal((200, 3)), rng.standard_normal((200, 3)) + 9))
+    assert set(isosplit.isosplit(x)[:200]) & set(isosplit.isosplit(x)[200:]) == set()
+    assert calls["isocut"] > 20 and calls["geometric_median"] <= 2 * calls["isocut"]
+
+
+def test_consolidated_drops_what_is_stronger_elsewhere_or_off_centre():
+    from eventloom.kernels.branch import consolidated
+
+    clips = np.zeros((4, 9, 2))
+    clips[0, 4], clips[1, 4], clips[2, 8], clips[3, 5] = (-5, 1), (5, 6), (7, 0), (3, 3)
+    kept, peaks = consolidated(clips, np.arange(1, 5), 0, 0.9, 2)
+    assert kept.tolist() == [1, 4] and peaks.tolist() == [5, 3]

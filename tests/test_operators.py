@@ -237,3 +237,35 @@ def test_synthetic_recording_end_to_end(spark):
             if r.label2 > 0:
                 hit[r.label1] = max(hit.get(r.label1, 0), r.n)
     assert sum(hit.values()) / sum(total.values()) > 0.6
+
+
+@pytest.mark.parametrize("sign", [-1, 0, 1])
+def test_clips_of_one_pass_are_those_of_the_detected_events(spark, rows, sign):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.standard_normal((3, 700)) * 4, 1)
+    keep = rng.random(x.shape) > 0.2
+    keep[:, 630:670] = False
+    s = spark.createDataFrame([(rec, int(m) + 1, int(t), float(x[m, t])) for rec in ("r", "q") for m, t in zip(*np.nonzero(keep)) if rec == "r" or m > 0], "recording_id string, channel int, t bigint, value double")
+    twice = s.unionByName(s.where("t % 3 = 0")).repartition(3)
+    clips = detection.detected_clips(twice, 11, 4, 7.0, sign, chunk=128)
+    size = series.extent(s)
+    inside = clips.join(size.select("recording_id", "n"), "recording_id").where("time > 5 AND time + 4 < n").drop("n")
+    found = detection.detect(s, 11, 4, 7.0, sign, chunk=128)
+    assert rows(inside, "recording_id", "channel", "time") == rows(found) != []
+    v = {(r.event_id.channel, r.event_id.time, r.recording_id): r.x for r in joins.clip_vectors(s, found.select("recording_id", F.struct("channel", "time").alias("event_id"), (F.col("time") - 1).alias("time")), 11).collect()}
+    channels = {r.recording_id: r.channels for r in size.collect()}
+    for r in inside.collect():
+        y = np.zeros((11, len(channels[r.recording_id])))
+        y[:, np.searchsorted(channels[r.recording_id], r.channels)] = np.reshape(r.x, (11, -1))
+        assert y.ravel().tolist() == v[r.channel, r.time, r.recording_id]
+
+
+def test_branch_cluster_reads_and_clusters_once(spark, data, rows):
+    from eventloom.plans import reference
+
+    out = reference.branch_cluster_v2(spark, data)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 1 and plan.count("FlatMapGroupsInPandas") <= 1
+    s = reference.load(spark, data).cache()
+    found = detection.detect(s, reference.CLIP, 10, 200.0)
+    assert rows(out) == rows(features.branch_cluster(s, found, joins.linear_adjacency(s, 1), reference.CLIP)) != []
