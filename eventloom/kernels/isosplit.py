@@ -1,9 +1,9 @@
 """Unimodality in one dimension, and clustering that needs no number of clusters.
 
-A sample comes from one mode if its spacings first shrink and then grow. The best such fit (isotonic down,
-then up) is compared with the spacings by a Kolmogorov-Smirnov distance; where it is too large the sample
-is cut at the gap that exceeds the fit most. Clustering starts from many k-means centres and tests pairs
-of neighbouring clusters along the line between them.
+A sample comes from one mode if its spacings first shrink and then grow. The values that the best such fit
+(isotonic down, then up) would give are compared with the sample by their Kolmogorov-Smirnov distance; where
+it is too large the sample is cut where the spacings exceed the fit most. Clustering starts from many k-means
+centres and tests pairs of neighbouring clusters along the line between them.
 """
 
 from __future__ import annotations
@@ -98,46 +98,46 @@ def down_up(y: np.ndarray) -> np.ndarray:
     return _down_up(y) if len(y) else y
 
 
+def _distance(x: np.ndarray, fit: np.ndarray) -> float:
+    """Kolmogorov-Smirnov distance of sorted values and those that the fitted gaps give."""
+    other = np.maximum.accumulate(x[0] + np.concatenate(([0.0], np.cumsum(fit))))
+    at = other + 1e-10 * (x[-1] - x[0])  # equal values stay equal however their sums are rounded
+    return np.abs(np.searchsorted(x, at, "right") - np.searchsorted(other, at, "right")).max() / len(x)
+
+
 def isocut(x: np.ndarray, threshold: float = 1.5, least: int = 4) -> float | None:
-    """A cut point between two modes, or None. Heads and tails of 4, 8, 16, ... and all values are tested,
-    so that a small mode beside a large one is seen."""
+    """A cut point between two modes, or None. Heads and tails of 4, 8, 16, ... up to half of the values and then all
+    of them are tested, so that a small mode beside a large one is seen; the first that fails decides."""
     x = np.sort(x)
     n = len(x)
-    if n < 2 * least:
-        return None
-    sizes = [s for s in (least * 2**i for i in range(n.bit_length())) if least < s < n]
-    if x[0] == x[-1]:
+    if n < 2 * least or x[0] == x[-1]:
         return None
+    sizes = [s for s in (2**i for i in range(2, n.bit_length())) if 2 * least <= s <= n // 2]  # fewer cannot be cut
     every = np.diff(x)
     down, up = _scan(-every), _scan(-every[::-1])  # heads share the one, tails the other
-    best, cut = threshold, None
-    for start, end in [(0, n), *((0, s) for s in sizes), *((n - s, n) for s in sizes)]:
+    for start, end in [*(part for s in sizes for part in ((0, s), (n - s, n))), (0, n)]:
         part, gaps = x[start:end], every[start : end - 1]
-        total, m = gaps.sum(), len(gaps)
-        if total <= 0:
-            continue
-        held = (down[0][:m], down[1][:m]) if start == 0 else None, (up[0][:m], up[1][:m]) if end == n else None
-        fit = np.maximum(_down_up(gaps, *held), 1e-300)
-        distance = np.abs(np.cumsum(gaps) / total - np.cumsum(fit) / fit.sum()).max() * np.sqrt(m)
-        if distance >= best:
-            inner = slice(least - 1, m - least + 1)
-            if len(gaps[inner]):
-                at = least - 1 + int(np.argmax(gaps[inner] / fit[inner]))
-                best, cut = distance, float((part[at] + part[at + 1]) / 2)
-    return cut
-
-
-def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 100) -> np.ndarray:
-    """Lloyd's algorithm from distinct rows drawn by the seed; labels 0, 1, ..., none of them empty."""
+        m = len(gaps)
+        fit = _down_up(gaps, (down[0][:m], down[1][:m]) if start == 0 else None, (up[0][:m], up[1][:m]) if end == n else None)
+        if _distance(part, fit) * np.sqrt(m + 1) >= threshold:
+            excess = up_down(np.divide(gaps, fit, out=gaps.copy(), where=fit > 0))
+            at = least - 1 + int(np.argmax(excess[least - 1 : m - least + 1]))
+            return float((part[at] + part[at + 1]) / 2)
+    return None
+
+
+def kmeans(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Lloyd's algorithm until nothing moves, from distinct rows drawn by the seed; labels 0, 1, ..., none of them empty."""
     start = np.unique(x, axis=0)
     centres = start[np.random.default_rng(seed).permutation(len(start))[:k]]
-    label = np.zeros(len(x), int)
-    for i in range(rounds):
-        d = (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)
+    label, norm, last = np.full(len(x), -1), (x**2).sum(1)[:, None], np.inf
+    while True:
+        d = norm - 2 * x @ centres.T + (centres**2).sum(1)
         new = d.argmin(axis=1)
-        if i and (new == label).all():
+        loss = d[np.arange(len(x)), new].sum()
+        if (new == label).all() or loss >= last:  # rounding alone could move rows for ever
             break
-        label = new
+        label, last = new, loss
         order, size = np.argsort(label, kind="stable"), np.bincount(label, minlength=len(centres))
         some = np.flatnonzero(size)
         centres[some] = np.add.reduceat(x[order], (np.cumsum(size) - size)[some], axis=0) / size[some, None]
@@ -167,17 +167,42 @@ def _medians(x: np.ndarray, start: np.ndarray, rounds: int = 10) -> np.ndarray:
     return m
 
 
-def _line(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """The direction d between two clusters' centres, whitened by their joint spread."""
-    both = np.vstack((a - a.mean(axis=0), b - b.mean(axis=0)))
+def _line(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The direction between two clusters' means, whitened by their joint spread where it has rows enough."""
+    m1, m2 = a.mean(axis=0), b.mean(axis=0)
+    if a.shape[1] >= len(a) + len(b):
+        return m2 - m1
+    both = np.vstack((a - m1, b - m2))
     cov = both.T @ both / max(1, len(both) - 1)
     cov += np.eye(len(cov)) * (1e-6 * np.trace(cov) / len(cov) + 1e-12)
-    return np.linalg.solve(cov, d)
+    return np.linalg.solve(cov, m2 - m1)
+
+
+class _Tested:
+    """Pairs of clusters that were tested: their centres and sizes, in both orders."""
+
+    def __init__(self, dimensions: int, rounds: int, tolerance: float):
+        self.first, self.second = np.zeros((2 * rounds, dimensions)), np.zeros((2 * rounds, dimensions))
+        self.sizes, self.apart = np.zeros((2 * rounds, 2), int), np.zeros(2 * rounds)
+        self.n, self.tolerance = 0, tolerance
+
+    def add(self, c1: np.ndarray, c2: np.ndarray, n1: int, n2: int) -> None:
+        at = slice(self.n, self.n + 2)
+        self.first[at], self.second[at], self.sizes[at] = (c1, c2), (c2, c1), ((n1, n2), (n2, n1))
+        self.apart[at] = np.linalg.norm(c1 - c2)
+        self.n += 2
+
+    def like(self, c1: np.ndarray, c2: np.ndarray, n1: int, n2: int) -> bool:
+        """Whether a pair of about these sizes, with centres about here, was tested."""
+        sizes, now = self.sizes[: self.n], np.array((n1, n2))
+        at = np.flatnonzero((np.abs(sizes - now) <= self.tolerance * ((sizes + now) // 2)).all(axis=1) & (self.apart[: self.n] > 0))
+        near = [np.linalg.norm(known[at] - c, axis=1) <= self.tolerance / np.sqrt(n) * self.apart[at] for known, c, n in ((self.first, c1, n1), (self.second, c2, n2))]
+        return bool((near[0] & near[1]).any())
 
 
-def isosplit(x: np.ndarray, threshold: float = 1.5, k_init: int = 30, seed: int = 0, rounds: int = 1000) -> np.ndarray:
-    """Labels 1, 2, ... of rows: the closest pair of clusters not yet tested as it is either merges (one mode
-    along the line between them) or exchanges the rows on the wrong side of the cut.
+def isosplit(x: np.ndarray, threshold: float = 1.5, k_init: int = 30, seed: int = 0, rounds: int = 1000, tolerance: float = 0.2) -> np.ndarray:
+    """Labels 1, 2, ... of rows: the closest pair of clusters not yet tested, within a tolerance of sizes and
+    centres, either merges (one mode along the line between them) or exchanges the rows on the wrong side of the cut.
 
     Centres and distances are kept, and computed anew only for the clusters that a test changed."""
     if len(x) < 2:
@@ -189,27 +214,30 @@ def isosplit(x: np.ndarray, threshold: float = 1.5, k_init: int = 30, seed: int
     rows = np.split(order, start[1:])
     centre = _medians(x[order], start)
     size = size.tolist()
-    tested: set[tuple] = set()
+    tested = _Tested(x.shape[1], rounds, tolerance)
     d = ((centre[:, None] - centre[None]) ** 2).sum(axis=2)
     d[np.tril_indices(k)] = np.inf
     live = set(range(k))
     for _ in range(rounds):
         a, b = divmod(int(np.argmin(d)), k)
+        while d[a, b] < np.inf and tested.like(centre[a], centre[b], size[a], size[b]):
+            d[a, b] = np.inf
+            a, b = divmod(int(np.argmin(d)), k)
         if d[a, b] == np.inf:
             break
-        tested.add((a, b, size[a], size[b]))
+        tested.add(centre[a], centre[b], size[a], size[b])
         d[a, b] = np.inf
         both, n = np.concatenate((rows[a], rows[b])), size[a]
         xs = x[both]
-        on_line = xs @ _line(xs[:n], xs[n:], centre[b] - centre[a])
-        cut = isocut(on_line, threshold)
-        if cut is None:
+        on_line = xs @ _line(xs[:n], xs[n:])
+        cut = isocut(on_line, threshold, 5)
+        low = None if cut is None else on_line <= cut
+        if low is None or low.all():
             rows[a], size[a] = both, len(both)
             live.discard(b)
             d[b, :] = d[:, b] = np.inf
             changed = [a]
         else:
-            low = on_line < cut
             if low[:n].all() and not low[n:].any():
                 continue
             rows[a], rows[b] = both[low], both[~low]
@@ -218,11 +246,10 @@ def isosplit(x: np.ndarray, threshold: float = 1.5, k_init: int = 30, seed: int
         for c in changed:
             centre[c] = geometric_median(x[rows[c]])
         for c in changed:
-            far = ((centre - centre[c]) ** 2).sum(axis=1).tolist()
+            far = ((centre - centre[c]) ** 2).sum(axis=1)
             for j in live:
                 if j != c:
-                    i, o = min(c, j), max(c, j)
-                    d[i, o] = np.inf if (i, o, size[i], size[o]) in tested else far[j]
+                    d[min(c, j), max(c, j)] = far[j]
     for j, c in enumerate(sorted(live), 1):
         label[rows[c]] = j
     return label

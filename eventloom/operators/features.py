@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.kernels.branch import branch_cluster as branch_kernel
+from eventloom.kernels.branch import channel_features as channel_kernel
 from eventloom.kernels.branch import consolidated
 from eventloom.kernels.features import ITERATIONS, components_of
 from eventloom.kernels.isosplit import isosplit
@@ -95,24 +96,26 @@ def isosplit_clusters(features: DataFrame, by: list[str], column: str = "feature
     return features.groupBy(*by).applyInPandas(run, f"{fields}, cluster int")
 
 
-def branch_cluster(series: DataFrame, detections: DataFrame, adjacency: DataFrame, clip_size: int, num_features: int = 10, isocut_threshold: float = 1.5, min_shell_size: int = 150, shell_increment: float = 0.0, consolidation_factor: float = 0.9, detect_interval: int = 10) -> DataFrame:
+def branch_cluster(series: DataFrame, detections: DataFrame, adjacency: DataFrame, clip_size: int, num_features: int = 10, isocut_threshold: float = 1.5, min_shell_size: int = 150, shell_increment: float = 0.0, consolidation_factor: float = 0.9, detect_interval: int = 10, num_features2: int = 0) -> DataFrame:
     """recording_id, channel, time, label of detections (recording_id, channel, time from 1): clips on each
-    channel's neighbourhood (adjacency ch1, ch2) split into clusters per channel, clusters dropped that are
-    stronger on another channel or off centre, and labels numbered by channel and template peak."""
+    channel's neighbourhood (adjacency ch1, ch2; always with the channel itself, which comes first) split into
+    clusters per channel, each cluster split once more at the end, clusters dropped that are stronger on another
+    channel or off centre, and labels numbered by channel and template peak. ``num_features2``: so many features
+    of each channel's part of the clips, computed first, are clustered in place of the clips."""
     size = extent(series)
     d = detections.select(*BY, F.struct("channel", "time").alias("event_id"), (F.col("time") - 1).alias("time"))
     clips = joined_vectors(series, d, clip_size).join(size.select(*BY, "channels"), BY).select(*BY, "event_id.channel", "event_id.time", "channels", "x")
-    return cluster_clips(clips, size, adjacency, clip_size, num_features, isocut_threshold, min_shell_size, shell_increment, consolidation_factor, detect_interval)
+    return cluster_clips(clips, size, adjacency, clip_size, num_features, isocut_threshold, min_shell_size, shell_increment, consolidation_factor, detect_interval, num_features2=num_features2)
 
 
-def cluster_clips(clips: DataFrame, size: DataFrame, adjacency: DataFrame, clip_size: int, num_features: int = 10, isocut_threshold: float = 1.5, min_shell_size: int = 150, shell_increment: float = 0.0, consolidation_factor: float = 0.9, detect_interval: int = 10, edges: bool = False) -> DataFrame:
+def cluster_clips(clips: DataFrame, size: DataFrame, adjacency: DataFrame, clip_size: int, num_features: int = 10, isocut_threshold: float = 1.5, min_shell_size: int = 150, shell_increment: float = 0.0, consolidation_factor: float = 0.9, detect_interval: int = 10, edges: bool = False, num_features2: int = 0) -> DataFrame:
     """``branch_cluster`` of clips (recording_id, channel, time from 1, channels, x flattened with channels running
     fastest) in recordings of the size given (recording_id, n, channels); ``edges``: events that ``detect``
     leaves out at the ends are dropped. A channel is one group, and a row per cluster leaves it."""
     mid = (clip_size + 1) // 2 - 1
     by = [c for c in BY if c in adjacency.columns]
     near = adjacency.groupBy(*by, F.col("ch1").alias("channel")).agg(F.collect_set("ch2").alias("near"))
-    places = size.select(*BY, "n", "channels", F.explode("channels").alias("channel")).join(near, [*by, "channel"]).select(*(F.col(c).alias(c) for c in (*CHANNEL, "n", "channels", "near")))  # names of its own beside the clips
+    places = size.select(*BY, "n", "channels", F.explode("channels").alias("channel")).join(near, [*by, "channel"], "left").select(*(F.col(c).alias(c) for c in (*CHANNEL, "n", "channels", "near")))  # names of its own beside the clips
 
     def run(pdf: pd.DataFrame, place: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({c: pd.Series(dtype=object) for c in ("recording_id", "channel", "local", "peak", "times")})
@@ -131,14 +134,17 @@ def cluster_clips(clips: DataFrame, size: DataFrame, adjacency: DataFrame, clip_
         for names in held.unique():
             rows = np.flatnonzero((held == names).to_numpy())
             x[np.ix_(rows, np.arange(clip_size), np.searchsorted(channels, names))] = np.stack(pdf["x"].iloc[rows].to_list()).reshape(len(rows), clip_size, len(names))
+        at = int(np.searchsorted(channels, own))
+        height = x[:, min(mid + 1, clip_size - 1), at].copy()  # as templates have it: the time from 1 indexes the sample
         x[(t < mid) | (t - mid + clip_size > n)] = 0.0
-        mine = x[:, :, int(np.searchsorted(channels, own))]
-        peak = mine[np.arange(len(x)), np.abs(mine).argmax(axis=1)]
-        around = np.flatnonzero(np.isin(channels, place["near"].iloc[0]))
-        label = branch_kernel(x[:, :, around].reshape(len(x), -1), peak, num_features, isocut_threshold, shell_increment, min_shell_size)
-        local, height = consolidated(x, label, int(np.searchsorted(channels, own)), consolidation_factor, detect_interval)
+        beside = place["near"].iloc[0]
+        around = [at, *np.flatnonzero(np.isin(channels, () if beside is None else beside) & (channels != own))]
+        mine = x[:, :, around]
+        vectors = channel_kernel(mine, num_features2) if num_features2 else None
+        label = branch_kernel(mine.reshape(len(x), -1), mine[:, mid, 0], num_features, isocut_threshold, shell_increment, min_shell_size, vectors)
+        local, _ = consolidated(x, label, at, consolidation_factor, detect_interval)
         time = pdf["time"].to_numpy()
-        return pd.DataFrame({"recording_id": place["recording_id"].iloc[0], "channel": own, "local": local, "peak": height, "times": pd.Series([time[label == k] for k in local], dtype=object)})
+        return pd.DataFrame({"recording_id": place["recording_id"].iloc[0], "channel": own, "local": local, "peak": np.array([height[label == k].mean() for k in local], float), "times": pd.Series([time[label == k] for k in local], dtype=object)})
 
     parts = int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: the work of a few bytes is long, so partitions must not be merged by size
     spread = lambda df: df.repartition(parts, *CHANNEL).groupBy(*CHANNEL)

@@ -180,3 +180,72 @@ def test_consolidated_drops_what_is_stronger_elsewhere_or_off_centre():
     clips[0, 4], clips[1, 4], clips[2, 8], clips[3, 5] = (-5, 1), (5, 6), (7, 0), (3, 3)
     kept, peaks = consolidated(clips, np.arange(1, 5), 0, 0.9, 2)
     assert kept.tolist() == [1, 4] and peaks.tolist() == [5, 3]
+
+
+def _plain_isocut(x, threshold, least):
+    """The test as the reference states it, value by value."""
+    x = np.sort(x)
+    n = len(x)
+    sizes = [s * 2**i for i in range(2, int(np.floor(np.log2(n // 2))) + 1) for s in (1, -1)] + [n]
+    for size in sizes:
+        part = x[:size] if size > 0 else x[size:]
+        m = len(part)
+        gaps = np.diff(part)
+
+        def up_down(y):
+            fits = [(isosplit.isotonic(y[: k + 1]), isosplit.isotonic(y[k:][::-1])[::-1]) for k in range(len(y))]
+            losses = [((a - y[: k + 1]) ** 2).sum() + ((b - y[k:]) ** 2).sum() for k, (a, b) in enumerate(fits)]
+            k = int(np.argmin(losses))
+            return np.concatenate((fits[k][0], fits[k][1][1:]))
+
+        fit = -up_down(-gaps)
+        other = np.concatenate(([part[0]], part[0] + np.cumsum(fit)))
+        ii, distance = 0, 0.0
+        for j in range(m):
+            while ii + 1 < m and part[ii + 1] <= other[j] + 1e-12:
+                ii += 1
+            distance = max(distance, abs(j / m - ii / m))
+        if distance * np.sqrt(m) >= threshold and m >= 2 * least:
+            excess = up_down(gaps / fit)
+            at = least - 1 + int(np.argmax(excess[least - 1 : m - least]))
+            return (part[at] + part[at + 1]) / 2
+    return None
+
+
+def test_isocut_is_the_test_of_the_reference():
+    cuts = 0
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        x = np.concatenate((rng.standard_normal(60), rng.uniform(1, 5) + rng.standard_normal(rng.integers(5, 60)) * 0.3))
+        cut, plain = isosplit.isocut(x, 1.2, 5), _plain_isocut(x, 1.2, 5)
+        cuts += plain is not None
+        assert cut == plain or abs(cut - plain) < 1e-9
+    assert 5 < cuts < 40
+
+
+def test_tested_pairs_within_the_tolerance_are_not_tested_again():
+    tested = isosplit._Tested(2, 10, 0.2)
+    a, b = np.array([0.0, 0.0]), np.array([10.0, 0.0])
+    tested.add(a, b, 100, 50)
+    assert tested.like(a + 0.1, b, 105, 50) and tested.like(b, a, 50, 100)
+    assert not tested.like(a, b, 140, 50) and not tested.like(a + 0.3, b, 100, 50) and not tested.like(a, b, 50, 100)
+
+
+def test_branch_splits_each_cluster_at_the_end(monkeypatch):
+    from eventloom.kernels import branch
+
+    rng = np.random.default_rng(3)
+    x = np.vstack((rng.standard_normal((80, 4)), rng.standard_normal((80, 4)) + 9))
+    alone = lambda f, threshold, seed=0: isosplit.isosplit(f, threshold, seed=seed) if seed else np.ones(len(f), int)
+    monkeypatch.setattr(branch, "isosplit", alone)  # starts that find one cluster while branching
+    label = branch.branch_cluster(x, np.ones(160))
+    assert len(set(label)) == 2 and all(len(set(label[i : i + 80])) == 1 for i in (0, 80))
+
+
+def test_shells_are_multiples_of_the_increment():
+    from eventloom.kernels import branch
+
+    assert branch._level(np.array([1.5, 1.9, 2.5, 3.5, 4.5, 4.6]), 1.0, 2) == 2.0
+    assert branch._level(np.array([1.5, 1.9, 1.95]), 1.0, 2) is None
+    clips = np.random.default_rng(0).standard_normal((30, 5, 3))
+    assert np.allclose(branch.channel_features(clips, 2)[:, 2:4], features.principal_components(clips[:, :, 1], 2)[1])

@@ -269,3 +269,17 @@ def test_branch_cluster_reads_and_clusters_once(spark, data, rows):
     s = reference.load(spark, data).cache()
     found = detection.detect(s, reference.CLIP, 10, 200.0)
     assert rows(out) == rows(features.branch_cluster(s, found, joins.linear_adjacency(s, 1), reference.CLIP)) != []
+
+
+@pytest.mark.parametrize("num_features2", [0, 1])
+def test_branch_cluster_splits_by_the_sign_at_the_centre(spark, num_features2):
+    rng = np.random.default_rng(8)
+    size = spark.createDataFrame([("r", 10000, [1, 2])], "recording_id string, n bigint, channels array<int>")
+    centre = np.linspace(-1, 1, 60)
+    x = rng.standard_normal((60, 5, 2)) * 0.01
+    x[:, 0, 0], x[:, 2, 0], x[:, 3, 0] = -9 + rng.standard_normal(60) * 0.01, centre, -0.1 * centre  # the largest sample is not the event's
+    clips = spark.createDataFrame([("r", 1, 101.0 + 20 * i, [1, 2], x[i].ravel().tolist()) for i in range(60)], "recording_id string, channel int, time double, channels array<int>, x array<double>")
+    alone = spark.createDataFrame([], "ch1 int, ch2 int")
+    out = features.cluster_clips(clips, size, alone, 5, num_features2=num_features2)
+    label = {r.time: r.label for r in out.collect()}
+    assert [label[101.0 + 20 * i] for i in range(60)] == [2] * 30 + [1] * 30  # in order of the signed value
